@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from curatrix.llm import simhash
+from curatrix.llm import simhash, substring
 
 
 def queries() -> dict:
     return {
+        "op9_difference_cover": substring.op9_difference_cover,
         "op10_simhash_pigeonring": simhash.op10_simhash_pigeonring,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_difference_cover": substring.OP9_SQL,
+    }
