@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from curatrix.llm import simhash, substring
+from curatrix.llm import decontaminate, simhash, substring
 
 
 def queries() -> dict:
     return {
+        "op2_template_decontamination": decontaminate.op2_template_decontamination,
         "op9_difference_cover": substring.op9_difference_cover,
         "op10_simhash_pigeonring": simhash.op10_simhash_pigeonring,
     }
@@ -14,5 +15,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_template_decontamination": decontaminate.OP2_SQL,
         "op9_difference_cover": substring.OP9_SQL,
     }
