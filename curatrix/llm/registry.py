@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from curatrix.llm import decontaminate, simhash, substring
+from curatrix.llm import decontaminate, mixing, simhash, substring
 
 
 def queries() -> dict:
     return {
+        "op1_low_discrepancy_mix": mixing.op1_low_discrepancy_mix,
         "op2_template_decontamination": decontaminate.op2_template_decontamination,
         "op9_difference_cover": substring.op9_difference_cover,
         "op10_simhash_pigeonring": simhash.op10_simhash_pigeonring,
@@ -15,6 +16,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_low_discrepancy_mix": mixing.OP1_SQL,
         "op2_template_decontamination": decontaminate.OP2_SQL,
         "op9_difference_cover": substring.OP9_SQL,
     }
