@@ -109,7 +109,7 @@ def schedule(sources: DataFrame) -> DataFrame:
     counts = counts.select("sid", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("sid", "chunk").orderBy("t")
     return (
-        points.join(counts, ["sid", "chunk"])
+        points.join(counts.hint("merge"), ["sid", "chunk"])
         .withColumn("rank", F.col("before") + F.row_number().over(inside) - 1)
         .where("rank < slots")
         .select("sid", "t", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
@@ -154,11 +154,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         .withColumn("words", F.least(end, _bound(F.col("block") + 1)) - F.greatest(F.col("start"), _bound(F.col("block"))))
         .select("sid", "start", "block", "words")
     )
-    taken = parts.join(uses, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    # slots come from exploded ranges, whose number Spark can't estimate: it must not broadcast them
+    taken = parts.join(uses.hint("merge"), ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     # rows without words share their start with the next row and take nothing
     return (
         at.withColumn("place", F.when(F.col("size") > 0, F.col("start")).otherwise(-1 - F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))))
-        .join(taken.withColumnRenamed("start", "place"), ["sid", "place"], "left")
+        .join(taken.withColumnRenamed("start", "place").hint("merge"), ["sid", "place"], "left")
         .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
 
