@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curatrix.llm import decontaminate, mixing, pseudonyms, quality, simhash, substring, toxicity
+from curatrix.llm import decontaminate, mixing, pseudonyms, quality, secrets, simhash, substring, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_recurrent_toxicity": toxicity.op4_recurrent_toxicity,
         "op5_byte_convolution": quality.op5_byte_convolution,
         "op6_feistel_pseudonyms": pseudonyms.op6_feistel_pseudonyms,
+        "op7_character_convolution": secrets.op7_character_convolution,
         "op9_difference_cover": substring.op9_difference_cover,
         "op10_simhash_pigeonring": simhash.op10_simhash_pigeonring,
     }
