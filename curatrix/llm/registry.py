@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curatrix.llm import decontaminate, mixing, pseudonyms, quality, secrets, simhash, substring, toxicity
+from curatrix.llm import decontaminate, mixing, pages, pseudonyms, quality, secrets, simhash, substring, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_byte_convolution": quality.op5_byte_convolution,
         "op6_feistel_pseudonyms": pseudonyms.op6_feistel_pseudonyms,
         "op7_character_convolution": secrets.op7_character_convolution,
+        "op8_block_tree": pages.op8_block_tree,
         "op9_difference_cover": substring.op9_difference_cover,
         "op10_simhash_pigeonring": simhash.op10_simhash_pigeonring,
     }
