@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from curatrix.llm import decontaminate, mixing, pages, pseudonyms, quality, secrets, simhash, substring, toxicity
+from curatrix.llm import decontaminate, jpeg, mixing, pages, pseudonyms, quality, secrets, simhash, substring, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_low_discrepancy_mix": mixing.op1_low_discrepancy_mix,
         "op2_template_decontamination": decontaminate.op2_template_decontamination,
+        "op3_progressive_jpeg": jpeg.op3_progressive_jpeg,
         "op4_recurrent_toxicity": toxicity.op4_recurrent_toxicity,
         "op5_byte_convolution": quality.op5_byte_convolution,
         "op6_feistel_pseudonyms": pseudonyms.op6_feistel_pseudonyms,
