@@ -24,16 +24,16 @@ def sample(
 ) -> tuple[list[str], np.ndarray]:
     """Texts and 0/1 labels of at most ``rows`` labelled rows of whose id ``learnable`` holds.
 
-    The rows of the least hashes are taken, so the sample is spread over all data and the same on every
+    The labels of the least id hashes are taken, so the sample is spread over all data and the same on every
     run; it also ends before SAMPLE_CHARS characters. An id with both labels counts as labelled 1; rows
     without a text are left out."""
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).alias("__label"))
-    marks = marks.where(learnable(F.col("__id")))
+    marks = marks.where(learnable(F.col("__id"))).withColumn("__order", F.xxhash64("__id", F.lit("sample")))
+    chosen = F.broadcast(marks.orderBy("__order", "__id").limit(rows))  # so many rows at most, whatever the input
     picked = (
         docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
         .where(F.col("__text").isNotNull())
-        .join(marks, "__id")
-        .withColumn("__order", F.xxhash64("__id", F.lit("sample")))
+        .join(chosen, "__id")
         .orderBy("__order", F.xxhash64("__text"))
         .limit(rows)
         .select("__text", "__label")
