@@ -144,9 +144,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     """``docs`` without the rows whose text holds benchmark material."""
     found = _small(common.written(leaks(docs, benchmark, text).select("k1", "k2").distinct(), "leaks"))
     k1, k2 = common.text_keys(F.coalesce(F.col(text), F.lit("")))
-    marked = docs.withColumns({"__k1": k1, "__k2": k2})
-    found = found.withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
-    return marked.join(found, ["__k1", "__k2"], "left_anti").select(*docs.columns)
+    n1, n2 = common.unused(docs, "k1", "k2")
+    marked = docs.withColumns({n1: k1, n2: k2})
+    return marked.join(found.withColumnsRenamed({"k1": n1, "k2": n2}), [n1, n2], "left_anti").select(*docs.columns)
 
 
 def op2_template_decontamination(spark, sf_dir: str) -> DataFrame:

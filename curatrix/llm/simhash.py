@@ -160,16 +160,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     grouped = best.join(roots, best.fp == roots.node, "left").select("row", F.coalesce("root", "fp").alias("root"))
     stay = common.written(grouped.groupBy("root").agg(F.min("row").alias("row")).select("row.*"), "stay")
     repeated = per_row.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row.*").withColumn("again", F.lit(True))
-    stay = stay.join(repeated, (stay.id.eqNullSafe(repeated.id)) & (stay.k1 == repeated.k1) & (stay.k2 == repeated.k2), "left").select(
-        stay.id.alias("__stay_id"), stay.k1.alias("__stay_k1"), stay.k2.alias("__stay_k2"), F.coalesce("again", F.lit(False)).alias("__stay_again")
+    same = stay.id.eqNullSafe(repeated.id) & (stay.k1 == repeated.k1) & (stay.k2 == repeated.k2)
+    d1, d2, sid, s1, s2, again = common.unused(docs, "k1", "k2", "id", "s1", "s2", "again")
+    stay = stay.join(repeated, same, "left").select(
+        stay.id.alias(sid), stay.k1.alias(s1), stay.k2.alias(s2), F.coalesce("again", F.lit(False)).alias(again)
     )
-    d = docs.withColumns({"__k1": k1, "__k2": k2})
-    kept = d.join(
-        stay, d[doc_id].eqNullSafe(stay["__stay_id"]) & (d["__k1"] == stay["__stay_k1"]) & (d["__k2"] == stay["__stay_k2"])
-    )
-    once = kept.where(~F.col("__stay_again")).select(*[d[c] for c in docs.columns])
-    many = kept.where(F.col("__stay_again")).select(*[d[c] for c in docs.columns]).dropDuplicates()
-    return once.unionByName(many)
+    keyed = docs.withColumns({d1: k1, d2: k2})
+    kept = keyed.join(stay, F.col(doc_id).eqNullSafe(F.col(sid)) & (F.col(d1) == F.col(s1)) & (F.col(d2) == F.col(s2)))
+    once = kept.where(~F.col(again)).select(*docs.columns)
+    return once.unionByName(kept.where(again).select(*docs.columns).dropDuplicates())
 
 
 def op10_simhash_pigeonring(spark, sf_dir: str) -> DataFrame:
