@@ -40,10 +40,13 @@ MARKS = frozenset(
     newsletter subscribe signup login search pagination pager toolbar widget complementary contentinfo form""".split()
 )
 
+# possessive parts: a tag that never ends costs no second look
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})\b(?:[^>]*/>|[^>]*>.*?(?:</(?P=silent)\s*>|\Z))|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})\b(?:[^>]*+(?<=/)>|[^>]*+>.*?(?:</(?P=silent)\s*+>|\Z))"
+    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>|<(?=[a-z!?/])[^>]*+>",
     re.S | re.I,
 )
+_LOOSE = re.compile(r"<[a-z/!?]", re.I)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
@@ -94,6 +97,10 @@ def blocks(page: str | None) -> list[Block]:
             if in_link:
                 linked.append(s)
 
+    # a tag that is cut off at the end of the page is no text
+    tail = page.rfind(">") + 1
+    if loose := _LOOSE.search(page, tail):
+        page = page[: loose.start()]
     at = 0
     for m in _TOKEN.finditer(page):
         text(page[at : m.start()])

@@ -1,0 +1,147 @@
+"""The trained networks: gradients, held-out accuracy, whole texts, edge rows."""
+
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+from curatrix.llm import quality, secrets, toxicity
+from tests.llm import cases
+
+
+@pytest.fixture(scope="module")
+def labelled():
+    d = "/root/testdata/sf0.01"
+    return duckdb.sql(f"SELECT doc_id, text, quality, toxic FROM '{d}/documents.parquet' JOIN '{d}/labels.parquet' USING (doc_id) ORDER BY doc_id").fetchall()
+
+
+def held_out(rows, parts, rest, column):
+    out = [[], []]
+    for r in rows:
+        out[zlib.crc32(str(r[0]).encode()) % parts == rest].append((r[1], r[column]))
+    return [([t for t, _ in p], np.array([y for _, y in p], np.float32)) for p in out]
+
+
+def check_gradients(params, loss, grads, rng):
+    for name, g in grads.items():
+        flat = params[name].reshape(-1)
+        for i in rng.integers(0, flat.size, 4):
+            old = flat[i]
+            flat[i] = old + 1e-2
+            up = loss()
+            flat[i] = old - 1e-2
+            down = loss()
+            flat[i] = old
+            assert abs((up - down) / 2e-2 - g.reshape(-1)[i]) < 2e-2 + 0.1 * abs(g.reshape(-1)[i]), name
+
+
+def cross_entropy(logit, y):
+    return float(np.log1p(np.exp(logit)) - y * logit)
+
+
+def test_byte_net_gradients():
+    rng = np.random.default_rng(0)
+    net = quality.ByteNet.fresh(rng)
+    text = bytes(rng.integers(32, 120, 1200).astype(np.uint8))
+    loss = lambda: cross_entropy(net.logit(net.pooled(*net.cells(text), len(text))[0])[0], 1.0)
+    check_gradients(net.p, loss, net.gradients(text, 1.0, 1.0), rng)
+
+
+def test_recurrent_gradients():
+    rng = np.random.default_rng(0)
+    net = toxicity.BiGru.fresh(rng)
+    shape = (toxicity.WINDOW, 3)
+    e = (rng.standard_normal(shape).astype(np.float32), rng.integers(0, 50, shape), rng.integers(0, 50, shape), rng.integers(0, 50, shape), rng.integers(0, 9, shape))
+    mask = np.arange(toxicity.WINDOW)[:, None] < np.array([24, 9, 1])
+    y = np.array([1.0, 0.0, 1.0], np.float32)
+
+    def loss():
+        lg = net.logits(*net.project(net.inputs(e)), mask)
+        return float(np.mean([cross_entropy(v, t) for v, t in zip(lg, y, strict=True)]))
+
+    grads = net.gradients(e, mask, y, np.ones(3, np.float32))
+    check_gradients(net.p, loss, {k: v for k, v in grads.items() if k not in ("word", "head", "tail")}, rng)
+
+
+def test_quality_held_out(labelled):
+    (texts, y), (rest, truth) = held_out(labelled, 3, 1, 2)
+    net = quality.fit(texts, y)
+    said = net.scores([t.encode() for t in rest]) >= 0.5
+    assert (said == truth).mean() > 0.95 and said[truth == 1].mean() > 0.97
+    good = rest[int(np.flatnonzero(truth == 1)[0])].encode()
+    junk = b"DE!! UNE!! LE!! LE!! EN!! " * 200
+    assert abs(net.scores([good * 40])[0] - net.scores([good * 40 + junk * 20])[0]) > 1e-4  # the end counts
+    assert net.scores([b""]).shape == (1,)
+    np.testing.assert_allclose(net.scores([good, junk, good])[[0, 2]], net.scores([good])[0], rtol=1e-5)
+
+
+def test_toxicity_held_out(labelled):
+    (texts, y), (rest, truth) = held_out(labelled, 5, 0, 3)
+    model = toxicity.fit(texts, y)
+    scores = model.scores(rest)
+    said = scores >= 0.5
+    assert said[truth == 0].mean() < 0.05
+    order = np.argsort(np.argsort(scores))
+    n1, n0 = truth.sum(), (1 - truth).sum()
+    auc = (order[truth == 1].sum() - n1 * (n1 - 1) / 2) / (n1 * n0)
+    assert auc > 0.75
+    clean = " ".join(f"plain{i % 90}" for i in range(5000))
+    assert model.scores([clean + " idiot moron clown trash scum loser"])[0] > model.scores([clean])[0]
+    again = toxicity.Model(model.net, model.vocabulary, model.bend)
+    np.testing.assert_allclose(again.scores([rest[0], None, "", "x"])[0], scores[0], rtol=1e-4)
+
+
+def test_windows_cover_all_words():
+    for n in range(0, 200):
+        s = toxicity.starts(n)
+        assert s[0] == 0 and s[-1] + toxicity.WINDOW >= n and (len(s) == 1 or s[-1] < n)
+
+
+def test_without_both_labels():
+    assert quality.fit(["a", "b"], np.array([1, 1], np.float32)).scores([b"x"])[0] == 1.0
+    assert toxicity.fit([], np.array([], np.float32)).scores(["x"])[0] == 0.5
+
+
+def test_edge_rows(spark, tmp_path, small):
+    cases.docs(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(5, 1, 0), (6, 0, 1), (None, 1, 1), (4, None, None), (4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(
+        str(tmp_path / "labels.parquet")
+    )
+    for op, cut in ((quality.op5_byte_convolution, (3, 1)), (toxicity.op4_recurrent_toxicity, (5, 0))):
+        rows = op(spark, str(tmp_path)).collect()
+        assert len(rows) == len(cases.ROWS)
+        assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+        assert all(r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % cut[0] == cut[1]) for r in rows)
+        five = [r.score for r in rows if r.doc_id == 5]
+        assert five[0] == five[1]
+
+
+def test_secrets_base_spans_against_the_definition():
+    import re
+
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    rng = np.random.default_rng(2)
+    parts = ["token", "Secret", "PASSWD", "apikey", "api_key", "=", ":", " ", '"', "'", "abc", "abcdef", "0123456789abcdef", "AKIA", "ABCD1234", "deadbeef" * 3, "é", "𝔘", "\n", "x"]
+    for _ in range(3000):
+        t = "".join(parts[i] for i in rng.integers(0, len(parts), 14))
+        want = [(m.start(), m.end(), "assign") for m in assign.finditer(t) if len(m[2]) >= 6]
+        want += [(*m.span(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        want += [(*m.span(), "hex") for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+        assert secrets.base_spans(t) == sorted(want, key=lambda s: (s[0], secrets.KINDS.index(s[2])))
+
+
+def test_secrets_network():
+    net = secrets.fit()
+    fresh = secrets.labelled_findings(600, 99)
+    said = np.array([net.probability(*f[:3]) >= net.threshold for f in fresh])
+    y = np.array([f[3] for f in fresh])
+    assert said[y == 1].mean() > 0.93 and said[y == 0].mean() < 0.05
+    text = "𝔘 use ghp_AbCdEf0123456789AbCdEf0123456789AbCd now"
+    assert [(text[s:e], k) for s, e, k in secrets.scan(text, net)] == [("ghp_AbCdEf0123456789AbCdEf0123456789AbCd", "model")]
+    assert secrets.scan(None, net) == [] and secrets.scan("", net) == []
+
+
+def test_secrets_rows(spark, small):
+    rows = secrets.op7_character_convolution(spark, small).collect()
+    assert len(rows) == len(cases.texts(small))
