@@ -76,16 +76,16 @@ def test_quality_held_out(labelled):
     np.testing.assert_allclose(net.scores([good, junk, good])[[0, 2]], net.scores([good])[0], rtol=1e-5)
 
 
-def test_toxicity_held_out(labelled):
-    (texts, y), (rest, truth) = held_out(labelled, 5, 0, 3)
+def test_toxicity_held_out():
+    d = "/root/testdata/sf0.1"
+    rows = duckdb.sql(
+        f"SELECT doc_id, text, quality, toxic FROM '{d}/documents.parquet' JOIN '{d}/labels.parquet' USING (doc_id) ORDER BY doc_id LIMIT 2500"
+    ).fetchall()
+    (texts, y), (rest, truth) = held_out(rows, 5, 0, 3)
     model = toxicity.fit(texts, y)
     scores = model.scores(rest)
     said = scores >= 0.5
-    assert said[truth == 0].mean() < 0.05
-    order = np.argsort(np.argsort(scores))
-    n1, n0 = truth.sum(), (1 - truth).sum()
-    auc = (order[truth == 1].sum() - n1 * (n1 - 1) / 2) / (n1 * n0)
-    assert auc > 0.75
+    assert said[truth == 0].mean() < 0.03 and said[truth == 1].mean() > 0.7
     clean = " ".join(f"plain{i % 90}" for i in range(5000))
     assert model.scores([clean + " idiot moron clown trash scum loser"])[0] > model.scores([clean])[0]
     again = toxicity.Model(model.net, model.vocabulary, model.bend)
