@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from curatrix.plans import pages
+
+MODULES: tuple = (pages,)
 
 
 def queries() -> dict:
