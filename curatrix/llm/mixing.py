@@ -72,7 +72,7 @@ def targets(rows: DataFrame) -> DataFrame:
     s = s.withColumns({"upto": F.sum("slots").over(up_to), "all_slots": F.sum("slots").over(everything)})
     # 2**bits is at least twice the slots, so that every source finds its slots among the points
     s = s.withColumn("bits", F.when(F.col("all_slots") > 0, F.ceil(F.log2(F.col("all_slots") * 2.0))).otherwise(0).cast("int"))
-    scale = F.pow(F.lit(2.0), F.col("bits")) / F.col("all_slots")
+    scale = F.pow(F.lit(2.0), F.col("bits")) / F.nullif(F.col("all_slots"), F.lit(0))
     s = s.withColumns(
         {
             "low": F.ceil((F.col("upto") - F.col("slots")) * scale).cast("long"),
