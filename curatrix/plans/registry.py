@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from curatrix.plans import pages
+from curatrix.plans import documents, pages
 
-MODULES: tuple = (pages,)
+MODULES: tuple = (pages, documents)
 
 
 def queries() -> dict:
