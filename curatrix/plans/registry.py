@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from curatrix.plans import documents, pages
+from curatrix.plans import documents, pages, records
 
-MODULES: tuple = (pages, documents)
+MODULES: tuple = (pages, documents, records)
 
 
 def queries() -> dict:
