@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-Texts become templates: numbers, units after numbers and names (capitalised words inside a sentence)
-turn into typed placeholders, all else is folded to lower case without punctuation. Windows of eight
+Texts become templates: numbers, units after numbers and names (capitalised words inside a sentence,
+but not words all in capitals) turn into typed placeholders, all else is folded to lower case without punctuation. Windows of eight
 template words are hashed and joined to the windows of the benchmark. Matches must line up on one
 diagonal (document position minus item position) in a run of at least six windows, so thirteen words,
 and the slots must be consistent: one value of the item stands for one value of the document all
@@ -44,7 +44,7 @@ def _plain(text: Column) -> Column:
 def _template(plain: Column) -> Column:
     """The same words with placeholders: # a number, @ a name, ~ a unit."""
     x = F.regexp_replace(plain, r"(?<![^ ])[^ \p{Nd}]*\p{Nd}[^ ]*", "#")
-    x = F.regexp_replace(x, r"(?<=[^.!?: ] )\p{Lu}[^ ]*", "@")
+    x = F.regexp_replace(x, r"(?<=[^.!?: ] )\p{Lu}\p{Ll}[^ ]*", "@")
     x = F.lower(F.regexp_replace(x, r"[.!?:]+", ""))
     return F.regexp_replace(x, r"(?<=# )(?:" + "|".join(UNITS) + r")(?![^ ])", "~")
 
@@ -175,7 +175,7 @@ WITH src AS (
   SELECT kind, rid, id, raw,
          list_transform(raw, lambda w, i: CASE
            WHEN regexp_matches(w, '\p{Nd}') THEN '#'
-           WHEN i > 1 AND regexp_matches(w, '^\p{Lu}') AND raw[i - 1] <> ''
+           WHEN i > 1 AND regexp_matches(w, '^\p{Lu}\p{Ll}') AND raw[i - 1] <> ''
                 AND (regexp_matches(raw[i - 1], '\p{Nd}') OR regexp_matches(raw[i - 1], '[^.!?:]$')) THEN '@'
            ELSE lower(regexp_replace(w, '[.!?:]+', '', 'g')) END) AS half
   FROM plain

@@ -31,11 +31,16 @@ LENGTHS = 16
 #: Windows that run through the network together.
 LANES = 2048
 EPOCHS = 8
+STEPS = 360
 SEED = 11
 #: Labelled rows it is fitted on, at most.
 SAMPLE = 4000
 #: Folds of the training rows: a row's priors come from the other folds.
 FOLDS = 5
+#: Training rows a word must stand in to have a vector of its own; all rarer ones share one.
+SEEN = 4
+#: Share of training words that are known by their prior alone.
+BLIND = 0.5
 #: Words remembered by a task.
 KNOWN = 200_000
 
@@ -62,15 +67,15 @@ def prior(toxic: int, clean: int, toxic_rows: int, clean_rows: int) -> float:
 class Vocabulary:
     """Word to input numbers: prior, word slot, slots of the first and last characters, length."""
 
-    def __init__(self, priors: dict[str, float]):
-        self.priors = priors
+    def __init__(self, priors: dict[str, float], known: set[str]):
+        self.priors, self.known = priors, known
 
     def entry(self, w: str, priors: dict[str, float] | None = None) -> tuple[float, int, int, int, int]:
         def slot(s: str, n: int) -> int:
             return zlib.crc32(s.encode("utf-8", "surrogatepass")) % n
 
         p = (self.priors if priors is None else priors).get(w, 0.0)
-        return p, slot(w, WORD_SLOTS), slot("<" + w[:4], CHAR_SLOTS), slot(w[-4:] + ">", CHAR_SLOTS), min(len(w), LENGTHS) - 1
+        return p, 1 + slot(w, WORD_SLOTS - 1) if w in self.known else 0, slot("<" + w[:4], CHAR_SLOTS), slot(w[-4:] + ">", CHAR_SLOTS), min(len(w), LENGTHS) - 1
 
 
 def document_counts(rows: list[set[str]], y: np.ndarray) -> tuple[Counter, Counter]:
@@ -151,9 +156,12 @@ class BiGru:
         m = mask.astype(np.float32)
         return self.pool(np.concatenate([self.run(gf, m, "f"), self.run(gb, m, "b")], -1), mask)[0]
 
-    def gradients(self, e: tuple[np.ndarray, ...], mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, e: tuple[np.ndarray, ...], mask: np.ndarray, y: np.ndarray, weight: np.ndarray, blind: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Gradients of the mean loss. ``blind`` marks words whose learned vectors are left out."""
         p = self.p
         x = self.inputs(e)
+        if blind is not None:
+            x[blind, 1:] = 0
         m = mask.astype(np.float32)
         kept = {"f": [], "b": []}
         proj = dict(zip("fb", self.project(x), strict=True))
@@ -187,6 +195,8 @@ class BiGru:
             g["in_" + d] = np.tensordot(x, gp, ((0, 1), (0, 1)))
             g["bias_" + d] = gp.sum((0, 1))
             gx += gp @ p["in_" + d].T
+        if blind is not None:
+            gx[blind] = 0
         at = 1
         for name, ids, dim in (("word", e[1], WORD_DIM), ("head", e[2], CHAR_DIM), ("tail", e[3], CHAR_DIM), ("length", e[4], CHAR_DIM)):
             acc = np.zeros_like(p[name])
@@ -298,7 +308,8 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, batch: int = 128)
     for f in range(FOLDS):
         rest = [i for i in range(len(docs)) if fold[i] != f]
         priors.append(make_priors([sets[i] for i in rest], y[rest]))
-    vocabulary = Vocabulary(make_priors(sets, y))
+    held = Counter(w for s in sets for w in s)
+    vocabulary = Vocabulary(make_priors(sets, y), {w for w, n in held.items() if n >= SEEN})
     entries = []
     for i, d in enumerate(docs):
         e = [vocabulary.entry(w, priors[fold[i]]) for w in d] or [vocabulary.entry("")]
@@ -335,6 +346,8 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, batch: int = 128)
 
     highest = {i: int(by_prior(i).argmax()) for i in range(len(docs))}
     share = float(y.mean())
+    # few rows make few steps an epoch: then more epochs, until there are STEPS
+    epochs = max(epochs, min(80, -(-STEPS * batch // (2 * len(docs)))))
     for epoch in range(epochs):
         if epoch >= 2 and epoch % 2 == 0:
             for i, lg in zip(range(len(docs)), all_logits(list(range(len(docs)))), strict=True):
@@ -347,7 +360,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, batch: int = 128)
             e, mask = lanes(part)
             yy = y[[i for i, _ in part]]
             weight = np.where(yy == 1, (0.5 / share) ** 0.5, 1.0).astype(np.float32)
-            opt.step(net.gradients(e, mask, yy, weight), 1 - 0.9 * epoch / epochs)
+            opt.step(net.gradients(e, mask, yy, weight, rng.random(mask.shape) < BLIND), 1 - 0.9 * epoch / epochs)
     model = Model(net, vocabulary)
     model.bend = _bent(all_logits(list(range(len(docs)))), y)
     return model
