@@ -63,6 +63,11 @@ def words_pattern(tokens) -> str:
     return r"(?U)\b(?:" + "|".join(re.escape(t).replace(r"\ ", " ").replace(r"\-", "-") for t in tokens) + r")\b"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def labels(text: Column, vocabulary: dict[str, list[str]]) -> Column:
     """All labels of which a token stands in ``text`` (lower case), in vocabulary order."""
     return F.array_compact(F.array(*[F.when(text.rlike(words_pattern(t)), F.lit(label)) for label, t in vocabulary.items()]))
@@ -79,7 +84,7 @@ def sentences(text: Column) -> Column:
 def acquisition_labels(text: Column, vocabulary: dict[str, list[str]] = MODALITIES, tools=TOOL_WORDS) -> Column:
     """Labels from the sentences that name no tool."""
     clean = F.filter(F.transform(sentences(text), F.lower), lambda s: ~s.rlike(words_pattern(tools)))
-    return labels(F.array_join(clean, " \n "), vocabulary)
+    return let(F.array_join(clean, " \n "), lambda t: labels(t, vocabulary))
 
 
 def normalise(values: Column, vocabulary: dict[str, list[str]]) -> Column:
@@ -90,10 +95,10 @@ def normalise(values: Column, vocabulary: dict[str, list[str]]) -> Column:
     return F.array_distinct(F.transform(clean, lambda v: F.coalesce(F.try_element_at(known, v), v)))
 
 
-def tiers(*evidence: tuple[str, Column]) -> tuple[Column, Column]:
-    """The first evidence with a label: (labels, name of its tier)."""
-    some = [(name, F.when(F.size(c) > 0, c)) for name, c in evidence]
-    return F.coalesce(*[c for _, c in some]), F.coalesce(*[F.when(c.isNotNull(), F.lit(name)) for name, c in some])
+def tiers(*evidence: tuple[str, Column]) -> Column:
+    """Struct (labels, tier) of the first evidence that has a label; null where none has."""
+    some = F.array(*[F.struct(c.alias("labels"), F.lit(name).alias("tier")) for name, c in evidence])
+    return F.try_element_at(F.filter(some, lambda e: F.size(e["labels"]) > 0), F.lit(1))
 
 
 def modality_overlap(requested: str, declared: Column) -> Column:

@@ -44,28 +44,27 @@ def _tiers():
     def ascii(c):
         return F.lower(F.regexp_replace(c, r"[^\x00-\x7F]", "x"))
 
-    declared = F.when(F.col("source").isin("src1", "src2"), F.array(F.lit("declared")))
-    return V.tiers(
-        ("structured", F.coalesce(declared, F.array().cast("array<string>"))), ("title", V.labels(ascii(F.col("title")), TOPICS)), ("description", V.labels(ascii(F.col("text")), TOPICS))
-    )
+    def found(c):
+        return V.let(ascii(c), lambda t: V.labels(t, TOPICS))
+
+    declared = F.when(F.col("source").isin("src1", "src2"), F.array(F.lit("declared"))).otherwise(F.array().cast("array<string>"))
+    return V.tiers(("structured", declared), ("title", found(F.col("title"))), ("description", found(F.col("text"))))
 
 
 def q_evidence_tier(spark, d):
-    found, tier = _tiers()
-    return documents(spark, d).select("doc_id", F.array_join(found, ",").alias("labels"), tier.alias("tier"))
+    return documents(spark, d).withColumn("e", _tiers()).select("doc_id", F.array_join("e.labels", ",").alias("labels"), "e.tier")
 
 
 def q_enrich(spark, d):
     """Fills only what is empty, and says what was filled."""
-    found, tier = _tiers()
-    x = documents(spark, d).withColumns({"found": found, "tier": tier, "declared_lang": F.when(F.col("doc_id") % 3 == 0, F.col("lang"))})
+    x = documents(spark, d).withColumns({"e": _tiers(), "declared_lang": F.when(F.col("doc_id") % 3 == 0, F.col("lang"))})
     trail = F.array_compact(
         F.array(
-            F.when((F.col("tier") != "structured") & (F.size("found") > 0), F.concat(F.lit("topic:"), F.col("tier"))),
+            F.when(F.col("e.tier") != "structured", F.concat(F.lit("topic:"), F.col("e.tier"))),
             F.when(F.col("declared_lang").isNull() & F.col("lang").isNotNull(), F.lit("lang:metadata")),
         )
     )
-    return x.select("doc_id", F.coalesce(F.element_at("found", 1), F.lit("")).alias("topic"), F.coalesce("declared_lang", "lang").alias("lang"), F.array_join(trail, ",").alias("trail"))
+    return x.select("doc_id", F.coalesce(F.element_at("e.labels", 1), F.lit("")).alias("topic"), F.coalesce("declared_lang", "lang").alias("lang"), F.array_join(trail, ",").alias("trail"))
 
 
 def _scored(spark, d):
