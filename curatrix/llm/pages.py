@@ -37,8 +37,11 @@ MARKS = frozenset(
     """ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar nav navbar
     navigation menu breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices alert popup
     modal overlay comment comments disqus respond replies discussion share sharing social related recommended
-    newsletter subscribe signup login search pagination pager toolbar widget complementary contentinfo form""".split()
+    newsletter subscribe signup login search pagination pager toolbar widget complementary contentinfo form responses
+    reactions feedback disclaimer topbar adbox adslot adunit adsense cta""".split()
 )
+#: First words of class names that describe a layout. Fixed values.
+LAYOUT = frozenset("has with without no is not".split())
 
 # possessive parts: a tag that never ends costs no second look
 _TOKEN = re.compile(
@@ -65,13 +68,22 @@ class Block:
         return self.linked / self.words
 
 
+def _marked(name: str) -> bool:
+    """Whether a class, id or role names such a region; ``has-sidebar`` and the like only speak of one."""
+    words = re.split(r"[^a-z0-9]+", name)
+    return words[0] not in LAYOUT and bool(set(words) & MARKS)
+
+
 def _aside(tag: str, attrs: str) -> bool:
     if tag in ASIDE:
         return True
     if not attrs.strip():
         return False
-    words = {w for m in _ATTR.finditer(attrs) for w in re.split(r"[^a-z0-9]+", m[2].lower())}
-    return bool(words & MARKS) or bool(_HIDDEN.search(attrs))
+    if _HIDDEN.search(attrs):
+        return True
+    if tag in ("body", "main", "article"):  # their classes describe the layout
+        return False
+    return any(_marked(name) for m in _ATTR.finditer(attrs) for name in m[2].lower().strip("\"'").split())
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -125,7 +137,7 @@ def blocks(page: str | None) -> list[Block]:
             _, article, aside = open_regions[-1] if open_regions else ("", False, False)
             own = _aside(tag, m["attrs"] or "")
             inside = article or tag in ("article", "main")
-            open_regions.append((tag, inside, aside or own))
+            open_regions.append((tag, inside, own or (aside and tag != "main")))
         else:
             for i in range(len(open_regions) - 1, -1, -1):
                 if open_regions[i][0] == tag:

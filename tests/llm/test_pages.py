@@ -34,6 +34,11 @@ def test_page_without_article_elements():
     assert pages.main_text(page, TREE)[0] == f"A heading of some words\n{body}\n{body}"
 
 
+def test_layout_classes_hide_nothing():
+    page = '<body class="has-sidebar menu-open"><div class="content with-sidebar"><article class="post has-comments"><p>Short text.</p></article></div><div class="user-comments"><p>I read it.</p></div></body>'
+    assert pages.main_text(page, TREE)[0] == "Short text."
+
+
 def test_tree_learns_its_table():
     x, y = pages.labelled_table()
     assert ((TREE.shares(x) >= 0.5) == y).mean() > 0.95
