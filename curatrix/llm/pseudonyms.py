@@ -15,7 +15,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -179,6 +179,39 @@ _LIKELY = re.compile(r"[@0-9]")
 _GAP = re.compile(r"[ -]")
 
 
+#: Lengths of account numbers by country. Fixed values.
+IBAN_LENGTHS = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DK=18, DO=28,
+    EE=20, EG=29, ES=24, FI=18, FO=18, FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, GT=28, HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26,
+    IT=27, JO=30, KW=30, KZ=20, LB=28, LC=32, LI=21, LT=20, LU=20, LV=21, MC=27, MD=24, ME=22, MK=19, MR=27, MT=31, MU=30, NL=18,
+    NO=15, PK=24, PL=28, PS=29, PT=25, QA=29, RO=24, RS=22, SA=24, SC=31, SE=24, SI=19, SK=24, SM=27, ST=25, SV=28, TL=23, TN=24,
+    TR=26, UA=29, VA=22, VG=24, XK=20,
+)
+
+
+#: Digits of phone numbers with their country code, for countries where all have as many. Fixed values.
+PHONE_DIGITS = {"1": 11, "7": 11, "30": 12, "31": 11, "33": 11, "34": 11, "41": 11, "44": 12, "45": 10, "47": 10, "48": 11, "52": 12, "61": 11, "90": 12, "91": 12, "351": 12, "420": 12}
+
+
+def _matches(kind: str, pattern: re.Pattern, text: str, m: re.Match) -> Iterator[re.Match]:
+    """The match and, for kinds that run on over blanks, those of the same start that end at an earlier blank.
+
+    The longest come first, but before all the one of the length that the country prescribes."""
+    ends = [m.end()]
+    if kind in ("iban", "card", "phone"):
+        ends += [m.start() + i for i in range(len(m[0]) - 1, 0, -1) if m[0][i] == " "]
+    if kind == "iban" and (length := IBAN_LENGTHS.get(m[0][:2])):
+        own = [e for e in ends if len(text[m.start() : e].replace(" ", "")) == length]
+        ends = list(dict.fromkeys([*own, m.end()]))
+    elif kind == "phone" and m[0][0] == "+":
+        digits = re.sub(r"\D", "", m[0])
+        length = next((n for c, n in PHONE_DIGITS.items() if digits.startswith(c)), 0)
+        ends.sort(key=lambda e: sum(c.isdigit() for c in text[m.start() : e]) != length)
+    for end in ends:
+        if one := m if end == m.end() else pattern.fullmatch(text, m.start(), end):
+            yield one
+
+
 def findings(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """Validated, non-overlapping (start, end, kind, pseudonym) in the order of the text."""
     out: list[tuple[int, int, str, str]] = []
@@ -190,12 +223,16 @@ def findings(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
             continue
         at = 0
         while m := pattern.search(text, at):
-            new = None if any(taken[m.start() : m.end()]) else pseudonym(m, key)
+            new = None
+            for one in _matches(kind, pattern, text, m):
+                if not any(taken[one.start() : one.end()]) and (new := pseudonym(one, key)) is not None:
+                    break
             if new is None:
                 # what failed may hide a valid value that begins at its next word
                 gap = _GAP.search(text, m.start() + 1, m.end())
-                at = gap.end() if kind == "card" and gap else m.end()
+                at = gap.end() if kind in ("card", "iban") and gap else m.end()
                 continue
+            m = one
             out.append((m.start(), m.end(), kind, new))
             taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
             at = m.end()

@@ -71,3 +71,18 @@ def test_edge_rows(spark):
     assert out.columns == docs.columns
     assert sorted(map(str, (r.text for r in out.collect()))) == sorted(map(str, (r[1] for r in cases.ROWS)))
     assert P.mask(cases.docs(spark, [])).count() == 0
+
+
+def test_values_before_other_words_and_numbers():
+    for value, kind, behind in (
+        ("DE89370400440532013000", "iban", " EUR 50"),
+        ("DE89 3704 0044 0532 0130 00", "iban", " BIC"),
+        ("4111111111111111", "card", " 12/25"),
+        ("4111 1111 1111 1111", "card", " 123"),
+        ("+1 212 555 7713", "phone", " 42 times"),
+        ("+1 (017) 555-7713", "phone", " 20"),
+        ("+44 20 7946 0958", "phone", " 1234"),
+    ):
+        text = f"here {value}{behind}"
+        assert P.findings(text, KEY)[0][:3] == (5, 5 + len(value), kind) and len(P.findings(text, KEY)) == 1
+        assert masked(text) == f"here {masked(value)}{behind}" != text
