@@ -23,11 +23,15 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from curatrix.llm import common
 
-#: Elements whose content is no text of the page. Fixed values.
-SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|head|title|textarea|select|option|button"
+#: Elements whose content is no text of the page and no markup; they run on to their end tag. Fixed values.
+SILENT = "script|style|iframe|title|textarea"
+#: Elements whose content is no text of the page; without an end tag only the tag itself is left out. Fixed values.
+SOFT = frozenset("noscript template svg object canvas audio video select datalist button annotation annotation-xml".split())
 #: Elements that stay inside a block; all others end it. Fixed values.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
+    """a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br
+    math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover
+    mmultiscripts mprescripts mtable mtr mtd mlabeledtr maction semantics""".split()
 )
 #: Elements that are open until they are closed, so that what is in them stands in a region. Fixed values.
 REGIONS = frozenset("article main section div nav header footer aside form fieldset dialog menu ul ol dl table figure details blockquote body".split())
@@ -45,10 +49,12 @@ LAYOUT = frozenset("has with without no is not".split())
 
 # possessive parts: a tag that never ends costs no second look
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})\b(?:[^>]*+(?<=/)>|[^>]*+>.*?(?:</(?P=silent)\s*+>|\Z))"
+    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})(?=[\s/>])(?:[^>]*+(?<=/)>|[^>]*+>.*?(?:</(?P=silent)\s*+>|\Z))"
+    r"|<option(?=[\s/>])[^>]*+>[^<]*+"  # any tag ends it
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>|<(?=[a-z!?/])[^>]*+>",
     re.S | re.I,
 )
+_CLOSE = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in SOFT}
 _LOOSE = re.compile(r"<[a-z/!?]", re.I)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -114,12 +120,20 @@ def blocks(page: str | None) -> list[Block]:
     if loose := _LOOSE.search(page, tail):
         page = page[: loose.start()]
     at = 0
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()
+    while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if tag in SOFT:
+            if not m["end"] and not m["attrs"].endswith("/") and tag not in unclosed:
+                if close := _CLOSE[tag].search(page, at):
+                    at = close.end()
+                else:
+                    unclosed.add(tag)
+            continue
         if tag in INLINE:
             if tag == "br":
                 text(" ")

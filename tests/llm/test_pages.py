@@ -58,3 +58,16 @@ def test_edges():
     for page in (None, "", "   ", "<", "<p", "<!--", "<script>", "plain", "</div></div>", "<div" * 5000, "<a href='" + "x" * 10_000):
         pages.main_text(page, TREE)
     assert pages.main_text(None, TREE) == ("", 0)
+
+
+def test_silent_elements_end_where_they_end():
+    def text(page):
+        return " / ".join(b.text for b in pages.blocks(page))
+
+    for name in ("svg-icon", "video-player", "button-group", "title-bar"):
+        assert text(f'<article><p>one</p><{name} name="a"></{name}><p>rest of article</p></article>') == "one / rest of article"
+    assert text("<head><title>x</title><meta charset=a><body><p>all the text</p>") == "all the text"
+    assert text("<p>a<select><option>b<option>c</select></p><datalist><option>d<option>e</datalist><p>f</p><option>g<p>h</p>") == "a / f / h"
+    assert text("<div><button>send<p>rest</p></div><svg/><p>end</p>") == "send / rest / end"
+    assert text("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding=tex>x=2</annotation></semantics></math> holds</p>") == "so x=2 holds"
+    assert text("<svg><title>t</title><text>u</text></svg><p>v</p><script>w") == "v"
