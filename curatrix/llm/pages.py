@@ -46,6 +46,13 @@ MARKS = frozenset(
 )
 #: First words of class names that describe a layout. Fixed values.
 LAYOUT = frozenset("has with without no is not".split())
+#: Words that may follow such a word in a name that marks a region inside an article. Fixed values.
+SUFFIXES = frozenset(
+    """box list container wrapper wrap inner outer section area block unit slot panel module thread item items link links button
+    buttons bar left right top bottom inline post posts article articles story stories form header""".split()
+)
+#: Words that, as an id inside an article, name a section of its text as well as they name a region. Fixed values.
+TOPICS = frozenset("discussion reactions responses feedback search notice notices alert navigation menu social sharing share banner form consent disclaimer promotion advertising".split())
 
 # possessive parts: a tag that never ends costs no second look
 _TOKEN = re.compile(
@@ -74,13 +81,23 @@ class Block:
         return self.linked / self.words
 
 
-def _marked(name: str) -> bool:
-    """Whether a class, id or role names such a region; ``has-sidebar`` and the like only speak of one."""
-    words = re.split(r"[^a-z0-9]+", name)
-    return words[0] not in LAYOUT and bool(set(words) & MARKS)
+def _marked(name: str, kind: str, inside: bool) -> bool:
+    """Whether a class, id or role names such a region; ``has-sidebar`` and the like only speak of one.
+
+    Inside an article the whole name must, but for known last words: a section's id is a title."""
+    words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+    if not words or words[0] in LAYOUT:
+        return False
+    if not inside:
+        return bool(set(words) & MARKS)
+    if kind == "id" and len(words) == 1 and words[0] in TOPICS:
+        return False
+    while len(words) > 1 and words[-1] in SUFFIXES:
+        words.pop()
+    return set(words) <= MARKS
 
 
-def _aside(tag: str, attrs: str) -> bool:
+def _aside(tag: str, attrs: str, inside: bool) -> bool:
     if tag in ASIDE:
         return True
     if not attrs.strip():
@@ -89,7 +106,7 @@ def _aside(tag: str, attrs: str) -> bool:
         return True
     if tag in ("body", "main", "article"):  # their classes describe the layout
         return False
-    return any(_marked(name) for m in _ATTR.finditer(attrs) for name in m[2].lower().strip("\"'").split())
+    return any(_marked(name, m[1].lower(), inside) for m in _ATTR.finditer(attrs) for name in m[2].lower().strip("\"'").split())
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -149,7 +166,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if not m["end"]:
             _, article, aside = open_regions[-1] if open_regions else ("", False, False)
-            own = _aside(tag, m["attrs"] or "")
+            own = _aside(tag, m["attrs"] or "", article)
             inside = article or tag in ("article", "main")
             open_regions.append((tag, inside, own or (aside and tag != "main")))
         else:

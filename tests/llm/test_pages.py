@@ -71,3 +71,13 @@ def test_silent_elements_end_where_they_end():
     assert text("<div><button>send<p>rest</p></div><svg/><p>end</p>") == "send / rest / end"
     assert text("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding=tex>x=2</annotation></semantics></math> holds</p>") == "so x=2 holds"
     assert text("<svg><title>t</title><text>u</text></svg><p>v</p><script>w") == "v"
+
+
+def test_titles_of_sections_are_no_marks():
+    said = "This part of the article tells in many words what was found there and why it matters to us."
+    for attrs in ('id="search-and-rescue"', 'id="related-work"', 'id="social-history"', 'id="ad-hoc-networks"', 'class="feedback-loops"', 'id="discussion"'):
+        page = f"<article><h1>A title</h1><p>{said}</p><section {attrs}><p>{said}</p></section></article>"
+        assert pages.main_text(page, TREE)[0] == f"A title\n{said}\n{said}", attrs
+    for attrs in ('class="ad"', 'class="ad-box"', 'id="comments"', 'class="comments-list"', 'class="related-posts"', 'class="share-buttons"', 'class="newsletter-signup"'):
+        page = f"<article><h1>A title</h1><p>{said}</p><section {attrs}><p>{said}</p></section></article>"
+        assert pages.main_text(page, TREE)[0] == f"A title\n{said}", attrs
