@@ -12,6 +12,12 @@ A key shared by many fingerprints (a large group of near copies) would emit the
 Such fingerprints are linked another exact way: two of them are within distance 2 if and only if
 their balls of radius 1 meet, so each emits its 65 neighbours, and those that meet at a neighbour
 (65 at most) are tied in a star. No pair is lost, and the rows stay linear in the input.
+
+Texts of a given similarity (Jaccard over five-word shingles) differ in too many bits for such keys.
+:func:`keep_unlike` finds them by bands of least hashes instead: a pair at the similarity 0.8 shares
+none of the 24 bands of five with a probability of 0.00007, and less above it. Pairs that share a
+band are then compared exactly. A band shared by many texts is resolved in rounds against hubs: who
+resembles a hub is tied to it, and those left over are compared with twice as many hubs in the next.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from curatrix.llm import common
 
@@ -31,21 +38,31 @@ DISTANCE = 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints under one key that are still compared pairwise.
 PAIRWISE = 48
+#: Bands of least hashes, and hashes in each.
+BANDS, ROWS = 24, 5
+#: Rows of a table that may be broadcast: hubs with their shingles of some KB each, and keys.
+BROADCAST_HUBS, BROADCAST_KEYS = 2_000, 500_000
 
 
-def fingerprint_of(text: str | None, width: int = 3) -> int:
-    """The unsigned fingerprint of one text: majority bits over its word shingles."""
+def _shingles(text: str | None, width: int) -> list[int]:
+    """Hashes of the word shingles of a text, a shorter text being one; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both split and fold bytes as ASCII
     if not words:
-        return 0
+        return []
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        flat = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[: -width].tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(flat[s : e - 1], SEED) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
+    flat = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[: -width].tolist()]
+    digest = xxhash.xxh64_intdigest
+    return [digest(flat[s : e - 1], SEED) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)]
+
+
+def fingerprint_of(text: str | None, width: int = 3) -> int:
+    """The unsigned fingerprint of one text: majority bits over its word shingles."""
+    hashes = _shingles(text, width)
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     on = 2 * np.add.reduce(bits, axis=0, dtype=np.int64) > len(hashes)
     return int(np.packbits(on, bitorder="little").view("<u8")[0])
@@ -152,13 +169,23 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     Among rows of that same id the one with the least text hash stays, and rows that repeat it whole
     count once. Rows with a null id stay only where their group has no other."""
     common.small_batches(docs.sparkSession)
-    k1, k2 = common.text_keys(F.coalesce(F.col(text), F.lit("")))
-    rank = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), k1.alias("k1"), k2.alias("k2"))
+    rank = _rank(docs, doc_id, text)
     per_row = common.written(docs.select(fingerprint(F.col(text), width).alias("fp"), rank.alias("row")), "fingerprints")
     best = per_row.groupBy("fp").agg(F.min("row").alias("row"))
     roots = common.components(links(best.select("fp")), "a", "b")
     grouped = best.join(roots, best.fp == roots.node, "left").select("row", F.coalesce("root", "fp").alias("root"))
     stay = common.written(grouped.groupBy("root").agg(F.min("row").alias("row")).select("row.*"), "stay")
+    return _staying(docs, per_row, stay, doc_id, text)
+
+
+def _rank(docs: DataFrame, doc_id: str, text: str) -> Column:
+    k1, k2 = common.text_keys(F.coalesce(F.col(text), F.lit("")))
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), k1.alias("k1"), k2.alias("k2"))
+
+
+def _staying(docs: DataFrame, per_row: DataFrame, stay: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose rank is in ``stay``; those that repeat a row whole count once."""
+    k1, k2 = common.text_keys(F.coalesce(F.col(text), F.lit("")))
     repeated = per_row.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row.*").withColumn("again", F.lit(True))
     same = stay.id.eqNullSafe(repeated.id) & (stay.k1 == repeated.k1) & (stay.k2 == repeated.k2)
     d1, d2, sid, s1, s2, again = common.unused(docs, "k1", "k2", "id", "s1", "s2", "again")
@@ -171,6 +198,116 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     return once.unionByName(kept.where(again).select(*docs.columns).dropDuplicates())
 
 
+# ---------------------------------------------------------------- texts of a given similarity
+
+_DRAWN = np.random.default_rng(SEED)
+_TIMES = _DRAWN.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+_PLUS = _DRAWN.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
+
+
+def _set_of(text: str | None, width: int) -> np.ndarray:
+    return np.unique(np.array(_shingles(text, width), "<u8"))
+
+
+def sketch_of(text: str | None, width: int) -> tuple[bytes, np.ndarray]:
+    """The 128-bit name of the text's set of shingles, and its band keys (none without words)."""
+    hashes = _set_of(text, width)
+    name = xxhash.xxh3_128_digest(hashes.tobytes())
+    if not len(hashes):
+        return name, np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 2048):  # a few MB at once
+        least = np.minimum(least, (hashes[None, at : at + 2048] * _TIMES + _PLUS).min(axis=1))
+    return name, np.array([_signed(xxhash.xxh64_intdigest(band.tobytes(), i)) for i, band in enumerate(least.reshape(BANDS, ROWS))], np.int64)
+
+
+def _sketch(text: Column, width: int) -> Column:
+    kind = StructType([StructField("node", BinaryType()), StructField("keys", ArrayType(LongType()))])
+
+    @pandas_udf(kind)
+    def run(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sketch_of(t, width) for t in batch], columns=["node", "keys"])
+
+    return run(text)
+
+
+def _set(text: Column, width: int) -> Column:
+    @pandas_udf(ArrayType(LongType()))
+    def run(batch: pd.Series) -> pd.Series:
+        return pd.Series([_set_of(t, width).view(np.int64) for t in batch], dtype=object)
+
+    return run(text)
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int, hubs: bool = False) -> DataFrame:
+    """The pairs (a, b) whose sets have at least ``percent`` of their union in common. ``hubs``: few b with many a."""
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    if hubs:
+        right = _small(right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi"), BROADCAST_HUBS)
+    shared = F.size(F.array_intersect("x", "y"))
+    return (
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+        .where(F.size("x") > 0)
+        .join(right, "b")
+        .where((F.size("x") * 100 >= F.size("y") * percent) & (F.size("y") * 100 >= F.size("x") * percent))
+        .where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent)
+        .select("a", "b")
+    )
+
+
+def _resembling(best: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> tuple[DataFrame, bool]:
+    """Edges (a, b) of sets that resemble each other, and whether a band was crowded."""
+    keyed = common.written(best.select(F.explode("keys").alias("key"), "node"), "keys")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = common.written(keyed.join(sizes, "key"), "shared")
+    common.forget(keyed)
+    k1, k2 = common.text_keys(F.coalesce(F.col(text), F.lit("")))
+    wanted = common.written(best.join(shared.select("node").distinct(), "node", "left_semi").select("node", "row.k1", "row.k2"), "wanted")
+    held = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text).alias("t")).join(_small(wanted, BROADCAST_KEYS), ["k1", "k2"])
+    sets = common.written(held.groupBy("node").agg(F.first("t").alias("t")).select("node", _set(F.col("t"), width).alias("shingles")), "sets")
+    few = shared.where(F.col("n") <= PAIRWISE)
+    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    edges = common.written(_alike(pairs, sets, percent), "alike")
+    rest = common.written(shared.where(F.col("n") > PAIRWISE).select("key", "node"), "rest")
+    crowded, hubs = not rest.isEmpty(), 1
+    while not rest.isEmpty():
+        slot = F.pmod(F.xxhash64("node"), F.lit(hubs))
+        chosen = _small(common.written(rest.groupBy("key", slot.alias("slot")).agg(F.min("node").alias("b")).select("key", "b"), "hubs"), BROADCAST_KEYS)
+        met = common.written(rest.withColumnRenamed("node", "a").join(chosen, "key").select("key", "a", "b"), "met")
+        found = common.written(_alike(met.where("a != b").select("a", "b").distinct(), sets, percent, hubs=True), "alike")
+        edges = edges.unionByName(found)
+        # tied to a hub of the band, or a hub: done with in this band
+        done = met.where("a = b").select("key", "a").unionByName(met.join(found, ["a", "b"], "left_semi").select("key", "a")).distinct()
+        rest = common.written(rest.join(done.withColumnRenamed("a", "node"), ["key", "node"], "left_anti"), "rest")
+        hubs *= 2
+    return edges.distinct(), crowded
+
+
+def keep_unlike(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of similar texts, chosen as in :func:`keep_one`.
+
+    Texts are linked where the Jaccard similarity of their shingles is ``percent`` or more. The search
+    is repeated over the rows that stay while a band is crowded: there, a row may have met its hub only."""
+    common.small_batches(docs.sparkSession)
+    per_row = common.written(docs.select(_sketch(F.col(text), width).alias("s"), _rank(docs, doc_id, text).alias("row")).select("s.*", "row"), "sketches")
+    best = common.written(per_row.groupBy("node").agg(F.min("row").alias("row"), F.first("keys").alias("keys")), "best")
+    while True:
+        edges, crowded = _resembling(best, docs, text, width, percent)
+        edges = common.written(edges, "links")
+        if edges.isEmpty():
+            break
+        roots = common.components(edges, "a", "b").withColumnRenamed("node", "of")
+        grouped = best.join(roots, best.node == F.col("of"), "left").select(F.coalesce("root", "node").alias("root"), F.struct("row", "node", "keys").alias("r"))
+        best = common.written(grouped.groupBy("root").agg(F.min("r").alias("r")).select("r.*"), "best")
+        if not crowded:
+            break
+    return _staying(docs, per_row, common.written(best.select("row.*"), "stay"), doc_id, text)
+
+
 def op10_simhash_pigeonring(spark, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate components over all documents."""
     out = near_duplicates(common.table(spark, sf_dir, "documents"))

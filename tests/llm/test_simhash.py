@@ -3,6 +3,7 @@ from collections import Counter
 
 import xxhash
 
+import corpus_pipeline
 from curatrix.llm import common, simhash
 from tests.llm import cases
 
@@ -67,3 +68,43 @@ def test_keep_one_keeps_one_row_of_each_group(spark):
     got = Counter((r.doc_id, r.text) for r in kept.collect())
     assert got[(1, "")] == 1 and got[(5, "one")] == 1 and sum(got.values()) == 6
     assert simhash.keep_one(cases.docs(spark, [])).count() == 0
+
+
+def test_keep_unlike_drops_edited_copies(spark):
+    rng = random.Random(5)
+
+    def words(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    def edited(base, n):
+        out = list(base)
+        for i in rng.sample(range(len(out)), n):
+            out[i] = f"x{rng.randrange(10**6)}"
+        return out
+
+    texts = [words(rng.randint(30, 200)) for _ in range(60)]
+    texts += [edited(t, rng.randint(1, 6)) for t in texts]
+    centre = words(300)  # a crowded group
+    texts += [edited(centre, rng.randint(0, 4)) for _ in range(150)]
+    texts = [" ".join(t) for t in texts] + ["a short text", "A short  text", "", None]
+    sets = [simhash._set_of(t, 5).tolist() for t in texts]
+    sets = [set(s) for s in sets]
+
+    def alike(a, b):
+        x, y = sets[a], sets[b]
+        return x == y or 100 * len(x & y) >= 80 * len(x | y) > 0
+
+    root = cases.components(range(len(texts)), alike)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    far = [i for i in range(60) if root[60 + i] == i and (plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[60 + i])).bit_count() > 2]
+    assert len(far) > 5
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == set(root.values())
+
+
+def test_keep_unlike_edge_rows(spark):
+    docs = cases.docs(spark)
+    kept = simhash.keep_unlike(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got[(1, "")] == 1 and got[(5, "one")] == 1 and sum(got.values()) == 6
+    assert simhash.keep_unlike(cases.docs(spark, [])).count() == 0
