@@ -2,11 +2,15 @@
 
 Texts become templates: numbers, units after numbers and names (capitalised words inside a sentence,
 but not words all in capitals) turn into typed placeholders, all else is folded to lower case without punctuation. Windows of eight
-template words are hashed and joined to the windows of the benchmark. Matches must line up on one
+template words are hashed and joined to the windows of the benchmark; windows of hardly anything but
+placeholders are hashed with their own words, so they match verbatim only. Matches must line up on one
 diagonal (document position minus item position) in a run of at least six windows, so thirteen words,
-and the slots must be consistent: one value of the item stands for one value of the document all
-along. So an item with other numbers or names in it is caught, while texts that merely share phrases
-of placeholders are not.
+which holds seven literal words or is the item's own text, and the slots must be consistent: one value
+of the item stands for one value of the document all along. So an item with other numbers or names in
+it is caught, while texts that merely share phrases of placeholders are not.
+
+All is done for two templates: with names typed, and with names folded like other words. A copy in
+small letters or capitals shows no names and matches by the second one.
 
 Documents are probed at every sixth window only: any run of six holds one of them, so nothing is
 lost. The few documents with a match are then looked at in full.
@@ -21,8 +25,10 @@ from curatrix.llm import common
 
 WIDTH = 8
 RUN = 6
-#: Placeholders allowed in a window of the benchmark.
-SLOTS = 3
+#: Placeholders in a window up to which it is joined by its template; beyond, by its own words too.
+SLOTS = 6
+#: Literal words of a run that is not verbatim.
+LITERALS = 7
 #: Rows of a table that may be broadcast: about 40 bytes each, so 40 MB at most.
 BROADCAST_ROWS = 1_000_000
 
@@ -41,19 +47,51 @@ def _plain(text: Column) -> Column:
     return F.regexp_replace(x, r"[^\p{L}\p{Nd} .!?:]+", "")
 
 
-def _template(plain: Column) -> Column:
-    """The same words with placeholders: # a number, @ a name, ~ a unit."""
+def _template(plain: Column, names: bool = True) -> Column:
+    """The same words with placeholders: # a number, @ a name (unless they are folded), ~ a unit."""
     x = F.regexp_replace(plain, r"(?<![^ ])[^ \p{Nd}]*\p{Nd}[^ ]*", "#")
-    x = F.regexp_replace(x, r"(?<=[^.!?: ] )\p{Lu}\p{Ll}[^ ]*", "@")
-    x = F.lower(F.regexp_replace(x, r"[.!?:]+", ""))
-    return F.regexp_replace(x, r"(?<=# )(?:" + "|".join(UNITS) + r")(?![^ ])", "~")
+    if names:
+        x = F.regexp_replace(x, r"(?<=[^.!?: ] )\p{Lu}\p{Ll}[^ ]*", "@")
+    return F.regexp_replace(_folded(x), r"(?<=# )(?:" + "|".join(UNITS) + r")(?![^ ])", "~")
+
+
+def _folded(plain: Column) -> Column:
+    return F.lower(F.regexp_replace(plain, r"[.!?:]+", ""))
+
+
+def _literal(word: Column) -> Column:
+    return ~word.isin("#", "@", "~", "")
+
 
+def _columns(text: Column) -> list[Column]:
+    """Arrays of the same length: the words, the folded words, and the two templates."""
+    plain = _plain(text)
+    named = {"raw": plain, "bare": _folded(plain), "tpl": _template(plain), "low": _template(plain, names=False)}
+    return [F.split(x, " ").alias(n) for n, x in named.items()]
 
-def _windows(words: Column, step: int) -> Column:
+
+def _windows(words: Column, bare: Column, step: int) -> Column:
     """Structs (at, h) of the windows at every step-th word."""
     last = F.size(words) - WIDTH
     at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, WIDTH)).alias("h")))
+
+    def named(i: Column) -> Column:
+        part = F.slice(words, i + 1, WIDTH)
+        dense = F.size(F.filter(part, _literal)) < WIDTH - SLOTS
+        return F.when(dense, F.xxhash64(part, F.slice(bare, i + 1, WIDTH))).otherwise(F.xxhash64(part))
+
+    return F.transform(at, lambda i: F.struct(i.alias("at"), named(i).alias("h")))
+
+
+def _both(rows: DataFrame, *keep: str) -> DataFrame:
+    """One row for each window of both templates: ``keep``, folded, at, h, words, template."""
+    parts = [
+        rows.select(*keep, "raw", F.col(c).alias("typed"), F.lit(c == "low").alias("folded"), F.explode(_windows(F.col(c), F.col("bare"), 1)).alias("w"))
+        for c in ("tpl", "low")
+    ]
+    return parts[0].unionByName(parts[1]).select(
+        *keep, "folded", "w.at", "w.h", F.slice("raw", F.col("w.at") + 1, WIDTH).alias("words"), F.slice("typed", F.col("w.at") + 1, WIDTH).alias("template")
+    )
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -62,20 +100,9 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
-    """(h, item_id, item_at, item_words, item_template): all windows with few enough slots."""
-    plain = _plain(F.col(text))
-    rows = benchmark.select(F.col(item_id).alias("item_id"), F.split(plain, " ").alias("raw"), F.split(_template(plain), " ").alias("tpl"))
-    return (
-        rows.select("item_id", "raw", "tpl", F.explode(_windows(F.col("tpl"), 1)).alias("w"))
-        .select(
-            F.col("w.h").alias("h"),
-            "item_id",
-            F.col("w.at").alias("item_at"),
-            F.slice("raw", F.col("w.at") + 1, WIDTH).alias("item_words"),
-            F.slice("tpl", F.col("w.at") + 1, WIDTH).alias("item_template"),
-        )
-        .where(F.size(F.filter("item_template", lambda w: w.isin("#", "@", "~", ""))) <= SLOTS)
-    )
+    """(folded, h, item_id, item_at, item_words, item_template): all windows of both templates."""
+    rows = benchmark.select(F.col(item_id).alias("item_id"), *_columns(F.col(text)))
+    return _both(rows, "item_id").withColumnsRenamed({"at": "item_at", "words": "item_words", "template": "item_template"})
 
 
 def leaks(
@@ -84,44 +111,57 @@ def leaks(
     """Rows (k1, k2, item_id, n_windows, run): texts that hold thirteen words of an item or more.
 
     ``k1, k2`` name a text (:func:`curatrix.llm.common.text_keys`); ``n_windows`` counts the windows of
-    the item found on consistent runs, ``run`` is the longest of these. Null or empty texts and items,
+    the item found on consistent runs, ``run`` is the longest of these; both are those of the typed
+    template where it matches, else of the folded one. Null or empty texts and items,
     and items of fewer than thirteen words, match nothing; repeated items each match; empty tables
     give no rows."""
     body = F.coalesce(F.col(text), F.lit(""))
     k1, k2 = common.text_keys(body)
     bench = common.written(benchmark_windows(benchmark, item_id, item_text), "benchmark")
     known = _small(bench.select("h").distinct())
-    # a column of its own: inside a lambda an expression would be worked out for every window
-    words = docs.select(k1.alias("k1"), k2.alias("k2"), F.split(_template(_plain(body)), " ").alias("tpl"))
-    probes = words.select("k1", "k2", F.explode(_windows(F.col("tpl"), RUN)).alias("w")).select("k1", "k2", F.col("w.h").alias("h"))
+    # columns of their own: inside a lambda an expression would be worked out for every window
+    words = docs.select(k1.alias("k1"), k2.alias("k2"), *_columns(body))
+    hashes = [F.transform(_windows(F.col(c), F.col("bare"), RUN), lambda w: w["h"]) for c in ("tpl", "low")]
+    # most texts have few names, so that their two templates share most windows
+    probes = words.select("k1", "k2", F.explode(F.array_union(*hashes)).alias("h"))
     hits = common.written(probes.join(known, "h", "left_semi").select("k1", "k2").distinct(), "hits")
 
-    held = (
-        docs.select(k1.alias("k1"), k2.alias("k2"), body.alias("body"))
-        .join(_small(hits), ["k1", "k2"], "left_semi")
-        .select("k1", "k2", F.split(_plain(F.col("body")), " ").alias("raw"), F.split(_template(_plain(F.col("body"))), " ").alias("tpl"))
-    )
-    windows = held.select("k1", "k2", "raw", F.explode(_windows(F.col("tpl"), 1)).alias("w")).select(
-        "k1", "k2", F.col("w.at").alias("at"), F.col("w.h").alias("h"), F.slice("raw", F.col("w.at") + 1, WIDTH).alias("words")
-    )
+    held = docs.select(k1.alias("k1"), k2.alias("k2"), body.alias("body")).join(_small(hits), ["k1", "k2"], "left_semi").select("k1", "k2", *_columns(F.col("body")))
     pairs = common.written(
-        windows.join(_small(bench), "h")
+        _both(held, "k1", "k2").drop("template")
+        .join(_small(bench), ["folded", "h"])
         .withColumn("diagonal", F.col("at") - F.col("item_at"))
-        .groupBy("k1", "k2", "item_id", "diagonal", "item_at")
+        .groupBy("k1", "k2", "item_id", "folded", "diagonal", "item_at")
         .agg(F.first("words").alias("words"), F.first("item_words").alias("item_words"), F.first("item_template").alias("item_template")),
         "pairs",
     )
-    line = ["k1", "k2", "item_id", "diagonal"]
+    line = ["k1", "k2", "item_id", "folded", "diagonal"]
+    fold = lambda w: _folded(w)
+    window = F.struct(
+        "item_at",
+        F.size(F.filter("item_template", _literal)).alias("literals"),
+        _literal(F.col("item_template")[WIDTH - 1]).cast("int").alias("last"),
+        (F.transform("words", fold) == F.transform("item_words", fold)).alias("same"),
+    )
     # consecutive item positions share position minus rank
+    lined = pairs.groupBy(*line).agg(F.array_sort(F.collect_set(window)).alias("all"))  # no longer than the item
+    islands = [
+        lined.select(*line, F.lit(only).alias("only"), F.explode(F.transform(of, lambda x, i: F.struct((x["item_at"] - i).alias("island"), x.alias("x")))).alias("e"))
+        for only, of in ((False, F.col("all")), (True, F.filter("all", lambda x: x["same"])))
+    ]
+    x = F.col("e.x")
+    # the literal words of the first window and the last word of each further one
     runs = (
-        pairs.groupBy(*line)
-        .agg(F.array_sort(F.collect_set("item_at")).alias("at"))  # no longer than the item
-        .select(*line, F.explode(F.transform("at", lambda x, i: x - i)).alias("island"))
-        .groupBy(*line, "island")
-        .agg(F.count("*").alias("n"))
+        islands[0].unionByName(islands[1])
+        .groupBy(*line, "only", "e.island")
+        .agg(F.count("*").alias("n"), (F.min_by(x["literals"] - x["last"], x["item_at"]) + F.sum(x["last"])).alias("literals"))
         .groupBy(*line)
-        .agg(F.max("n").alias("run"), F.sum("n").alias("n"))
-        .where(F.col("run") >= RUN)
+        .agg(
+            F.max(F.when(~F.col("only"), F.col("n"))).alias("run"),
+            F.sum(F.when(~F.col("only"), F.col("n"))).alias("n"),
+            F.max((F.col("n") >= RUN) & (F.col("only") | (F.col("literals") >= LITERALS))).alias("enough"),
+        )
+        .where("enough")
     )
     slots = pairs.select(
         *line, F.explode(F.arrays_zip("item_template", "item_words", "words")).alias("s")
@@ -135,8 +175,11 @@ def leaks(
     )
     return (
         runs.join(torn, line, "left_anti")
-        .groupBy("k1", "k2", "item_id")
+        .groupBy("k1", "k2", "item_id", "folded")
         .agg(F.sum("n").alias("n_windows"), F.max("run").alias("run"))
+        .groupBy("k1", "k2", "item_id")
+        .agg(F.min_by(F.struct("n_windows", "run"), "folded").alias("r"))
+        .select("k1", "k2", "item_id", "r.*")
     )
 
 

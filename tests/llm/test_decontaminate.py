@@ -43,3 +43,18 @@ def test_edge_rows(spark):
     assert kept.count() == len(cases.ROWS)
     assert decontaminate.clean(cases.docs(spark, []), bench).count() == 0
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(cases.ROWS) + 1
+
+
+def test_dense_items(spark):
+    ran = "On Monday Ann ran 5 km in 30 minutes, on Tuesday Bob ran 8 km in 45 minutes, and on Friday Tom ran 12 km in 70 minutes. Who was fastest?"
+    sums = "Compute 12 + 7 * 3 - 4 where x = 5 and y = 6 and z = 9 then add 8 and 2 to it"
+    table = " ".join(str(n * n) for n in range(3, 23))
+    other = ran.replace("Ann", "Eve").replace("Bob", "Max").replace(" 5 ", " 6 ").replace("45", "50").replace("70", "81")
+    numbers = " ".join(str(n * n + 1) for n in range(3, 23))
+    assert found(spark, [ran, sums, table, other, numbers, "Before it: " + sums + " and after"], [ran, sums, table]) == {0, 1, 2, 3, 5}
+
+
+def test_copies_without_capitals_or_in_capitals(spark):
+    other = ITEM.replace("12", "41").replace("7 ", "9 ")
+    texts = [ITEM.lower(), ITEM.upper(), "words before it " + other.lower() + " and words after", ITEM.lower().replace("gives 12", "gives 99")]
+    assert found(spark, texts, [ITEM]) == {0, 1, 2}
