@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.operators.graph import checkpointed, components
+from curatrix.operators.graph import labelled
+from curatrix.operators.shared import forget, written
 
 
 def title_classes(df: DataFrame, id: str, tokens: str, block: str) -> DataFrame:
@@ -19,106 +21,115 @@ def similar_titles(classes: DataFrame, percent: int = 95) -> DataFrame:
     """Pairs (a, b, shared, total) of classes of one block whose Jaccard similarity is at least ``percent``.
 
     Prefix filter: with tokens in order of rarity, two sets that are so similar share one of their first
-    n - ceil(n * percent / 100) + 1 tokens, and their sizes differ by as little. The exact test is in
-    integers: 100 * shared >= percent * total."""
-    long = classes.select("class_id", "block", "tokens", F.explode("tokens").alias("token"))
+    n - ceil(n * percent / 100) + 1 tokens, and their sizes differ by as little. Sets meet by block, token
+    and a step of sizes; sets so short that one token more
+    is too much meet none. The exact test is in integers: 100 * shared >= percent * total."""
+    size = F.size("tokens")
+    # different sets of n and more tokens have n + 1 together at least
+    alike = classes.where(size * 100 >= (size + 1) * percent)
+    long = alike.select("class_id", "block", F.explode("tokens").alias("token"))
     rarity = long.groupBy("token").agg(F.count("*").alias("df"))
     ranked = (
-        long.join(rarity, "token")
-        .groupBy("class_id", "block", "tokens")
+        labelled(long, rarity, "token", "class_id")
+        .groupBy("class_id", "block")
         .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
         .withColumn("size", F.size("order"))
     )
     keep = F.col("size") - F.ceil(F.col("size") * percent / 100.0).cast("int") + 1
-    heads = ranked.select("class_id", "block", "tokens", "size", F.explode(F.slice("order", 1, keep)).alias("head")).select(
-        "class_id", "block", "tokens", "size", F.col("head.token").alias("token")
+    heads = ranked.select("class_id", "block", "size", F.explode(F.slice("order", 1, keep)).alias("head")).select("class_id", "block", "size", F.col("head.token").alias("token"))
+    # sizes in steps so wide that a set and a larger one as similar are of one step, or of the next
+    step = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent)).cast("int") if percent < 100 else F.col("size")
+    a = heads.withColumn("step", F.explode(F.array(step, step + 1))).alias("a")
+    b = heads.withColumn("step", step).alias("b")
+    first = F.col("a.class_id") < F.col("b.class_id")
+    met = (
+        a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.step") == F.col("b.step")))
+        .where((F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & first))
+        .where(F.col("a.size") * 100 >= F.col("b.size") * percent)
+        .select(F.when(first, F.col("a.class_id")).otherwise(F.col("b.class_id")).alias("a"), F.when(first, F.col("b.class_id")).otherwise(F.col("a.class_id")).alias("b"))
+        .distinct()
     )
-    a, b = heads.alias("a"), heads.alias("b")
+    held = alike.select("class_id", "tokens")
     pairs = (
-        a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.class_id") < F.col("b.class_id")))
-        .where((F.col("a.size") * 100 >= F.col("b.size") * percent) & (F.col("b.size") * 100 >= F.col("a.size") * percent))
-        .select(
-            F.col("a.class_id").alias("a"),
-            F.col("b.class_id").alias("b"),
-            F.size(F.array_intersect("a.tokens", "b.tokens")).alias("shared"),
-            F.size(F.array_union("a.tokens", "b.tokens")).alias("total"),
-        )
+        met.join(held.withColumnsRenamed({"class_id": "a", "tokens": "x"}), "a")
+        .join(held.withColumnsRenamed({"class_id": "b", "tokens": "y"}), "b")
+        .select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), F.size(F.array_union("x", "y")).alias("total"))
     )
-    return pairs.where(F.col("shared") * 100 >= F.col("total") * percent).distinct()
+    return pairs.where(F.col("shared") * 100 >= F.col("total") * percent)
+
+
+def _place(kind: str, value: Column) -> Column:
+    """Where rows meet: a name of a key's value, or of a title in its block."""
+    return F.md5(F.to_json(F.struct(F.lit(kind).alias("kind"), value.alias("value"))))
 
 
 def greedy(df: DataFrame, id: str, order: str, keys: list[str], tokens: str, blocks: list[str], percent: int = 95) -> DataFrame:
-    """Rows (id, winner, via): scans by ``order`` and drops what meets an accepted row, never a dropped one.
+    """Rows (id, winner, via): scans by ``order`` (then id) and drops what meets an accepted row, never a dropped one.
 
     A row meets an accepted row by an equal key (in the order of ``keys``) or by a title as similar as
-    ``percent`` in one of ``blocks``. Accepted rows have no winner. The scan runs in each component
-    of the graph of possible meetings, which gives the same as one scan over all.
-
-    Rows equal in all keys, tokens and blocks are first reduced to the best of them: the others meet
-    it or what it met, so a large group of copies is one row of the fold."""
-    x = df.select(F.col(id).alias("id"), F.col(order).alias("order"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.array_sort(tokens).alias("tokens"), *[F.col(b).alias(f"b{i}") for i, b in enumerate(blocks)])
-    same = [c for c in x.columns if c not in ("id", "order")]
-    firsts = checkpointed(x.groupBy(*same).agg(F.min(F.struct("order", "id")).alias("first")).select("first.*", *same))
-    edges = None
-    for i in range(len(keys)):
-        stars = firsts.where(F.col(f"k{i}").isNotNull()).groupBy(f"k{i}").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-        part = firsts.join(stars, f"k{i}").where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-        edges = part if edges is None else edges.unionByName(part)
-    for i in range(len(blocks)):
-        classes = title_classes(firsts, "id", "tokens", f"b{i}")
-        part = similar_titles(classes, percent).select("a", "b")
-        member = firsts.where(F.size("tokens") > 0).join(classes.select(F.col("block").alias(f"b{i}"), "tokens", F.col("class_id")), [f"b{i}", "tokens"]).where("id != class_id").select(F.col("id").alias("a"), F.col("class_id").alias("b"))
-        edges = edges.unionByName(part).unionByName(member)
-    members = components(edges)
-    grouped = firsts.join(members, "id")
-    n_keys, n_blocks = len(keys), len(blocks)
-
-    def fold(block: pd.DataFrame) -> pd.DataFrame:
-        owner: dict = {}
-        accepted: list[tuple] = []
-        out = []
-        for row in block.sort_values(["order", "id"]).to_dict("records"):
-            own = [row[f"k{i}"] for i in range(n_keys)]
-            winner, via = None, None
-            for i, k in enumerate(own):
-                if k is not None and k == k and (i, k) in owner:
-                    winner, via = owner[i, k], f"key{i}"
-                    break
-            mine = set(row["tokens"])
-            if winner is None and mine:
-                for other, theirs, places in accepted:
-                    if any(row[f"b{i}"] == places[i] for i in range(n_blocks)) and 100 * len(mine & theirs) >= percent * len(mine | theirs):
-                        winner, via = other, "title"
-                        break
-            if winner is None:
-                accepted.append((row["id"], mine, [row[f"b{i}"] for i in range(n_blocks)]))
-                for i, k in enumerate(own):
-                    if k is not None and k == k:
-                        owner.setdefault((i, k), row["id"])
-            out.append((row["id"], winner, via))
-        return pd.DataFrame(out, columns=["id", "winner", "via"]).astype({"winner": "Int64"})
-
-    kind = dict(x.dtypes)["id"]
-    folded = grouped.groupBy("block").applyInPandas(fold, f"id {kind}, winner {kind}, via string")
-    decided = firsts.join(folded, "id", "left").select("id", "winner", "via", *[F.col(c).alias(f"_{c}") for c in same])
-    match = None
-    for c in same:
-        on = F.col(c).eqNullSafe(F.col(f"_{c}"))
-        match = on if match is None else match & on
-    first = decided.withColumnRenamed("id", "first_id")
-    joined = x.join(first, match)
-    copy = F.col("id") != F.col("first_id")
-    has_key = F.lit(False)
-    for i in range(n_keys):
-        has_key = has_key | F.col(f"k{i}").isNotNull()
-    meets = has_key | (F.size("tokens") > 0)
-    return joined.select(
-        "id",
-        F.when(copy & F.col("winner").isNull() & meets, F.col("first_id")).otherwise(F.col("winner")).alias("winner"),
-        F.when(copy & F.col("winner").isNull() & meets, F.lit("copy")).otherwise(F.col("via")).alias("via"),
+    ``percent`` in one of ``blocks``; ``via`` is key0, key1, ... or title. Accepted rows have no winner.
+    ``id`` is of any type and names a row; null keys, null blocks and empty titles meet nothing.
+
+    The scan is worked out in rounds of joins: a row that comes first among all undecided rows it could
+    meet is accepted, what meets it is dropped, and the rest goes on to the next round. Rows equal in
+    all keys, titles and blocks are one row of the rounds."""
+    x = df.select(
+        F.col(id).alias("id"),
+        F.struct(F.col(order).alias("order"), F.col(id).alias("id")).alias("ord"),
+        *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
+        F.coalesce(F.array_sort(tokens), F.array().cast("array<string>")).alias("tokens"),
+        *[F.col(b).alias(f"b{i}") for i, b in enumerate(blocks)],
     )
+    same = [c for c in x.columns if c not in ("id", "ord")]
+    firsts = written(x.groupBy(*same).agg(F.min("ord").alias("ord")), "firsts")
 
+    def titled(i: int) -> Column:
+        return F.struct(F.col(f"b{i}").alias("block"), F.col("tokens").alias("tokens"))
 
-def best_of(df: DataFrame, key, *order) -> DataFrame:
-    """One row of each key, the first in ``order``."""
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rank = 1").drop("_rank")
+    some_title = [F.col(f"b{i}").isNotNull() & (F.size("tokens") > 0) for i in range(len(blocks))]
+    meets = [F.when(F.col(f"k{i}").isNotNull(), F.struct(F.lit(i).alias("kind"), _place(f"k{i}", F.col(f"k{i}")).alias("place"))) for i in range(len(keys))]
+    meets += [F.when(some, F.struct(F.lit(len(keys)).alias("kind"), _place(f"b{i}", titled(i)).alias("place"))) for i, some in enumerate(some_title)]
+    places = F.array_compact(F.array(*meets))
+    members = written(firsts.select("ord", F.explode(places).alias("p")).select("ord", "p.kind", "p.place"), "members")
+    edges = None
+    for i, some in enumerate(some_title):
+        classes = firsts.where(some).select(_place(f"b{i}", titled(i)).alias("class_id"), F.col(f"b{i}").cast("string").alias("block"), "tokens").distinct()
+        pairs = similar_titles(written(classes, "classes"), percent).select("a", "b")
+        edges = pairs if edges is None else edges.unionByName(pairs)
+    if edges is None:
+        edges = members.select(F.col("place").alias("a"), F.col("place").alias("b")).limit(0)
+    edges = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "similar")
+
+    def reached(least: DataFrame) -> DataFrame:
+        """(place, m): the least ``m`` of a place and of those of similar titles."""
+        over = edges.join(least.withColumnRenamed("place", "b"), "b").select(F.col("a").alias("place"), "m")
+        return least.unionByName(over).groupBy("place").agg(F.min("m").alias("m"))
+
+    alone = firsts.where(F.size(places) == 0).select("ord")
+    accepted, left = [written(alone, "accepted")], members
+    while not left.isEmpty():
+        bound = reached(left.groupBy("place").agg(F.min("ord").alias("m")))
+        best = labelled(left, bound, "place", "ord").groupBy("ord").agg(F.max(F.col("m") < F.col("ord")).alias("later")).where("not later")
+        now = written(best.select("ord"), "accepted")
+        taken = reached(left.join(now, "ord").groupBy("place").agg(F.min("ord").alias("m")))
+        met = labelled(left, taken, "place", "ord").select("ord").distinct()
+        rest = written(left.join(met.unionByName(now), "ord", "left_anti"), "members")
+        if left is not members:
+            forget(left)
+        left = rest
+        accepted.append(now)
+    won = accepted[0]
+    for part in accepted[1:]:
+        won = won.unionByName(part)
+    labels = reached(members.join(won, "ord").groupBy("place").agg(F.min("ord").alias("m")))
+    rows = x.select("id", "ord", F.explode_outer(places).alias("p")).select("id", "ord", "p.kind", "p.place")
+    met = labelled(rows.where("place is not null"), labels, "place", "ord").where(F.col("m") < F.col("ord"))
+    winner = met.groupBy("ord").agg(F.min(F.struct("kind", "m")).alias("w"))
+    via = F.when(F.col("w.kind") < len(keys), F.concat(F.lit("key"), F.col("w.kind"))).when(F.col("w").isNotNull(), "title")
+    return x.select("id", "ord").join(winner, "ord", "left").select("id", F.col("w.m.id").alias("winner"), via.alias("via"))
+
+
+def best_of(df: DataFrame, key: str, order: Column) -> DataFrame:
+    """One row of each key, the first in ``order``; combined before the shuffle."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("r")).select(key, "r.*")

@@ -1,33 +1,52 @@
-"""Connected components by joins, for blocks of records that may have to do with one another."""
+"""Connected components by joins, for groups of records that have to do with one another."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.operators.shared import forget, written
+
+#: Parts into which the rows of one key are dealt where they meet its label.
+SALT = 16
+
+
+def labelled(rows: DataFrame, label: DataFrame, on: str, by: str) -> DataFrame:
+    """``rows`` joined to the one row that ``label`` has of each ``on``.
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder the cluster names in spark.checkpoint.dir, or a temporary one where it names none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="curatrix-"))
-    return df.checkpoint()
+    A value that very many rows share is spread over SALT tasks by their ``by``; each has its label."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int"))
+    return dealt.join(label.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [on, "_salt"]).drop("_salt")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, block) of all ends of the edges (a, b); block is the least id of the component.
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) of all nodes of undirected edges; root is the least node of the component.
 
-    Each round gives every node the least label among its neighbours' and then that label's own label,
-    so labels travel in doubling steps. Labels are combined before the shuffle."""
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("block")))
+    Alternates the large-star and small-star steps of distributed component search. Each step is an
+    aggregation (partial, so that hubs are combined before the shuffle) and a salted equi-join; the edges of
+    each round are written, so lineage stays short. Self-loops and null ends are dropped; no edges give no
+    rows."""
+    cur = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} != {b}").distinct(), "edges")
+    seen = None
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "block"), "b").groupBy(F.col("a").alias("id")).agg(F.min("block").alias("near"))
-        step = labels.join(near, "id").select("id", F.least("block", "near").alias("block"), (F.col("near") < F.col("block")).alias("moved"))
-        jump = step.select(F.col("id").alias("block"), F.col("block").alias("next"))
-        nxt = checkpointed(step.join(jump, "block", "left").select("id", F.least("block", F.coalesce("next", "block")).alias("block"), "moved"))
-        if nxt.where("moved").isEmpty():
-            return nxt.select("id", "block")
-        labels = nxt.drop("moved")
+        sym = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = labelled(sym, least, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = written(large, "edges")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = (
+            labelled(large, low, "u", "v")
+            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+            .select("e.*")
+            .where("u != v")
+            .distinct()
+        )
+        nxt = written(small, "edges")
+        state = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        forget(cur, large)
+        cur = nxt
+        if state == seen or not state[0]:
+            break
+        seen = state
+    roots = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,19 +26,20 @@ def landing_zone(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("raw"), F.try_parse_json("value").alias("payload"))
 
 
-def census_gate(df: DataFrame, key: str, expected: int, approved=None) -> DataFrame:
-    """One row: counts against what is expected, and the verdict on the whole input."""
+def census_gate(df: DataFrame, key: str, expected: int | Column, approved=None) -> DataFrame:
+    """One row: counts against what is expected (a number or an aggregate), and the verdict on the whole input."""
     checks = df.agg(
+        (F.lit(expected) if isinstance(expected, int) else expected).cast("long").alias("expected"),
         F.count("*").alias("n_rows"),
         F.count_distinct(key).alias("n_keys"),
         F.count_if(F.col(key).isNull() | (F.trim(F.col(key).cast("string")) == "")).alias("n_missing"),
         (F.count_if(~approved) if approved is not None else F.lit(0)).cast("long").alias("n_unapproved"),
     )
     verdict = (
-        F.when(F.col("n_rows") != expected, "count")
+        F.when(F.col("n_rows") != F.col("expected"), "count")
         .when(F.col("n_missing") > 0, "identity")
         .when(F.col("n_keys") != F.col("n_rows"), "duplicates")
         .when(F.col("n_unapproved") > 0, "unapproved")
         .otherwise("pass")
     )
-    return checks.withColumns({"expected": F.lit(expected).cast("long"), "verdict": verdict})
+    return checks.withColumn("verdict", verdict)

@@ -1,6 +1,7 @@
 """Operators that depend on order or state, against plain loops."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -37,15 +38,49 @@ def test_greedy_fold_is_the_scan(spark, seed):
     rows += [dict(rows[5], id=900 + i, rank=70) for i in range(30)]
     df = spark.createDataFrame([(r["id"], r["rank"], *[None if k is None else str(k) for k in r["keys"]], r["tokens"], r["source"]) for r in rows], "id long, rank long, a string, b string, tokens array<string>, source string")
     got = {r.id: r.winner for r in dedup.greedy(df, "id", "rank", ["a", "b"], "tokens", ["source"]).collect()}
-    want = plain_greedy(rows)
-    assert {i for i, w in got.items() if w is None} == {i for i, w in want.items() if w is None}
-    assert all(got[i] == w for i, w in want.items() if i < 900)
+    assert got == plain_greedy(rows)
+    named = df.withColumn("id", F.format_string("r%04d", "id"))  # ids of any type
+    again = {r.id: r.winner for r in dedup.greedy(named, "id", "rank", ["a", "b"], "tokens", ["source"]).collect()}
+    assert again == {f"r{i:04d}": None if w is None else f"r{w:04d}" for i, w in got.items()}
+
+
+def test_greedy_fold_of_documents(spark, small):
+    """The registered query against the plain loop over the same rows."""
+    from curatrix.plans import records
+
+    got = {r.id: r.winner for r in records.q_dedup_greedy(spark, small).collect()}
+    rows = []
+    for r in tables.table(spark, small, "documents").collect():
+        tokens = sorted(set(re.findall("[a-z0-9]+", r.text.split("\n")[0].lower())))
+        rows.append({"id": r.doc_id, "rank": r.doc_id - r.n_chars * 1_000_000, "keys": [r.text, f"{r.source}|{r.text[:40]}"], "tokens": tokens, "source": r.source})
+    assert got == plain_greedy(rows) and any(got.values())
+
+
+def test_greedy_fold_edges(spark):
+    schema = "id string, rank long, a string, tokens array<string>, source string"
+    df = spark.createDataFrame([("x", 1, None, None, None), ("y", 1, "k", [], "s"), ("z", 2, "k", None, None)], schema)
+    assert {r.id: r.winner for r in dedup.greedy(df, "id", "rank", ["a"], "tokens", ["source"]).collect()} == {"x": None, "y": None, "z": "y"}
+    assert dedup.greedy(df.limit(0), "id", "rank", ["a"], "tokens", ["source"]).count() == 0
+    chain = spark.createDataFrame([(f"c{i:03d}", i, str(i // 2), None, str((i + 1) // 2)) for i in range(40)], schema)
+    got = {r.id: r.winner for r in dedup.greedy(chain, "id", "rank", ["a", "source"], "tokens", []).collect()}
+    assert got == {f"c{i:03d}": None if i % 2 == 0 else f"c{i - 1:03d}" for i in range(40)}
+
+
+def test_a_star_is_dealt_out(spark):
+    n = 100_000
+    star = spark.range(1, n).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    out = graph.components(star)
+    assert out.count() == n and out.where("root != 0").isEmpty()
+    # no task gets the hub's edges whole
+    hub = spark.range(1, n).select(F.lit(0).alias("u"), F.col("id").alias("v"))
+    one = graph.labelled(hub, spark.createDataFrame([(0, 7)], "u int, m int"), "u", "v")
+    assert one.count() == n - 1 and one.where("m != 7").isEmpty()
 
 
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randint(100, 180), rng.randint(100, 180)) for _ in range(60)] + [(200, 201 + i) for i in range(40)]
-    got = {r.id: r.block for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     root = {}
 
     def find(x):
