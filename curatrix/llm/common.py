@@ -1,4 +1,4 @@
-"""What the corpus operators share: reading tables, text keys, written intermediates, components.
+"""What the corpus operators share: reading tables, text keys, and written intermediates and components from the library.
 
 Every operator treats a null text as an empty one unless it says otherwise, never identifies a row
 by ``doc_id`` alone (ids may be null or repeat) and reads only the columns it names, so extra
@@ -7,13 +7,12 @@ columns of any name do no harm.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curatrix.operators.graph import components  # noqa: F401
+from curatrix.operators.shared import forget, small, written  # noqa: F401
+
 #: Rows in an Arrow batch: a batch of very long documents must still fit beside the executor's heap.
 BATCH_ROWS = 1000
 
@@ -44,93 +43,3 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
-
-
-# ---------------------------------------------------------------- written intermediates
-
-
-def _shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="curatrix-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-_written: set[str] = set()
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _sweep() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and spark.sparkContext._jsc is not None:
-        for path in list(_written):
-            _remove(spark, path)
-
-
-atexit.register(_sweep)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage, computes once, survives lost executors.
-
-    The tables are removed when the session ends, or earlier by :func:`forget`."""
-    spark = df.sparkSession
-    path = f"{_shared(spark)}/curatrix-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.add(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._curatrix_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Removes a table of :func:`written` that nothing will read again."""
-    path = getattr(df, "_curatrix_path", None)
-    if path in _written:
-        _written.discard(path)
-        _remove(df.sparkSession, path)
-
-
-# ---------------------------------------------------------------- connected components
-
-
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Connected components of undirected edges as rows (node, root); root is the least node.
-
-    Alternates the large-star and small-star steps of distributed component search. Each step is an
-    aggregation (partial, so that hubs are combined before the shuffle) and an equi-join; the edges
-    of each round are written, so lineage stays short. Self-loops and null ends are dropped; no
-    edges give no rows."""
-    spark = edges.sparkSession
-    cur = written(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges"
-    )
-    seen = None
-    while True:
-        sym = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = sym.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.*")
-            .where("u != v")
-            .distinct()
-        )
-        nxt = written(small, "edges")
-        state = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        forget(cur)
-        cur = nxt
-        if state == seen or not state[0]:
-            break
-        seen = state
-    roots = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
