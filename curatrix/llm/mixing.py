@@ -5,7 +5,8 @@ nearly equal length. The schedule is a van der Corput sequence: point t of 2**k
 reversed, and the points are mapped through the cumulated slot counts of the sources, so each prefix
 of the schedule holds every source close to its share. The slots of a source are ranked; slot r reads
 block r modulo the number of its blocks, so the second pass begins when every block has been read
-once. A source stops at the rank that reaches its target.
+once. A source stops at its target: its last slot reads only the first words of its block, so a source of a few
+words meets its target as closely as a large one.
 
 All prefix sums and ranks have two levels (sums of buckets, then rows inside a bucket), so a source
 that holds a third of all rows is spread over thousands of groups.
@@ -40,7 +41,8 @@ def sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
 
 
 def targets(rows: DataFrame) -> DataFrame:
-    """One row per source: sid, source, source_size, target and the layout of its blocks and slots.
+    """One row per source: sid, source, source_size, target and the layout of its blocks and slots. The ranking of
+    the sources runs in one task: some millions of them at most, one row each.
 
     Sources by code point, null last, weigh 1, 2, 3 and so on again; all sizes together are shared by
     weight. No target exceeds REPEATS times its source: with a common rate per weight, the sources of
@@ -64,10 +66,14 @@ def targets(rows: DataFrame) -> DataFrame:
     s = s.withColumn("target", F.least(F.col("source_size").cast("double") * REPEATS, F.col("rate") * F.col("weight")))
     size = F.col("source_size")
     s = s.withColumn("blocks", F.ceil(size / BLOCK).cast("long"))
-    s = s.withColumn(
-        "slots",
-        F.when(size > 0, F.least(F.col("blocks") * REPEATS, F.floor(F.col("target") * F.col("blocks") / size + 0.5))).otherwise(0).cast("long"),
-    )
+    short = F.when(F.col("blocks") > 0, F.floor(size / F.col("blocks"))).cast("long")
+    s = s.withColumn("short", short).withColumn("longer", size - F.col("short") * F.col("blocks"))  # so many blocks have a word more
+    # whole words to take: full passes, then the slots of the last pass, of which the last ends part-way
+    s = s.withColumn("words", F.floor(F.col("target") + 0.5).cast("long")).withColumn("over", F.when(size > 0, F.pmod("words", size)).otherwise(0).cast("long"))
+    s = s.withColumn("last", F.when(F.col("over") > 0, _block(F.col("over") - 1)))
+    s = s.withColumn("cut", F.when(F.col("over") > 0, F.col("over") - _bound(F.col("last"))).cast("long"))
+    slots = F.floor((F.col("words") - F.col("over")) / size) * F.col("blocks") + F.coalesce(F.col("last") + 1, F.lit(0))
+    s = s.withColumn("slots", F.when(size > 0, slots).otherwise(0).cast("long"))
     up_to = by_name.rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumns({"upto": F.sum("slots").over(up_to), "all_slots": F.sum("slots").over(everything)})
     # 2**bits is at least twice the slots, so that every source finds its slots among the points
@@ -77,10 +83,9 @@ def targets(rows: DataFrame) -> DataFrame:
         {
             "low": F.ceil((F.col("upto") - F.col("slots")) * scale).cast("long"),
             "high": F.ceil(F.col("upto") * scale).cast("long"),
-            "short": F.when(F.col("blocks") > 0, F.floor(size / F.col("blocks"))).cast("long"),
         }
-    ).withColumn("longer", size - F.col("short") * F.col("blocks"))  # so many blocks have a word more
-    return s.select("sid", "source", "source_size", "target", "blocks", "slots", "bits", "low", "high", "short", "longer")
+    )
+    return s.select("sid", "source", "source_size", "target", "blocks", "slots", "bits", "low", "high", "short", "longer", "cut")
 
 
 def _reversed(x: Column, bits: Column) -> Column:
@@ -93,16 +98,17 @@ def _reversed(x: Column, bits: Column) -> Column:
 
 
 def schedule(sources: DataFrame) -> DataFrame:
-    """Slots (sid, t, rank, block): in the order of ``t``, block ``block`` of source ``sid`` is read."""
+    """Slots (sid, t, rank, block, cut): in the order of ``t``, block ``block`` of source ``sid`` is read; where
+    ``cut`` is not null, only so many words of it."""
     step = 1 << CHUNK_BITS
     spans = (
         sources.where("slots > 0")
-        .select("sid", "slots", "blocks", "bits", "high", F.explode(F.sequence("low", F.col("high") - 1, F.lit(step))).alias("from"))
+        .select("sid", "slots", "blocks", "bits", "cut", "high", F.explode(F.sequence("low", F.col("high") - 1, F.lit(step))).alias("from"))
         .repartition("sid", "from")
     )
     points = spans.select(
-        "sid", "slots", "blocks", "bits", F.explode(F.sequence("from", F.least(F.col("from") + step, F.col("high")) - 1)).alias("x")
-    ).select("sid", "slots", "blocks", _reversed(F.col("x"), F.col("bits")).alias("t"))
+        "sid", "slots", "blocks", "bits", "cut", F.explode(F.sequence("from", F.least(F.col("from") + step, F.col("high")) - 1)).alias("x")
+    ).select("sid", "slots", "blocks", "cut", _reversed(F.col("x"), F.col("bits")).alias("t"))
     points = points.withColumn("chunk", F.shiftright("t", CHUNK_BITS))
     counts = points.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,7 +118,7 @@ def schedule(sources: DataFrame) -> DataFrame:
         points.join(counts.hint("merge"), ["sid", "chunk"])
         .withColumn("rank", F.col("before") + F.row_number().over(inside) - 1)
         .where("rank < slots")
-        .select("sid", "t", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
+        .select("sid", "t", "rank", (F.col("rank") % F.col("blocks")).alias("block"), F.when(F.col("rank") == F.col("slots") - 1, F.col("cut")).alias("cut"))
     )
 
 
@@ -145,17 +151,20 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     or one without words, gives targets of 0."""
     rows = common.written(sized(docs, doc_id, text, source), "sized")
     sources = common.written(targets(rows), "sources")
-    uses = schedule(sources).groupBy("sid", "block").agg(F.count("*").alias("uses"))
+    uses = schedule(sources).groupBy("sid", "block").agg(F.count_if(F.col("cut").isNull()).alias("uses"), F.max("cut").alias("cut"))
     at = common.written(placed(rows, sources).select("doc_id", "source", "size", "source_size", "target", "sid", "start", "short", "longer"), "placed")
     end = F.col("start") + F.col("size")
     parts = (
         at.where("size > 0")
         .select("sid", "start", "size", "short", "longer", F.explode(F.sequence(_block(F.col("start")), _block(end - 1))).alias("block"))
         .withColumn("words", F.least(end, _bound(F.col("block") + 1)) - F.greatest(F.col("start"), _bound(F.col("block"))))
-        .select("sid", "start", "block", "words")
+        .withColumn("before", F.greatest(F.col("start"), _bound(F.col("block"))) - _bound(F.col("block")))
+        .select("sid", "start", "block", "words", "before")
     )
+    # of the slot that ends part-way, what of it lies in the row
+    partly = F.coalesce(F.greatest(F.lit(0), F.least(F.col("words"), F.col("cut") - F.col("before"))), F.lit(0))
     # slots come from exploded ranges, whose number Spark can't estimate: it must not broadcast them
-    taken = parts.join(uses.hint("merge"), ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    taken = parts.join(uses.hint("merge"), ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("words") * F.col("uses") + partly).alias("taken"))
     # rows without words share their start with the next row and take nothing
     return (
         at.withColumn("place", F.when(F.col("size") > 0, F.col("start")).otherwise(-1 - F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))))
@@ -187,34 +196,40 @@ WITH rows AS (
   SELECT *, least(source_size::DOUBLE * 3, weight * (SELECT part FROM c WHERE fill >= part ORDER BY fill, sid LIMIT 1)) AS target,
          ceil(source_size / 128.0)::BIGINT AS blocks
   FROM c
+), g AS (
+  SELECT *, source_size // blocks AS short, source_size % blocks AS longer, floor(target + 0.5)::BIGINT AS words FROM d
+), h AS (
+  SELECT *, CASE WHEN source_size > 0 THEN words % source_size ELSE 0 END AS over FROM g
+), i AS (
+  SELECT *, CASE WHEN over = 0 THEN NULL WHEN over - 1 < longer * (short + 1) THEN (over - 1) // (short + 1) ELSE longer + (over - 1 - longer * (short + 1)) // short END::BIGINT AS last FROM h
 ), e AS (
-  SELECT *, CASE WHEN source_size > 0 THEN least(blocks * 3, floor(target * blocks / source_size + 0.5)::BIGINT) ELSE 0 END AS slots FROM d
+  SELECT *, over - last * short - least(last, longer) AS cut, CASE WHEN source_size > 0 THEN (words - over) // source_size * blocks + coalesce(last + 1, 0) ELSE 0 END AS slots FROM i
 ), f AS (
   SELECT *, sum(slots) OVER (ORDER BY sid) AS upto, ceil(log2(sum(slots) OVER () * 2.0))::INT AS bits, sum(slots) OVER () AS all_slots FROM e
 ), s AS (
-  SELECT *, ceil((upto - slots) * ((1::BIGINT << bits)::DOUBLE / all_slots))::BIGINT AS low, ceil(upto * ((1::BIGINT << bits)::DOUBLE / all_slots))::BIGINT AS high,
-         source_size // blocks AS short, source_size % blocks AS longer
+  SELECT *, ceil((upto - slots) * ((1::BIGINT << bits)::DOUBLE / all_slots))::BIGINT AS low, ceil(upto * ((1::BIGINT << bits)::DOUBLE / all_slots))::BIGINT AS high
   FROM f WHERE source_size > 0
 ), points AS (
-  SELECT sid, slots, blocks, list_sum(list_transform(range(0, bits), lambda i: ((x >> i) & 1) << (bits - 1 - i))) AS t
-  FROM (SELECT sid, slots, blocks, bits, unnest(range(low, high)) AS x FROM s)
+  SELECT sid, slots, blocks, cut, list_sum(list_transform(range(0, bits), lambda i: ((x >> i) & 1) << (bits - 1 - i))) AS t
+  FROM (SELECT sid, slots, blocks, cut, bits, unnest(range(low, high)) AS x FROM s)
 ), uses AS (
-  SELECT sid, block, count(*) AS uses FROM (
-    SELECT sid, slots, r % blocks AS block, r FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY t) - 1 AS r FROM points))
+  SELECT sid, block, count(*) FILTER (part IS NULL) AS uses, max(part) AS cut FROM (
+    SELECT sid, slots, r % blocks AS block, r, CASE WHEN r = slots - 1 THEN cut END AS part FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY t) - 1 AS r FROM points))
   WHERE r < slots GROUP BY ALL
 ), placed AS (
   SELECT row_number() OVER () AS rid, r.*, s.sid, s.short, s.longer,
          sum(size) OVER (PARTITION BY s.sid ORDER BY key ROWS UNBOUNDED PRECEDING) - size AS start
   FROM rows r JOIN s ON r.source IS NOT DISTINCT FROM s.source
 ), parts AS (
-  SELECT rid, sid, block, least(start + size, (block + 1) * short + least(block + 1, longer)) - greatest(start, block * short + least(block, longer)) AS words
+  SELECT rid, sid, block, least(start + size, (block + 1) * short + least(block + 1, longer)) - greatest(start, block * short + least(block, longer)) AS words,
+         greatest(0, start - block * short - least(block, longer)) AS before
   FROM (SELECT *, unnest(range(
           (CASE WHEN start < longer * (short + 1) THEN start // (short + 1) ELSE longer + (start - longer * (short + 1)) // short END)::BIGINT,
           (CASE WHEN start + size - 1 < longer * (short + 1) THEN (start + size - 1) // (short + 1)
                 ELSE longer + (start + size - 1 - longer * (short + 1)) // short END)::BIGINT + 1)) AS block
         FROM placed WHERE size > 0)
 ), taken AS (
-  SELECT rid, sum(words * uses) AS taken FROM parts JOIN uses USING (sid, block) GROUP BY rid
+  SELECT rid, sum(words * uses + coalesce(greatest(0, least(words, cut - before)), 0)) AS taken FROM parts JOIN uses USING (sid, block) GROUP BY rid
 )
 SELECT p.doc_id, p.source, p.size, e.source_size, e.target, coalesce(taken, 0)::BIGINT AS taken
 FROM placed p JOIN e ON p.source IS NOT DISTINCT FROM e.source LEFT JOIN taken USING (rid)
