@@ -11,8 +11,10 @@ The writer stores bytes losslessly: byte k of 64 becomes coefficient k, in zigza
 image: luma first, then the two chroma planes. Per plane there are five scans: DC and two AC bands
 without their last bit, then the last bits of DC and AC.
 
-Images with interleaved scans, arithmetic coding, 12-bit samples or sampling other than 1 and 2 are
-refused with a ValueError.
+DC scans of several components may be interleaved, as common encoders write them; blocks that only fill up
+their last macro blocks are read and left out. Images with arithmetic coding, 12-bit samples or sampling other
+than 1 and 2, files that are not progressive and broken files are refused with a ValueError; a column of media
+gets an error in the row of such a file, and the other rows are as ever.
 """
 
 from __future__ import annotations
@@ -253,7 +255,7 @@ class Batch:
         self.blocks = 0
         # scans of the same parameters and place in their files: lanes (byte, first block, blocks)
         self.scans: dict[tuple, list[tuple[int, int, int]]] = defaultdict(list)
-        self.luts: dict[tuple, np.ndarray | None] = {}
+        self.targets: list[int] = []  # blocks of the interleaved scans, which are not in the order of a plane
         ff = np.flatnonzero((self.raw[:-1] == 0xFF) & (self.raw[1:] != 0))
         at = 0
         for f in files:
@@ -272,11 +274,14 @@ class Batch:
         img, tables, restart, order, at = Image(), {}, 0, 0, 2
         if f[:2] != b"\xff\xd8":
             raise ValueError("not a JPEG file")
+        end = False
         marks = (markers - base).tolist()
         next_mark = 0
         while at < len(f):
+            if at + 4 > len(f) and f[at + 1 :] != b"\xd9":
+                raise ValueError("the file ends inside a segment")
             marker, size = f[at + 1], 0
-            if marker == 0xD9:
+            if end := marker == 0xD9:
                 break
             (size,) = struct.unpack_from(">H", f, at + 2)
             body = f[at + 4 : at + 2 + size]
@@ -310,37 +315,93 @@ class Batch:
             elif marker == 0xFE:
                 img.comment = body
             elif marker == 0xDA:
-                if body[0] != 1:
-                    raise ValueError("only scans of one component")
-                plane = next(p for p in img.planes if p.id == body[1])
-                ss, se, bits = body[3], body[4], body[5]
-                table = tables.get(body[2] >> 4) if ss == 0 else tables.get(0x10 | body[2] & 15)
-                blocks = plane.across * plane.down
-                key = (order, ss, se, bits >> 4, bits & 15, table if ss or not bits >> 4 else None)
+                n = body[0]
+                part = [next((p for p in img.planes if p.id == body[1 + 2 * i]), None) for i in range(n)]
+                if not part or None in part or len(body) < 4 + 2 * n:
+                    raise ValueError("a scan of components that are not there")
+                ss, se, bits = body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n]
+                if not ss <= se < 64 or (n > 1 and se):
+                    raise ValueError("only DC scans may be interleaved")
+                need = ss > 0 or not bits >> 4  # later bits of DC need no table
+                found = [tables.get(body[2 + 2 * i] >> 4) if ss == 0 else tables.get(0x10 | body[2 + 2 * i] & 15) for i in range(n)]
+                if need and None in found:
+                    raise ValueError("a scan without its table")
+                if n > 1:
+                    blocks = len(self._mixed(img, part))
+                    layout = tuple(t for p, t in zip(part, found, strict=True) for _ in range(p.h * p.v))
+                    key = (order, ss, se, bits >> 4, bits & 15, (tuple(k for k, p in enumerate(part) for _ in range(p.h * p.v)), layout if need else None))
+                    each, first = len(layout), len(self.targets)
+                    self.targets += self._mixed(img, part)
+                else:
+                    plane = part[0]
+                    blocks, each, first = plane.across * plane.down, 1, plane.at
+                    key = (order, ss, se, bits >> 4, bits & 15, found[0] if need else None)
                 order += 1
                 lanes, start, done = self.scans[key], at, 0
                 while next_mark < len(marks) and marks[next_mark] < at:
                     next_mark += 1
                 while True:
-                    take = min(restart or blocks, blocks - done)
-                    lanes.append((base + start, plane.at + done, take))
+                    take = min(restart * each or blocks, blocks - done)
+                    lanes.append((base + start, first + done, take))
                     done += take
+                    if next_mark == len(marks):
+                        raise ValueError("the file ends inside a scan")
                     mark = marks[next_mark]
                     if not 0xD0 <= f[mark + 1] <= 0xD7:
                         break
                     start = mark + 2
                     next_mark += 1
                 at = mark
+        if not end or not img.planes or any(p.quant not in img.quants for p in img.planes):
+            raise ValueError("the file is not whole")
         self.images.append(img)
 
+    def _mixed(self, img: Image, part: list[Plane]) -> list[int]:
+        """Blocks of an interleaved scan in its order; -1 for those that only fill up a macro block."""
+        hm, vm = max(p.h for p in img.planes), max(p.v for p in img.planes)
+        right, down = -(-img.width // (8 * hm)), -(-img.height // (8 * vm))
+        y, x = (a.reshape(-1, 1) for a in np.divmod(np.arange(right * down), right))
+        columns = []
+        for p in part:
+            v, h = (a.reshape(1, -1) for a in np.divmod(np.arange(p.h * p.v), p.h))
+            row, col = y * p.v + v, x * p.h + h
+            columns.append(np.where((row < p.down) & (col < p.across), p.at + row * p.across + col, -1))
+        return np.concatenate(columns, 1).reshape(-1).tolist()
+
+    def _interleaved(self, pos, first, count, low, high, kinds, luts) -> None:
+        """A DC scan of several components: ``kinds`` of the blocks of a macro block, each with its own prediction."""
+        targets = np.array(self.targets, np.int64)
+        before = np.zeros((max(kinds) + 1, len(pos)), np.int64)
+        for b in range(int(count[0])):
+            n = int(np.searchsorted(-count, -b))
+            kind, at = kinds[b % len(kinds)], targets[first[:n] + b]
+            there = at >= 0
+            if high:
+                bit = (self._peek(pos[:n]) >> 15) << low
+                self.coef[at[there] * 64] |= bit[there].astype(np.int16)
+                pos[:n] += 1
+                continue
+            s, p = self._symbol(pos[:n], luts[b % len(kinds)])
+            v = self._peek(p) >> (16 - s)
+            before[kind, :n] += np.where(v < (1 << s) >> 1, v - (1 << s) + 1, v)
+            pos[:n] = p + s
+            self.coef[at[there] * 64] = before[kind, :n][there] << low
+
     def _peek(self, pos: np.ndarray) -> np.ndarray:
-        return (self.wide[pos >> 3] >> (8 - (pos & 7))) & 0xFFFF
+        at = pos >> 3
+        if len(at) and int(at.max()) >= len(self.wide):
+            raise ValueError("the data of a scan end too early")
+        return (self.wide[at] >> (8 - (pos & 7))) & 0xFFFF
 
     def _decode(self, key: tuple, lanes: list[tuple[int, int, int]]) -> None:
         _, ss, se, high, low, table = key
         start, first, count = (np.array(x, np.int64) for x in zip(*lanes, strict=True))
         order = np.argsort(-count, kind="stable")
         pos, first, count = self.moved[start[order]] * 8, first[order], count[order]
+        if table and isinstance(table[0], tuple):
+            kinds, layout = table
+            self._interleaved(pos, first, count, low, high, kinds, [_lookup(*t) for t in layout] if layout else None)
+            return
         lut = _lookup(*table) if table else None
         if ss == 0 and high:
             self._dc_bits(pos, first, count, low)
@@ -501,15 +562,13 @@ class Batch:
                     at += g.height
         return out
 
-    def payloads(self) -> list[bytes]:
-        """What :func:`encode` stored, from the coefficients."""
+    def payloads(self) -> list[bytes | None]:
+        """What :func:`encode` stored, from the coefficients; None for other files."""
         data = (self.coef - SHIFT).astype(np.uint8).tobytes()
-        out = []
+        out: list[bytes | None] = []
         for img in self.images:
-            if not img.comment.startswith(MARK):
-                raise ValueError("no payload is stored in this file")
-            at = img.planes[0].at * 64
-            out.append(data[at : at + int(img.comment[len(MARK) :])])
+            at, size = img.planes[0].at * 64, img.comment[len(MARK) :]
+            out.append(data[at : at + int(size)] if img.comment.startswith(MARK) and size.isdigit() else None)
         return out
 
 
@@ -550,43 +609,83 @@ def stored(texts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-_TENSOR = StructType([StructField("height", IntegerType()), StructField("width", IntegerType()), StructField("rgb", BinaryType())])
+def _read(files: list[bytes | None]) -> list[tuple[np.ndarray, Batch | None, int, str | None]]:
+    """For each file its tensor, the batch and place in which it was read, and why it could not be. None: an empty tensor."""
+    out: list[tuple[np.ndarray, Batch | None, int, str | None]] = [(np.zeros((0, 0, 3), np.uint8), None, 0, None)] * len(files)
+    some = [i for i, m in enumerate(files) if m is not None]
+    try:
+        batch = Batch([files[i] for i in some])
+        for k, (i, x) in enumerate(zip(some, batch.rgb(), strict=True)):
+            out[i] = (x, batch, k, None)
+    except (ValueError, IndexError, KeyError, struct.error) as e:
+        if len(some) > 1:  # the others must not suffer
+            for i in some:
+                out[i] = _read([files[i]])[0]
+        else:
+            out[some[0]] = (*out[some[0]][:3], str(e) or type(e).__name__)
+    return out
+
+
+def _each(media: pd.Series):
+    for lo, hi in _parts([len(m or b"") for m in media]):
+        yield from _read([None if m is None else bytes(m) for m in media[lo:hi]])
+
+
+_TENSOR = StructType([StructField("height", IntegerType()), StructField("width", IntegerType()), StructField("rgb", BinaryType()), StructField("error", StringType())])
 
 
 @pandas_udf(_TENSOR)
 def tensor(media: pd.Series) -> pd.DataFrame:
-    """Full-resolution RGB tensor (height, width, 3) of each file, row by row. Null: an empty tensor."""
-    rows: list[tuple[int, int, bytes]] = []
-    for lo, hi in _parts([len(m or b"") for m in media]):
-        part = list(media[lo:hi])
-        images = iter(Batch([bytes(m) for m in part if m]).rgb())
-        rows += [(*(x := next(images)).shape[:2], x.tobytes()) if m else (0, 0, b"") for m in part]
-    return pd.DataFrame(rows, columns=["height", "width", "rgb"])
+    """Full-resolution RGB tensor (height, width, 3) of each file, row by row, and an error for what is no
+    progressive JPEG or broken. Null, and files with an error: an empty tensor."""
+    rows = [(*x.shape[:2], x.tobytes(), error) for x, _, _, error in _each(media)]
+    return pd.DataFrame(rows, columns=[f.name for f in _TENSOR])
 
 
 _READ = StructType(
-    [StructField("payload_bytes", LongType()), StructField("payload_sha256", StringType()), StructField("tail_crc32", LongType()), StructField("feature", StringType())]
+    [StructField("payload_bytes", LongType()), StructField("payload_sha256", StringType()), StructField("tail_crc32", LongType()), StructField("feature", StringType()), StructField("error", StringType())]
 )
 
 
 @pandas_udf(_READ)
 def read_back(media: pd.Series) -> pd.DataFrame:
-    """Digest of the stored payload, and a feature of the picture: its size, the sums of the channels, a checksum."""
-    rows = []
-    for lo, hi in _parts([len(m) for m in media]):
-        batch = Batch([bytes(m) for m in media[lo:hi]])
-        for payload, x in zip(batch.payloads(), batch.rgb(), strict=True):
-            sums = ",".join(str(int(s)) for s in x.reshape(-1, 3).sum(0, dtype=np.int64))
-            feature = f"{x.shape[1]}x{x.shape[0]}:{sums}:{zlib.crc32(np.ascontiguousarray(x)):08x}"
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), feature))
-    return pd.DataFrame(rows, columns=[f.name for f in _READ])
+    """Digest of the stored payload, and a feature of the picture: its size, the sums of the channels, a checksum.
+
+    All are null for null, and beside the error for what can't be read or holds no payload."""
+    rows: list[tuple] = []
+    held: dict[int, list[bytes]] = {}
+    for x, batch, k, error in _each(media):
+        if batch is None:
+            rows.append((None, None, None, None, error))
+            continue
+        if id(batch) not in held:
+            held = {id(batch): batch.payloads()}
+        payload = held[id(batch)][k]
+        if payload is None:
+            rows.append((None, None, None, None, "no payload is stored in this file"))
+            continue
+        sums = ",".join(str(int(s)) for s in x.reshape(-1, 3).sum(0, dtype=np.int64))
+        feature = f"{x.shape[1]}x{x.shape[0]}:{sums}:{zlib.crc32(np.ascontiguousarray(x)):08x}"
+        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), feature, None))
+    out = pd.DataFrame(rows, columns=[f.name for f in _READ])
+    return out.astype({"payload_bytes": "Int64", "tail_crc32": "Int64"})
+
+
+def media_columns(docs: DataFrame, text: str = "text", media: str = "media", tensors: str = "tensor") -> DataFrame:
+    """``docs`` with each text stored as a progressive JPEG in ``media`` and its RGB tensor, read back, in ``tensors``.
+
+    Null and empty texts are 64 zero bytes; very long ones are one large picture; repeated rows are alike; an
+    empty table stays empty. Columns of these names are replaced, all others stay."""
+    common.small_batches(docs.sparkSession)
+    return docs.withColumn(media, stored(F.col(text))).withColumn(tensors, tensor(F.col(media)))
 
 
 def op3_progressive_jpeg(spark, sf_dir: str) -> DataFrame:
     """Every text stored as a progressive JPEG and read back: doc_id, n_bytes, payload_bytes,
     payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
-    Null and empty texts are stored as 64 zero bytes with n_bytes 0; equal texts give equal rows."""
+    Null and empty texts are stored as 64 zero bytes with n_bytes 0; very long ones are one large picture; equal
+    texts give equal rows; an empty table gives none."""
     common.small_batches(spark)
     docs = common.table(spark, sf_dir, "documents")
     held = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), stored(F.col("text")).alias("media"))
