@@ -1,11 +1,11 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Inputs are words and characters: a word gives a learned vector (by hash), its prior (how much more
-documents of label 1 hold it than others, from the training rows only) and learned vectors of its first
-and last characters and its length. Overlapping windows of words cover the whole document; a gated
+Inputs are words and characters: a word gives a learned vector (by hash), its prior and that of its first
+characters (how much more documents of label 1 hold them than others, from the training rows only) and learned
+vectors of its first and last characters and its length. Overlapping windows of words cover the whole document; a gated
 recurrent layer reads each window both ways, attention pools the states, and one logit results. The
-document's score is that of its highest window, corrected for how high the highest of so many
-windows of clean text gets.
+document's score is fitted to its highest window and the highest one apart from that, since what is toxic may
+be scattered, corrected for how high the highest of so many windows of clean text gets.
 """
 
 from __future__ import annotations
@@ -22,12 +22,18 @@ from pyspark.sql.functions import pandas_udf
 
 from curatrix.llm import common, training
 
-WINDOW = 24
-STRIDE = 18
+WINDOW = 32
+STRIDE = 24
+#: Inputs of a word that are no vector: its prior and that of its beginning.
+PRIORS = 2
 HIDDEN = 6
 WORD_SLOTS, WORD_DIM = 1 << 13, 4
 CHAR_SLOTS, CHAR_DIM = 1 << 11, 3
 LENGTHS = 16
+#: Characters at the start of a word that have a prior and a vector.
+BEGINNING = 5
+#: The lowest logit that counts in a document's score.
+FLOOR = -4.0
 #: Windows that run through the network together.
 LANES = 2048
 EPOCHS = 8
@@ -39,8 +45,11 @@ SAMPLE = 4000
 FOLDS = 5
 #: Training rows a word must stand in to have a vector of its own; all rarer ones share one.
 SEEN = 4
-#: Share of training words that are known by their prior alone.
-BLIND = 0.5
+#: Share of training words that are known by their prior alone: all but OPEN of them at ENOUGH rows of label 1,
+#: and the fewer such rows there are, the nearer to all, since vectors learn few rows by heart.
+OPEN, ENOUGH = 0.5, 2000
+#: Size from which a prior counts: three rows of label 1 and no other give more, two do not.
+SURE = 0.8
 #: Words remembered by a task.
 KNOWN = 200_000
 
@@ -51,6 +60,11 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def beginning(w: str) -> str:
+    """The first characters of a word, marked so that they are no word themselves."""
+    return "<" + w[:BEGINNING]
+
+
 def prior(toxic: int, clean: int, toxic_rows: int, clean_rows: int) -> float:
     """Signed root of the likelihood ratio that a word is bound to label 1; rare words stay near 0."""
     n, p = toxic + clean, toxic_rows / max(1, toxic_rows + clean_rows)
@@ -65,17 +79,17 @@ def prior(toxic: int, clean: int, toxic_rows: int, clean_rows: int) -> float:
 
 
 class Vocabulary:
-    """Word to input numbers: prior, word slot, slots of the first and last characters, length."""
+    """Word to input numbers: priors of the word and of its beginning, word slot, slots of the first and last characters, length."""
 
     def __init__(self, priors: dict[str, float], known: set[str]):
         self.priors, self.known = priors, known
 
-    def entry(self, w: str, priors: dict[str, float] | None = None) -> tuple[float, int, int, int, int]:
+    def entry(self, w: str, priors: dict[str, float] | None = None) -> tuple[float, float, int, int, int, int]:
         def slot(s: str, n: int) -> int:
             return zlib.crc32(s.encode("utf-8", "surrogatepass")) % n
 
-        p = (self.priors if priors is None else priors).get(w, 0.0)
-        return p, 1 + slot(w, WORD_SLOTS - 1) if w in self.known else 0, slot("<" + w[:4], CHAR_SLOTS), slot(w[-4:] + ">", CHAR_SLOTS), min(len(w), LENGTHS) - 1
+        priors = self.priors if priors is None else priors
+        return priors.get(w, 0.0), priors.get(beginning(w), 0.0), 1 + slot(w, WORD_SLOTS - 1) if w in self.known else 0, slot(beginning(w), CHAR_SLOTS), slot(w[-4:] + ">", CHAR_SLOTS), min(len(w), LENGTHS) - 1
 
 
 def document_counts(rows: list[set[str]], y: np.ndarray) -> tuple[Counter, Counter]:
@@ -89,7 +103,7 @@ def make_priors(rows: list[set[str]], y: np.ndarray) -> dict[str, float]:
     toxic, clean = document_counts(rows, y)
     t, c = int(y.sum()), int(len(y) - y.sum())
     out = {w: prior(toxic[w], clean[w], t, c) for w in toxic.keys() | clean.keys()}
-    return {w: p for w, p in out.items() if abs(p) > 0.25}
+    return {w: p for w, p in out.items() if abs(p) > SURE}
 
 
 class BiGru:
@@ -103,12 +117,13 @@ class BiGru:
         def w(*shape, fan):
             return (rng.standard_normal(shape) / np.sqrt(fan)).astype(np.float32)
 
-        width = 1 + WORD_DIM + 3 * CHAR_DIM
+        width = PRIORS + WORD_DIM + 3 * CHAR_DIM
         p = {
-            "word": w(WORD_SLOTS, WORD_DIM, fan=100),
-            "head": w(CHAR_SLOTS, CHAR_DIM, fan=100),
-            "tail": w(CHAR_SLOTS, CHAR_DIM, fan=100),
-            "length": w(LENGTHS, CHAR_DIM, fan=100),
+            # vectors begin at nothing, so that a word or an ending never trained on says nothing
+            "word": np.zeros((WORD_SLOTS, WORD_DIM), np.float32),
+            "head": np.zeros((CHAR_SLOTS, CHAR_DIM), np.float32),
+            "tail": np.zeros((CHAR_SLOTS, CHAR_DIM), np.float32),
+            "length": np.zeros((LENGTHS, CHAR_DIM), np.float32),
             "attend": w(2 * HIDDEN, fan=2 * HIDDEN),
             "out": w(2 * HIDDEN, fan=2 * HIDDEN),
             "out_b": np.full(1, -1.0, np.float32),
@@ -122,7 +137,7 @@ class BiGru:
 
     def inputs(self, e: tuple[np.ndarray, ...]) -> np.ndarray:
         p = self.p
-        return np.concatenate([e[0][..., None], p["word"][e[1]], p["head"][e[2]], p["tail"][e[3]], p["length"][e[4]]], axis=-1)
+        return np.concatenate([e[0][..., None], e[1][..., None], p["word"][e[2]], p["head"][e[3]], p["tail"][e[4]], p["length"][e[5]]], axis=-1)
 
     def project(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple(x @ self.p["in_" + d] + self.p["bias_" + d] for d in "fb")
@@ -161,7 +176,7 @@ class BiGru:
         p = self.p
         x = self.inputs(e)
         if blind is not None:
-            x[blind, 1:] = 0
+            x[blind, PRIORS:] = 0
         m = mask.astype(np.float32)
         kept = {"f": [], "b": []}
         proj = dict(zip("fb", self.project(x), strict=True))
@@ -197,8 +212,8 @@ class BiGru:
             gx += gp @ p["in_" + d].T
         if blind is not None:
             gx[blind] = 0
-        at = 1
-        for name, ids, dim in (("word", e[1], WORD_DIM), ("head", e[2], CHAR_DIM), ("tail", e[3], CHAR_DIM), ("length", e[4], CHAR_DIM)):
+        at = PRIORS
+        for name, ids, dim in (("word", e[2], WORD_DIM), ("head", e[3], CHAR_DIM), ("tail", e[4], CHAR_DIM), ("length", e[5], CHAR_DIM)):
             acc = np.zeros_like(p[name])
             np.add.at(acc, ids, gx[..., at : at + dim])
             g[name] = acc
@@ -212,9 +227,9 @@ def starts(n: int) -> np.ndarray:
 
 
 class Model:
-    """Network, vocabulary and the correction of the highest of many windows."""
+    """Network, vocabulary and the weights of the summary of the windows."""
 
-    def __init__(self, net: BiGru | None, vocabulary: Vocabulary | None, bend: tuple[float, float, float] = (1.0, 0.0, 0.0), base: float = 0.5):
+    def __init__(self, net: BiGru | None, vocabulary: Vocabulary | None, bend: np.ndarray = np.array([1.0, 0.0, 0.0, 0.0]), base: float = 0.5):
         self.net, self.vocabulary, self.bend, self.base = net, vocabulary, bend, base
         self._slots: dict[str, int] = {}
         self._rows: list[np.ndarray] = []
@@ -270,7 +285,7 @@ class Model:
 
     def _projected(self, words: list[str]) -> np.ndarray:
         e = tuple(np.array(c) for c in zip(*map(self.vocabulary.entry, words), strict=True))
-        return np.concatenate(self.net.project(self.net.inputs((e[0].astype(np.float32), *e[1:]))), -1).astype(np.float32)
+        return np.concatenate(self.net.project(self.net.inputs((*(c.astype(np.float32) for c in e[:PRIORS]), *e[PRIORS:]))), -1).astype(np.float32)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.net is None:
@@ -286,9 +301,7 @@ class Model:
             n += len(d)
             if n > LANES * STRIDE or i == len(texts) - 1:
                 tops = self.window_logits(docs)
-                top, many = np.array([x.max() for x in tops]), np.log([len(x) for x in tops])
-                a, b, c = self.bend
-                out[group] = training.sigmoid(a * top + b * many + c)
+                out[group] = training.sigmoid(np.array([summary(x) for x in tops]) @ self.bend)
                 group, docs, n = [], [], 0
         return out
 
@@ -302,7 +315,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, batch: int = 128)
         return Model(None, None, base=float(y.mean()) if len(y) else 0.5)
     rng = np.random.default_rng(SEED)
     docs = [words_of(t) for t in texts]
-    sets = [set(d) for d in docs]
+    sets = [set(d) | {beginning(w) for w in d} for d in docs]
     fold = np.arange(len(docs)) % FOLDS
     priors = []
     for f in range(FOLDS):
@@ -320,7 +333,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, batch: int = 128)
 
     def lanes(picked: list[tuple[int, int]]):
         """Input arrays of windows (document, first word)."""
-        cols = [np.zeros((WINDOW, len(picked)), np.float32), *[np.zeros((WINDOW, len(picked)), np.int64) for _ in range(4)]]
+        cols = [np.zeros((WINDOW, len(picked)), np.float32 if k < PRIORS else np.int64) for k in range(PRIORS + 4)]
         mask = np.zeros((WINDOW, len(picked)), bool)
         for j, (i, s) in enumerate(picked):
             n = min(WINDOW, len(entries[i][0]) - s)
@@ -341,11 +354,12 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, batch: int = 128)
         return np.split(np.concatenate(got), np.cumsum([len(every(i)) for i in which])[:-1])
 
     def by_prior(i: int) -> np.ndarray:
-        top = np.array([np.sort(entries[i][0][s : s + WINDOW])[-3:].sum() for _, s in every(i)])
+        top = np.array([np.sort(np.maximum(entries[i][0], entries[i][1])[s : s + WINDOW])[-3:].sum() for _, s in every(i)])
         return top
 
     highest = {i: int(by_prior(i).argmax()) for i in range(len(docs))}
     share = float(y.mean())
+    blind = 1 - OPEN * min(1.0, float(y.sum()) / ENOUGH)
     # few rows make few steps an epoch: then more epochs, until there are STEPS
     epochs = max(epochs, min(80, -(-STEPS * batch // (2 * len(docs)))))
     for epoch in range(epochs):
@@ -360,21 +374,41 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, batch: int = 128)
             e, mask = lanes(part)
             yy = y[[i for i, _ in part]]
             weight = np.where(yy == 1, (0.5 / share) ** 0.5, 1.0).astype(np.float32)
-            opt.step(net.gradients(e, mask, yy, weight, rng.random(mask.shape) < BLIND), 1 - 0.9 * epoch / epochs)
+            opt.step(net.gradients(e, mask, yy, weight, rng.random(mask.shape) < blind), 1 - 0.9 * epoch / epochs)
     model = Model(net, vocabulary)
     model.bend = _bent(all_logits(list(range(len(docs)))), y)
     return model
 
 
-def _bent(logits: list[np.ndarray], y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic fit of the label to the highest logit and the log of the number of windows."""
-    x = np.stack([[l.max() for l in logits], np.log([len(l) for l in logits]), np.ones(len(logits))], 1).astype(np.float64)
-    w = np.array([1.0, 0.0, 0.0])
+def summary(logits: np.ndarray) -> tuple[float, float, float, float]:
+    """What the score of a document rests on: its highest window, the highest of those that share no word with
+    that one (FLOOR where there is none, and at least), the log of the number of windows, and 1."""
+    top = int(logits.argmax())
+    away = np.abs(np.arange(len(logits)) - top) * STRIDE >= WINDOW
+    second = float(logits[away].max()) if away.any() else FLOOR
+    return max(float(logits[top]), FLOOR), max(second, FLOOR), float(np.log(len(logits))), 1.0
+
+
+def _bent(logits: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Logistic fit of the label to the summaries, drawn to the highest logit as it is."""
+    x = np.array([summary(v) for v in logits])
+    heavy = np.where(y == 1, (0.5 / y.mean()) ** 0.5, 1.0)  # as in training
+    rest, toward = np.array([1.0, 1.0, 1.0, 0.1]), np.array([1.0, 0.0, 0.0, 0.0])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((heavy * (np.logaddexp(0, z) - y * z)).sum() + (rest * (w - toward) ** 2).sum() / 2)
+
+    w = toward.copy()
     for _ in range(50):
         p = training.sigmoid(x @ w)
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-2, 1e-2, 1e-3])
-        w -= np.linalg.solve(h, x.T @ (p - y) + np.array([1e-2, 1e-2, 1e-3]) * (w - np.array([1.0, 0.0, 0.0])))
-    return float(max(w[0], 0.05)), float(w[1]), float(w[2])
+        h = (x * (heavy * p * (1 - p))[:, None]).T @ x + np.diag(rest)
+        step = np.linalg.solve(h, x.T @ (heavy * (p - y)) + rest * (w - toward))
+        size = 1.0
+        while loss(w - size * step) > loss(w) and size > 1e-4:
+            size /= 2
+        w = w - size * step
+    return np.maximum(w, [0.05, 0.0, -np.inf, -np.inf])
 
 
 def scorer(model: Model):
