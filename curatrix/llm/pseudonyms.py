@@ -1,9 +1,10 @@
 """Format-preserving pseudonyms for personal data, from keyed Feistel permutations.
 
 A value is taken apart into positions with alphabets (digits, small letters, capitals); the two
-halves are numbers of mixed radix, and ten rounds add a keyed hash of one half to the other. That is
-a permutation of all values of the format, so equal values get equal pseudonyms in every document,
-different ones stay different, and a pseudonym has the format of what it replaces. Where only some
+halves are numbers of mixed radix, and ten rounds add a keyed hash of one half to the other. Through these
+rounds all values of the format lie on one keyed cycle, and the next one on it is the pseudonym: equal values
+get equal ones in every document, different ones stay different, none stands for itself, and a pseudonym has
+the format of what it replaces. Where only some
 values are valid (dates, network addresses, social security numbers) the permutation is walked until
 it gives a valid one; check digits of cards and accounts are left out and worked out anew.
 
@@ -26,15 +27,28 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from curatrix.llm import common
 
 ROUNDS = 10
-#: Used where the session names no spark.curatrix.pii.key.
-DEFAULT_KEY = "curatrix"
+#: Setting of the session that holds the key. Who knows the key can undo the pseudonyms.
+KEY_SETTING = "spark.curatrix.pii.key"
+#: The key of the registered queries, which run on made-up tables, where the session has none. No operator falls back on it.
+QUERY_KEY = "for made-up tables only"
 
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 _PLACE = {c: (a, i) for a in _ALPHABETS for i, c in enumerate(a)}
 
 
+def _rounds(nums: list[int], sizes: list[int], shape: str, key: bytes, back: bool = False) -> None:
+    """The Feistel rounds on the two halves, or the same undone."""
+    for r in reversed(range(ROUNDS)) if back else range(ROUNDS):
+        x, y = r % 2, 1 - r % 2
+        said = int.from_bytes(hashlib.blake2b(f"{shape}/{r}/{nums[y]}".encode(), key=key, digest_size=16).digest())
+        nums[x] = (nums[x] - said if back else nums[x] + said) % sizes[x]
+
+
 def permute(value: str, key: bytes, tweak: str) -> str:
-    """The keyed permutation of ``value`` within its format; characters of no alphabet stay."""
+    """The keyed permutation of ``value`` within its format; characters of no alphabet stay.
+
+    The rounds, one step on, and the rounds undone: all values of a format lie on one keyed cycle, so none is
+    its own pseudonym (unless its format has no other value)."""
     at = [i for i, c in enumerate(value) if c in _PLACE]
     alphabets = [_PLACE[value[i]][0] for i in at]
     if not at:
@@ -48,10 +62,11 @@ def permute(value: str, key: bytes, tweak: str) -> str:
             nums[side] = nums[side] * len(a) + d
             sizes[side] *= len(a)
     shape = f"{tweak}/{'.'.join(str(len(a)) for a in alphabets)}"
-    for r in range(ROUNDS):
-        x, y = r % 2, 1 - r % 2
-        said = hashlib.blake2b(f"{shape}/{r}/{nums[y]}".encode(), key=key, digest_size=16).digest()
-        nums[x] = (nums[x] + int.from_bytes(said)) % sizes[x]
+    _rounds(nums, sizes, shape, key)
+    nums[1] += 1
+    if nums[1] == sizes[1]:
+        nums[0], nums[1] = (nums[0] + 1) % sizes[0], 0
+    _rounds(nums, sizes, shape, key, back=True)
     out = list(value)
     for side, part in enumerate((at[:cut], at[cut:])):
         n = nums[side]
@@ -168,7 +183,7 @@ KINDS: tuple[tuple[str, re.Pattern, Callable], ...] = (
     ("email", re.compile(r"(?<![\w.+%@-])[\w+%-][\w.+%-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,24}(?![\w@])"), _email),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{2,4}){3,8}(?!\w)"), _iban),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _ssn),
-    ("date", re.compile(r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}([-./])\d{1,2}\1\d{4})(?![\w/-]|\.\d)"), _date),
+    ("date", re.compile(r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}([-./])\d{1,2}\1\d{4})(?:(?=T\d\d:)|(?![\w/-]|\.\d))"), _date),
     ("ip", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"), _ip),
     ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"), _card),
     ("phone", re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-]|\.\d)"), _phone),
@@ -268,11 +283,21 @@ def pseudonymise(key: str):
 
 
 def session_key(spark) -> str:
-    return spark.conf.get("spark.curatrix.pii.key", DEFAULT_KEY)
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"a secret key is needed: give one, or set {KEY_SETTING}")
+    return key
+
+
+def query_key(spark) -> str:
+    return spark.conf.get(KEY_SETTING, None) or QUERY_KEY
 
 
 def mask(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
-    """``docs`` with pseudonyms in ``text``; other columns, and null texts, as they are."""
+    """``docs`` with pseudonyms in ``text``; other columns, and null and empty texts, as they are.
+
+    Without ``key`` the session must name one. Very long texts are read whole; repeated rows stay and get
+    the same pseudonyms; an empty table stays empty."""
     common.small_batches(docs.sparkSession)
     run = pseudonymise(key or session_key(docs.sparkSession))
     return docs.withColumn(text, run(F.col(text))["text"])
@@ -284,4 +309,4 @@ def op6_feistel_pseudonyms(spark, sf_dir: str) -> DataFrame:
     Null texts stay null with no findings, empty ones empty; repeated rows get the same result."""
     common.small_batches(spark)
     docs = common.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", pseudonymise(session_key(spark))(F.col("text")).alias("r")).select("doc_id", "r.*")
+    return docs.select("doc_id", pseudonymise(query_key(spark))(F.col("text")).alias("r")).select("doc_id", "r.*")

@@ -57,7 +57,7 @@ def test_validated_values_only():
 def test_documents_against_the_plain_function(spark, small):
     import hashlib
 
-    key = hashlib.blake2b(P.DEFAULT_KEY.encode()).digest()
+    key = hashlib.blake2b(P.QUERY_KEY.encode()).digest()
     got = {r.doc_id: r for r in P.op6_feistel_pseudonyms(spark, small).collect()}
     for d, t in cases.texts(small):
         assert got[d].text == masked(t, key)
@@ -86,3 +86,28 @@ def test_values_before_other_words_and_numbers():
         text = f"here {value}{behind}"
         assert P.findings(text, KEY)[0][:3] == (5, 5 + len(value), kind) and len(P.findings(text, KEY)) == 1
         assert masked(text) == f"here {masked(value)}{behind}" != text
+
+
+def test_nothing_stands_for_itself():
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "0123456789"):
+        assert all(P.permute(c, KEY, t) != c for c in alphabet for t in ("t", "u", "v"))
+    assert all(P.permute(f"{i:03d}", KEY, "t") != f"{i:03d}" for i in range(1000))
+    assert all(masked(f"a{c}@x.example.org") != f"a{c}@x.example.org" for c in "abcdefgh")
+    days = [f"2001-03-{d:02d}" for d in range(1, 32)]
+    assert len({masked(d) for d in days}) == 31 and all(masked(d) != d for d in days)
+
+
+def test_dates_of_timestamps():
+    out = masked("at 2024-01-15T10:00:00Z sharp")
+    assert kinds("at 2024-01-15T10:00:00Z sharp") == ["date"] and out.endswith("T10:00:00Z sharp") and "2024-01-15" not in out
+    assert kinds("2024-01-15Thing") == []
+
+
+def test_a_key_is_needed(spark):
+    docs = cases.docs(spark)
+    import pytest
+
+    with pytest.raises(ValueError):
+        P.mask(docs)
+    assert P.mask(docs, key="secret").count() == len(cases.ROWS)
+    assert P.mask(cases.docs(spark, []), key="secret").count() == 0
