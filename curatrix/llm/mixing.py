@@ -153,6 +153,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     sources = common.written(targets(rows), "sources")
     uses = schedule(sources).groupBy("sid", "block").agg(F.count_if(F.col("cut").isNull()).alias("uses"), F.max("cut").alias("cut"))
     at = common.written(placed(rows, sources).select("doc_id", "source", "size", "source_size", "target", "sid", "start", "short", "longer"), "placed")
+    common.forget(rows)
     end = F.col("start") + F.col("size")
     parts = (
         at.where("size > 0")
@@ -162,7 +163,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         .select("sid", "start", "block", "words", "before")
     )
     # of the slot that ends part-way, what of it lies in the row
-    partly = F.coalesce(F.greatest(F.lit(0), F.least(F.col("words"), F.col("cut") - F.col("before"))), F.lit(0))
+    partly = F.when(F.col("cut").isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.col("words"), F.col("cut") - F.col("before"))))
     # slots come from exploded ranges, whose number Spark can't estimate: it must not broadcast them
     taken = parts.join(uses.hint("merge"), ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("words") * F.col("uses") + partly).alias("taken"))
     # rows without words share their start with the next row and take nothing
@@ -229,7 +230,7 @@ WITH rows AS (
                 ELSE longer + (start + size - 1 - longer * (short + 1)) // short END)::BIGINT + 1)) AS block
         FROM placed WHERE size > 0)
 ), taken AS (
-  SELECT rid, sum(words * uses + coalesce(greatest(0, least(words, cut - before)), 0)) AS taken FROM parts JOIN uses USING (sid, block) GROUP BY rid
+  SELECT rid, sum(words * uses + CASE WHEN cut IS NULL THEN 0 ELSE greatest(0, least(words, cut - before)) END) AS taken FROM parts JOIN uses USING (sid, block) GROUP BY rid
 )
 SELECT p.doc_id, p.source, p.size, e.source_size, e.target, coalesce(taken, 0)::BIGINT AS taken
 FROM placed p JOIN e ON p.source IS NOT DISTINCT FROM e.source LEFT JOIN taken USING (rid)

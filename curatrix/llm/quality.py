@@ -28,6 +28,8 @@ OVERLAP = 64
 PART = 32 * OVERLAP
 #: Labelled rows it is fitted on, at most.
 SAMPLE = 2500
+#: Chunks of a training text that an epoch learns from, at most: another run of them in each epoch. Scores use all.
+SPAN = 12
 EPOCHS = 6
 SEED = 7
 
@@ -153,14 +155,14 @@ class ByteNet:
 def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, batch: int = 8) -> ByteNet:
     """A network trained on labelled texts; without both labels, one that always gives their mean.
 
-    Of a very long training text a random run of chunks is used in each epoch (scores use all)."""
+    Of a very long training text a random run of SPAN chunks is used in each epoch (scores use all)."""
     if not len(y) or y.min() == y.max():
         return ByteNet(None, float(y.mean()) if len(y) else 0.5)
     rng = np.random.default_rng(SEED)
     net = ByteNet.fresh(rng)
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
-    span = 12 * CHUNK
+    span = SPAN * CHUNK
     opt = training.Adam(net.p, 0.004)
     total = epochs * -(-len(raw) // batch)
     done = 0

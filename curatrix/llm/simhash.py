@@ -115,7 +115,7 @@ def _chained(x: Column, y: Column) -> Column:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) over distinct fingerprints ``fp`` whose components are those of all links.
+    """Edges (a, b) over distinct fingerprints ``fp`` whose components are those of all links. Null fingerprints have none.
 
     Every linked pair under keys of ordinary size is an edge; pairs under crowded keys are joined
     through stars of the same component."""

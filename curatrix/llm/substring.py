@@ -145,14 +145,14 @@ def _window_rows(window: int):
         for batch in batches:
             batch = _distinct(batch)
             texts = [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
-            found = [np.asarray(p, np.int64) for p in batch["positions"]]
+            found = [np.asarray([] if p is None else p, np.int64) for p in batch["positions"]]
             w1s, w2s, rows, poss = [], [], [], []
             for lo, hi in _chunks(texts):
                 words, first = word_hashes(texts[lo:hi])
                 starts, owners = [], []
                 for i in range(lo, hi):
                     n = int(first[i - lo + 1] - first[i - lo])
-                    p = found[i][found[i] >= 0]
+                    p = found[i]
                     if n < window or not len(p):
                         continue
                     # windows that hold the anchor whole start at most PERIOD - 1 words before it
@@ -227,7 +227,7 @@ def _whole(texts: pd.Series) -> pd.DataFrame:
 def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """What repeats, by text: (texts, starts).
 
-    ``texts`` (k1, k2, text, positions, whole): each text that shares an anchor with another place,
+    ``texts`` (k1, k2, text, whole, positions): each text, once, that shares an anchor with another place,
     or whose whole row repeats (whole); ``starts`` (k1, k2, starts): the starts of its windows that
     also start elsewhere, but for those of whole repeats."""
     if window <= PERIOD:
@@ -244,13 +244,10 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW)
         .where("sure or least != most")
         .select("k1", "k2", "pos")
     )
-    copies = keyed.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2", F.lit(-1).alias("pos"))
-    places = common.written(
-        shared.unionByName(copies).groupBy("k1", "k2").agg(F.collect_set("pos").alias("positions")), "places"
-    )
-    texts = common.written(
-        keyed.join(places, ["k1", "k2"]).withColumn("whole", F.array_contains("positions", -1)), "texts"
-    )
+    places = common.written(shared.groupBy("k1", "k2").agg(F.collect_set("pos").alias("positions")), "places")
+    # each task sends a text once, however many copies it holds
+    once = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), (F.count("*") > 1).alias("whole"))
+    texts = common.written(once.join(places, ["k1", "k2"], "left").where("whole or positions is not null"), "texts")
     common.forget(places)
     windows = texts.mapInPandas(_window_rows(window), "w1 long, w2 long, k1 long, k2 long, pos int, sure boolean")
     meet = Window.partitionBy("w1", "w2")
@@ -271,10 +268,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         texts.select("k1", "k2", "text", "whole")
         .join(starts, ["k1", "k2"], "left")
         .where("whole or starts is not null")
-        .mapInPandas(_removal(window), "k1 long, k2 long, n_removed long, kept_text string, kept_sha256 string")
-        .dropDuplicates(["k1", "k2"]),
+        .mapInPandas(_removal(window), "k1 long, k2 long, n_removed long, kept_text string, kept_sha256 string"),
         "changed",
     )
+    common.forget(texts)
     body = F.coalesce(F.col(text), F.lit(""))
     k1, k2 = common.text_keys(body)
     rows = docs.select(F.col(doc_id).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), _whole(body).alias("whole"))
