@@ -55,17 +55,18 @@ UNITS = (
 
 def _plain(text: Column) -> Column:
     """Words parted by one space. Signs of arithmetic that stand alone are words; all symbols but sentence ends are gone."""
-    x = F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t-\r]+", " ")
-    x = F.regexp_replace(x, r"(?<![^ ])([+*/=<>^-]+)(?![^ ])|[^\p{L}\p{Nd} .!?:]+", "$1")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"(?<![^ ])[.!?:]+(?![^ ])", ""), " +", " "))
+    # each pattern begins with what few characters are, so that most are passed over at once
+    x = F.regexp_replace(F.concat(F.lit(" "), F.coalesce(text, F.lit(""))), r"[\t-\r][ \t-\r]*+| [ \t-\r]++", " ")
+    x = F.regexp_replace(x, r"(?=[^\p{L}\p{Nd} .!?:])(?:(?<= )([+*/=<>^-]++)(?= |$)|[^\p{L}\p{Nd} .!?:]++)", "$1")
+    return F.trim(F.regexp_replace(F.regexp_replace(x, r" [.!?:]++(?= |$)", ""), "  +", " "))
 
 
 def _template(plain: Column, names: bool = True) -> Column:
     """The same words with placeholders: # a number, @ a name (unless they are folded), ~ a unit."""
-    x = F.regexp_replace(plain, r"(?<![^ ])[^ \p{Nd}]*\p{Nd}[^ ]*", "#")
+    x = F.regexp_replace(plain, r"(?<![^ ])[^ \p{Nd}]*+\p{Nd}[^ ]*+", "#")
     if names:
-        x = F.regexp_replace(x, r"(?<![^ ])\p{Lu}\p{Ll}[^ ]*", "@")
-    return F.regexp_replace(_folded(x), r"(?<=# )(?:" + "|".join(UNITS) + r")(?![^ ])", "~")
+        x = F.regexp_replace(x, r"\p{Lu}(?<![^ ].)\p{Ll}[^ ]*+", "@")
+    return F.regexp_replace(_folded(x), r"# (?:" + "|".join(UNITS) + r")(?![^ ])", "# ~")
 
 
 def _folded(plain: Column) -> Column:
