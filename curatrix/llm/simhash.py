@@ -17,7 +17,9 @@ Texts of a given similarity (Jaccard over five-word shingles) differ in too many
 :func:`keep_unlike` finds them by bands of least hashes instead: a pair at the similarity 0.8 shares
 none of the 24 bands of five with a probability of 0.00007, and less above it. Pairs that share a
 band are then compared exactly. A band shared by many texts is resolved in rounds against hubs: who
-resembles a hub is tied to it, and those left over are compared with twice as many hubs in the next.
+resembles a hub is tied to it and leaves all its bands, and those left over are compared with four times as
+many hubs in the next. So a large group of near copies costs its size, not the square of it; only texts that share
+a band without resembling each other are compared pair by pair.
 """
 
 from __future__ import annotations
@@ -40,8 +42,10 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRWISE = 48
 #: Bands of least hashes, and hashes in each.
 BANDS, ROWS = 24, 5
-#: Rows of a table that may be broadcast: hubs with their shingles of some KB each, and keys.
-BROADCAST_HUBS, BROADCAST_KEYS = 2_000, 500_000
+#: Rows of a table of keys that may be broadcast.
+BROADCAST_KEYS = 500_000
+#: Bytes of the hubs' sets that a task holds at once.
+HUB_BYTES = 16 << 20
 
 
 def _shingles(text: str | None, width: int) -> list[int]:
@@ -243,11 +247,9 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, percent: int, hubs: bool = False) -> DataFrame:
-    """The pairs (a, b) whose sets have at least ``percent`` of their union in common. ``hubs``: few b with many a."""
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have at least ``percent`` of their union in common."""
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    if hubs:
-        right = _small(right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi"), BROADCAST_HUBS)
     shared = F.size(F.array_intersect("x", "y"))
     return (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -259,6 +261,43 @@ def _alike(pairs: DataFrame, sets: DataFrame, percent: int, hubs: bool = False)
     )
 
 
+def _met(rest: DataFrame, chosen: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the members ``rest`` (key, node) and the hubs ``chosen`` (key, b) of their bands that are alike.
+
+    A task holds the hubs' sets and reads each member once, so no row is made of a pair that is not alike.
+    Hubs of more than HUB_BYTES are held in as many turns as they need."""
+    spark = rest.sparkSession
+    held = chosen.groupBy("b").agg(F.collect_set("key").alias("keys")).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    held = common.written(held, "hubs")
+    turns = max(1, -(-int(held.agg(F.sum(F.size("y") + F.size("keys"))).first()[0] or 0) * 8 // HUB_BYTES))
+    members = rest.groupBy("node").agg(F.collect_set("key").alias("keys")).join(sets, "node")
+    out = None
+    for turn in range(turns):
+        by_key: dict[int, list[tuple[bytes, np.ndarray]]] = {}
+        for r in held.where(F.pmod(F.xxhash64("b"), F.lit(turns)) == turn).toLocalIterator():  # HUB_BYTES or so
+            hub = (bytes(r["b"]), np.sort(np.array(r["y"], np.int64)))
+            for k in r["keys"]:
+                by_key.setdefault(k, []).append(hub)
+        sent = spark.sparkContext.broadcast(by_key)
+
+        def run(batches, sent=sent):
+            for batch in batches:
+                found = []
+                for node, keys, shingles in zip(batch["node"], batch["keys"], batch["shingles"], strict=True):
+                    x = np.sort(np.asarray(shingles, np.int64))
+                    for b, y in {h[0]: h for k in keys for h in sent.value.get(k, ())}.values():
+                        if b != node and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                            at = np.searchsorted(y, x)
+                            shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                            if shared * 100 >= (len(x) + len(y) - shared) * percent:
+                                found.append((bytes(node), b))
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+        part = members.mapInPandas(run, "a binary, b binary")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _resembling(best: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> tuple[DataFrame, bool]:
     """Edges (a, b) of sets that resemble each other, and whether a band was crowded."""
     keyed = common.written(best.select(F.explode("keys").alias("key"), "node"), "keys")
@@ -272,18 +311,24 @@ def _resembling(best: DataFrame, docs: DataFrame, text: str, width: int, percent
     few = shared.where(F.col("n") <= PAIRWISE)
     pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
     edges = common.written(_alike(pairs, sets, percent), "alike")
-    rest = common.written(shared.where(F.col("n") > PAIRWISE).select("key", "node"), "rest")
+    rest = common.written(shared.where(F.col("n") > PAIRWISE).select("key", "node", "n"), "rest")
     crowded, hubs = not rest.isEmpty(), 1
     while not rest.isEmpty():
+        # the most central members of a band: those whose bands are the largest together
+        ranked = rest.join(rest.groupBy("node").agg(F.sum("n").alias("reach")), "node")
         slot = F.pmod(F.xxhash64("node"), F.lit(hubs))
-        chosen = _small(common.written(rest.groupBy("key", slot.alias("slot")).agg(F.min("node").alias("b")).select("key", "b"), "hubs"), BROADCAST_KEYS)
-        met = common.written(rest.withColumnRenamed("node", "a").join(chosen, "key").select("key", "a", "b"), "met")
-        found = common.written(_alike(met.where("a != b").select("a", "b").distinct(), sets, percent, hubs=True), "alike")
+        chosen = ranked.groupBy("key", slot.alias("slot")).agg(F.max_by("node", F.struct("reach", "node")).alias("b"))
+        chosen = common.written(chosen.select("key", "b"), "hubs")
+        found = common.written(_met(rest, chosen, sets, percent), "alike")
         edges = edges.unionByName(found)
-        # tied to a hub of the band, or a hub: done with in this band
-        done = met.where("a = b").select("key", "a").unionByName(met.join(found, ["a", "b"], "left_semi").select("key", "a")).distinct()
-        rest = common.written(rest.join(done.withColumnRenamed("a", "node"), ["key", "node"], "left_anti"), "rest")
-        hubs *= 2
+        # who is tied to a hub is spoken for by it in all bands; a hub has met all of its band
+        tied = found.select(F.col("a").alias("node")).distinct()
+        left = rest.join(tied, "node", "left_anti").join(chosen.withColumnRenamed("b", "node"), ["key", "node"], "left_anti")
+        left = common.written(left, "rest")
+        common.forget(rest, chosen)
+        rest = left
+        hubs *= 4
+    common.forget(rest, shared, wanted, sets)
     return edges.distinct(), crowded
 
 
