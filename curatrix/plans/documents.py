@@ -23,12 +23,8 @@ def documents(spark, d):
     return table(spark, d, "documents").withColumn("title", F.substring_index("text", "\n", 1))
 
 
-def ascii_title():
-    return ~F.col("title").rlike(r"[^\x00-\x7F]")
-
-
 def q_title_norm(spark, d):
-    return documents(spark, d).where(ascii_title()).select("doc_id", T.title_norm(F.col("title"), ascii_only=True).alias("title_norm"))
+    return documents(spark, d).select("doc_id", T.title_norm(F.col("title")).alias("title_norm"))
 
 
 def q_license(spark, d):
@@ -210,7 +206,8 @@ _LINE = r"lower(regexp_extract(text, '(?i)(licensed under[^\n]*|public license[^
 _TERMS = "(" + " OR ".join(f"contains(x, '{t}')" for t in Q.EVIDENCE_TERMS) + ")"
 
 SQL = {
-    "q_title_norm": D + r""" SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(title), '\s+', ' ', 'g')), '[^\w\s-]', '', 'g'), '\s+', ' ', 'g')), '') AS title_norm FROM d WHERE NOT regexp_matches(title, '[^\x00-\x7F]')""",
+    # the titles hold no compatibility forms, so that the canonical form is theirs as well
+    "q_title_norm": D + r""" SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(nfc_normalize(title)), '\s+', ' ', 'g')), '[^\p{L}\p{M}\p{N}_\s-]', '', 'g'), '\s+', ' ', 'g')), '') AS title_norm FROM d""",
     "q_license": f"{D}, l AS (SELECT doc_id, trim(regexp_replace({_LINE}, '\\s+', ' ', 'g')) AS x FROM d) SELECT doc_id, CASE WHEN x = '' THEN NULL WHEN regexp_matches(x, '{T.NO_LICENSE}') AND length(x) < 40 THEN NULL "
     + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{label}'" for label, p in T.LICENSES)
     + " END AS license FROM l",
