@@ -35,6 +35,56 @@ AGES = {
     "adult": ["adult", "adults"],
     "elderly": ["elderly", "older adult", "older adults", "older-adult", "geriatric", "aged"],
 }
+SPECIES = {
+    "human": [
+        "human", "humans", "participant", "participants", "volunteer", "volunteers",
+        "subject", "subjects", "patients", "healthy controls", "adult volunteers",
+    ],
+    "mouse": ["mouse", "mice", "murine"],
+    "rat": ["rat", "rats"],
+    "macaque": ["macaque", "macaques", "rhesus", "monkey", "monkeys", "primate", "primates", "nhp", "non-human primate", "nonhuman primate"],
+    "zebrafish": ["zebrafish", "danio rerio"],
+    "drosophila": ["drosophila", "fruit fly", "fruit flies"],
+    "c.elegans": ["c. elegans", "caenorhabditis elegans"],
+}
+#: Regions, each its own label. Fixed values.
+REGIONS = {
+    term: [term]
+    for term in (
+        "dorsolateral prefrontal cortex", "ventromedial prefrontal cortex", "prefrontal cortex", "somatosensory cortex",
+        "motor cortex", "visual cortex", "auditory cortex", "cingulate cortex", "entorhinal cortex",
+        "parahippocampal gyrus", "parahippocampal cortex", "insula", "insular cortex", "frontal cortex",
+        "temporal cortex", "parietal cortex", "occipital cortex", "cerebral cortex", "basal ganglia",
+        "nucleus accumbens", "substantia nigra", "ventral tegmental area", "corpus callosum", "white matter",
+        "gray matter", "grey matter", "default mode network", "hippocampus", "hippocampal", "amygdala", "thalamus",
+        "hypothalamus", "striatum", "cerebellum", "cerebellar", "brainstem", "whole brain", "whole-brain",
+    )
+}
+DISEASES = {
+    "parkinson": ["parkinson", "parkinson's", "parkinsons", "parkinson disease", "parkinson's disease"],
+    "alzheimer": ["alzheimer", "alzheimer's", "alzheimers", "alzheimer disease", "alzheimer's disease"],
+    "mild cognitive impairment": ["mild cognitive impairment", "cognitive impairment"],
+    "dementia": ["dementia", "demented", "lewy body"],
+    "adhd": ["adhd", "attention deficit hyperactivity disorder", "attention deficit disorder"],
+    "schizophrenia": ["schizophrenia", "schizophrenic", "psychosis", "psychotic"],
+    "bipolar": ["bipolar", "bipolar disorder", "manic depression"],
+    "depression": ["depression", "depressive", "major depressive disorder", "mdd"],
+    "anxiety": ["anxiety", "anxious", "generalized anxiety"],
+    "autism": ["autism", "autistic", "asd", "autism spectrum disorder"],
+    "epilepsy": ["epilepsy", "epileptic", "epileptiform", "seizure", "seizures"],
+    "multiple sclerosis": ["multiple sclerosis"],
+    "amyotrophic lateral sclerosis": ["amyotrophic lateral sclerosis"],
+    "huntington": ["huntington", "huntington's", "huntingtons", "huntington disease"],
+    "stroke": ["stroke", "strokes", "ischemic stroke", "cerebrovascular accident"],
+    "traumatic brain injury": ["traumatic brain injury", "head injury", "concussion"],
+    "migraine": ["migraine", "migraines"],
+    "insomnia": ["insomnia", "sleep disorder", "sleep disorders"],
+    "obesity": ["obesity", "obese"],
+    "diabetes": ["diabetes", "diabetic", "type 2 diabetes", "type 1 diabetes"],
+    "covid": ["covid", "covid-19", "sars-cov-2", "coronavirus"],
+    "tinnitus": ["tinnitus"],
+    "chronic pain": ["chronic pain", "neuropathic pain", "fibromyalgia"],
+}
 #: Words of sentences that speak of tools, not of acquisition. Fixed values.
 TOOL_WORDS = (
     "portal", "software", "toolbox", "tool", "tools", "viewer", "viewers", "visualization", "visualisation", "visualize",
@@ -95,6 +145,13 @@ def normalise(values: Column, vocabulary: dict[str, list[str]]) -> Column:
     return F.array_distinct(F.transform(clean, lambda v: F.coalesce(F.try_element_at(known, v), v)))
 
 
+def task_label(value: Column, vocabulary: dict[str, list[str]] = TASKS) -> Column:
+    """The label of a free task name: a token or label as it stands, else the first token inside it; null for none."""
+    exact = {t: label for label, ts in vocabulary.items() for t in (label, *ts)}
+    known = F.create_map(*[F.lit(x) for kv in exact.items() for x in kv])
+    return let(F.lower(F.trim(value)), lambda v: F.coalesce(F.try_element_at(known, v), first_label(v, vocabulary)))
+
+
 def tiers(*evidence: tuple[str, Column]) -> Column:
     """Struct (labels, tier) of the first evidence that has a label; null where none has."""
     some = F.array(*[F.struct(c.alias("labels"), F.lit(name).alias("tier")) for name, c in evidence])

@@ -41,6 +41,42 @@ def resolve(existing: DataFrame, incoming: DataFrame, id: str, strong: list[str]
     return out.select(F.col(id), F.coalesce(target, multi).alias("target"), via.alias("via"))
 
 
+def multi_field(existing: DataFrame, incoming: DataFrame, id: str, title: str, signals: list[str], repository: str, repositories: str, conflict: str | None = None) -> DataFrame:
+    """(id, target) of incoming records that share a title and at least two signals with an existing record.
+
+    A signal is a value, or an array of which one member in common is enough. A match needs another
+    repository: the ``repository`` of the incoming record is not among the array ``repositories`` of the existing
+    one. Differing ``conflict`` keys (such as DOIs) forbid a match;
+    records that both have one are left to :func:`resolve`, which matches equal ones. The target is the first by id. Null titles, signals and
+    members agree with nothing; a record without a repository meets all.
+
+    Each pair of signals is an equi-join on title and members. The existing side is reduced per key to the
+    first record of each set of repositories, so a common title adds no rows; the sets are as many as the
+    catalogs make, not the records."""
+    free = F.col(conflict).isNull() if conflict else F.lit(True)
+    held = F.array_sort(F.array_distinct(F.array_compact(F.coalesce(repositories, F.array().cast("array<string>")))))
+
+    def opened(df: DataFrame, pair: tuple[str, str], extra: list[Column]) -> DataFrame:
+        out = df.where(F.col(title).isNotNull()).select(id, F.col(title).alias("_t"), *[F.col(c).alias(n) for n, c in zip(("_a", "_b"), pair, strict=True)], *extra)
+        for n, c in zip(("_a", "_b"), pair, strict=True):
+            if df.schema[c].dataType.typeName() == "array":
+                out = out.withColumn(n, F.explode(F.array_distinct(n)))
+        return out.where("_a is not null and _b is not null")
+
+    found = None
+    for i, a in enumerate(signals):
+        for b in signals[i + 1 :]:
+            left = opened(existing, (a, b), [held.alias("_r"), free.alias("_f")])
+            sets = left.groupBy("_t", "_a", "_b", "_r").agg(F.min(id).alias("_any"), F.min(F.when(F.col("_f"), F.col(id))).alias("_free"))
+            keys = sets.groupBy("_t", "_a", "_b").agg(F.collect_list(F.struct("_r", "_any", "_free")).alias("_c"))
+            asked = opened(incoming, (a, b), [F.col(repository).alias("_q"), (F.col(conflict).isNull() if conflict else F.lit(True)).alias("_w")])
+            other = F.filter("_c", lambda c: ~F.coalesce(F.array_contains(c["_r"], F.col("_q")), F.lit(False)))
+            target = F.array_min(F.transform(other, lambda c: F.when(F.col("_w"), c["_any"]).otherwise(c["_free"])))
+            part = asked.join(keys, ["_t", "_a", "_b"]).select(id, target.alias("target"))
+            found = part if found is None else found.unionByName(part)
+    return found.where("target is not null").groupBy(id).agg(F.min("target").alias("target"))
+
+
 def first_filled(value: Column, seq: Column) -> Column:
     """Aggregate: the first value that is not null, by ``seq``."""
     return F.min_by(value, F.when(value.isNotNull(), seq))

@@ -5,11 +5,14 @@ repository."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curatrix.functions import text as T
 from curatrix.functions import vocab as V
+from curatrix.operators import enrich as E
 from curatrix.operators import quality as Q
 from curatrix.sources.tables import table
 
@@ -63,6 +66,29 @@ def q_enrich(spark, d):
     return x.select("doc_id", F.coalesce(F.element_at("e.labels", 1), F.lit("")).alias("topic"), F.coalesce("declared_lang", "lang").alias("lang"), F.array_join(trail, ",").alias("trail"))
 
 
+#: The real vocabularies, each with a label over the words of this corpus.
+FIELDS = {field: vocabulary | {f"corpus {field}": tokens} for (field, vocabulary), tokens in zip(E.VOCABULARIES.items(), (["anon"], ["thon"], ["inges"], ["ention"], ["anat"], ["les", "und"]), strict=True)}
+
+
+def q_enrich_fields(spark, d):
+    """All eight fields of every document, some of them declared."""
+    k, none = F.col("doc_id"), F.array().cast("array<string>")
+    x = documents(spark, d).select(
+        k,
+        F.when(k % 2 == 0, "ebrains").otherwise(F.col("source")).alias("source"),
+        "title",
+        F.col("text").alias("description"),
+        F.when(k % 5 == 0, F.array(F.lit("Anxiety"), F.lit("adult Rats"))).alias("keywords"),
+        F.when(k % 3 == 0, F.array(F.col("n_chars"), F.lit(None).cast("bigint"))).alias("sizes"),
+        F.when(k % 7 == 0, F.array(F.lit("Resting State"), F.lit("motor"))).otherwise(none).alias("meta_task"),
+        F.when(k % 11 == 0, F.array(F.lit("fMRI"), F.lit("MEG"))).alias("meta_modality"),
+        F.when(k % 4 == 0, "declared").otherwise("").alias("disease"),
+    )
+    trail = F.transform("enrichment", lambda e: F.concat_ws(":", e["field"], e["source"], e["confidence"]))
+    out = E.enrich(x, FIELDS)
+    return out.select("doc_id", "access_tier", "size_label", "region", "age_group", "disease", "task", *[F.array_join(c, ",").alias(c) for c in E.LISTS], F.array_join(trail, ",").alias("trail"))
+
+
 def _scored(spark, d):
     x = documents(spark, d).join(table(spark, d, "labels"), "doc_id", "left")
     trust = F.when(F.col("quality") == 1, "verified").when(F.col("quality") == 0, "stale").otherwise("unverified")
@@ -196,6 +222,43 @@ _ASCII = r"lower(regexp_replace({c}, '[^\x00-\x7F]', 'x', 'g'))"
 _TIER = f"""{D}, t AS (SELECT *, CASE WHEN source IN ('src1', 'src2') THEN ['declared'] ELSE [] END AS a, {_labels(_ASCII.replace('{c}', 'title'))} AS b, {_labels(_ASCII.replace('{c}', 'text'))} AS c FROM d),
  e AS (SELECT *, CASE WHEN len(a) > 0 THEN a WHEN len(b) > 0 THEN b WHEN len(c) > 0 THEN c END AS found,
               CASE WHEN len(a) > 0 THEN 'structured' WHEN len(b) > 0 THEN 'title' WHEN len(c) > 0 THEN 'description' END AS tier FROM t)"""
+
+
+def _word(text, tokens):
+    """A whole word, letters and digits of all scripts being parts of words."""
+    some = "|".join(re.escape(t).replace(r"\ ", " ").replace(r"\-", "-").replace("'", "''") for t in tokens)
+    edge = r"[^\p{L}\p{M}\p{N}\p{Pc}]"
+    return f"regexp_matches({text}, '(^|{edge})({some})($|{edge})')"
+
+
+def _found(field, text):
+    cases = ", ".join(f"CASE WHEN {_word(text, ts)} THEN '{label}' END" for label, ts in FIELDS[field].items())
+    return f"list_filter([{cases}], lambda x: x IS NOT NULL)"
+
+
+_CLEAN = r"""array_to_string(list_filter(string_split(regexp_replace({c}, '([.!?;])\s+', '\1' || chr(30), 'g'), chr(30)), lambda s: trim(s) <> '' AND NOT %s), ' ' || chr(10) || ' ')""" % _word("s", V.TOOL_WORDS)
+
+
+def _enriched():
+    texts = {"title": "t", "keywords": "w", "description": "x"}
+    json = {"task": "CASE WHEN doc_id % 7 = 0 THEN ['resting-state', 'motor'] END", "modality": "CASE WHEN doc_id % 11 = 0 THEN ['meg', 'fmri'] END"}
+    columns, fields, trail = [], [], []
+    for f in FIELDS:
+        found = {"json": json[f]} if f in json else {}
+        found |= {name: _found(f, _CLEAN.replace("{c}", c) if f == "modality" else c) for name, c in texts.items()}
+        declared = "doc_id % 4 = 0" if f == "disease" else "false"
+        columns.append(f"CASE WHEN {declared} THEN NULL " + " ".join(f"WHEN len({e}) > 0 THEN ({{'v': {e}, 's': '{f}:{n}:{E.CONFIDENCE[n]}'}})" for n, e in found.items()) + f" END AS {f}")
+        value = f"array_to_string({f}.v, ',')" if f in E.LISTS else f"{f}.v[1]"
+        fields.append(f"coalesce({value}, CASE WHEN {declared} THEN 'declared' ELSE '' END) AS {f}" if f == "disease" else f"{value} AS {f}")
+        trail.append(f"{f}.s")
+    return f"""{D}, d2 AS (SELECT *, lower(coalesce(title, '')) AS t, CASE WHEN doc_id % 5 = 0 THEN 'anxiety adult rats' ELSE '' END AS w, lower(coalesce(text, '')) AS x,
+        CASE WHEN doc_id % 2 = 0 THEN 'registered' END AS access_tier, CASE WHEN doc_id % 3 = 0 AND n_chars > 0 THEN n_chars END AS n FROM d),
+      f AS (SELECT *, {", ".join(columns)} FROM d2),
+      g AS (SELECT *, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN replace(printf('%.1f', round(n / 1024.0::DOUBLE, 1)) || ' KB', '.0 ', ' ') END AS size_label FROM f)
+      SELECT doc_id, access_tier, size_label, {", ".join(fields)},
+        array_to_string(list_filter([CASE WHEN access_tier IS NOT NULL THEN 'access_tier:source' END, CASE WHEN size_label IS NOT NULL THEN 'size_label:files' END, {", ".join(trail)}], lambda s: s IS NOT NULL), ',') AS trail FROM g"""
+
+
 _SCORE = f"""{D}, s AS (SELECT d.*, quality, toxic,
   round(least((CASE WHEN length(title) > 5 THEN 0.15::DOUBLE ELSE 0 END) + (CASE WHEN length(text) > 20 THEN 0.10::DOUBLE ELSE 0 END)
    + least((CASE WHEN lang = 'en' THEN 0.07::DOUBLE ELSE 0 END) + (CASE WHEN lang IN ('de', 'fr') THEN 0.06::DOUBLE ELSE 0 END) + (CASE WHEN toxic IS NOT NULL THEN 0.06::DOUBLE ELSE 0 END) + (CASE WHEN n_chars > 100 THEN 0.06::DOUBLE ELSE 0 END), 0.25::DOUBLE)
@@ -215,6 +278,7 @@ SQL = {
       SELECT doc_id, array_to_string({_labels("array_to_string(ss, ' ' || chr(10) || ' ')")}, ',') AS labels FROM s""",
     "q_evidence_tier": _TIER + " SELECT doc_id, array_to_string(found, ',') AS labels, tier FROM e",
     "q_enrich": _TIER + """ SELECT doc_id, coalesce(found[1], '') AS topic, lang, array_to_string(list_filter([CASE WHEN tier <> 'structured' THEN 'topic:' || tier END, CASE WHEN doc_id % 3 <> 0 AND lang IS NOT NULL THEN 'lang:metadata' END], lambda x: x IS NOT NULL), ',') AS trail FROM e""",
+    "q_enrich_fields": _enriched(),
     "q_score": _SCORE + " SELECT doc_id, score FROM s",
     "q_score_ext": _SCORE + " SELECT doc_id, round(least(1.0::DOUBLE, score + bonus), 4) AS score FROM s",
     "q_score_stats": _SCORE + " SELECT source, round(avg(score), 4) AS mean, min(score) AS least, max(score) AS most, count(*) AS n FROM s GROUP BY source",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from curatrix.functions import identity as I
 from curatrix.functions import text as T
 from curatrix.functions import vocab as V
-from curatrix.operators import catalog, dedup, store
+from curatrix.operators import catalog, contributions, dedup, store
 from curatrix.sources.tables import census_gate, table
 from curatrix.streaming.discovery import windowed_counts
 
@@ -78,6 +78,26 @@ def q_contribution_groups(spark, d):
     )
 
 
+def q_publication_groups(spark, d):
+    """Lines as reconstructions: an archive per supplier group, numbers or DOIs of publications, some of them not real."""
+    k, o = F.col("l_partkey"), F.col("l_orderkey")
+    x = table(spark, d, "lineitem").select(
+        F.struct("l_orderkey", "l_suppkey").alias("at"),
+        F.when(o % 11 != 0, F.concat(F.lit(" a"), F.col("l_suppkey") % 7)).otherwise("").alias("archive"),
+        F.array(F.lit("none"), F.when(k % 3 != 0, (k % 50).cast("string"))).alias("pmids"),
+        F.array(F.lit("n/a"), F.when(o % 5 != 0, F.concat(F.lit("https://doi.org/10.1234/P"), F.col("l_suppkey") % 9))).alias("dois"),
+        F.concat(F.lit(" "), "l_returnflag").alias("species"),
+        F.array(F.concat(F.lit("r"), k % 4), F.lit(" "), F.lit(None).cast("string")).alias("brain_region"),
+        F.array("l_linestatus").alias("cell_type"),
+        F.when(o % 2 == 0, "Not reported").otherwise(F.col("l_linestatus")).alias("gender"),
+        F.when(o % 13 == 0, "unknown").otherwise(F.col("l_quantity").cast("string")).alias("min_age"),
+        F.col("l_quantity").cast("string").alias("max_age"),
+        F.lit(None).cast("string").alias("strain"),
+    )
+    lists = ("species", "brain_regions", "cell_types", "genders")
+    return contributions.groups(x, "at").select("archive", "pmid", "doi", "doi_artifact", "n", *[F.array_join(c, ",").alias(c) for c in lists], "age_min", "age_max", F.size("strains").alias("n_strains"))
+
+
 def q_shared_key_guard(spark, d):
     """An order shared by several parts of one supplier names none of them: it is cleared, but kept beside."""
     groups = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min("l_orderkey").alias("doi"))
@@ -172,6 +192,22 @@ def q_multi_field(spark, d):
     return catalog.resolve(x.where("stored"), x.where("not stored"), "id", [], "title", ["p_brand", "p_type", "p_size"]).where("via = 'multi_field'").select("id", "target")
 
 
+def q_multi_field_sets(spark, d):
+    """Shared members of sets as signals, and no match within one repository."""
+    x = part(spark, d).select(
+        F.col("p_partkey").alias("id"),
+        F.substring_index("p_name", " ", 1).alias("title"),
+        F.slice(F.split("p_name", " "), 2, 9).alias("authors"),
+        F.split("p_type", " ").alias("kinds"),
+        (F.col("p_size") % 5).alias("size"),
+        F.when(F.col("p_size") % 10 == 0, F.col("p_brand")).alias("doi"),
+        F.col("p_brand").alias("repository"),
+        F.array("p_brand", F.concat(F.lit("Brand#"), F.col("p_size"))).alias("repositories"),
+    )
+    stored = F.col("id") % 2 == 0
+    return catalog.multi_field(x.where(stored), x.where(~stored), "id", "title", ["authors", "kinds", "size"], "repository", "repositories", "doi")
+
+
 WANTED = (7, 3, 99, 3, 1234, 5, 100_000_000)
 
 
@@ -387,6 +423,12 @@ SQL = {
     "q_validate": """SELECT * FROM (SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_partkey % 17 = 0 OR length(p_name) = 0 THEN 'title' END, CASE WHEN NOT regexp_matches(p_brand, '^Brand#[0-9]+$') THEN 'brand' END,
       CASE WHEN p_size >= 49 THEN 'size' END, CASE WHEN p_retailprice <= 905 THEN 'price' END], lambda x: x IS NOT NULL), ',') AS errors FROM part) WHERE errors <> ''""",
     "q_contribution_groups": "SELECT l_suppkey, l_partkey, count(*) AS n, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS statuses, min(l_quantity) AS least, max(l_quantity) AS most FROM lineitem GROUP BY ALL",
+    "q_publication_groups": r"""WITH x AS (SELECT *, 'a' || l_suppkey % 7 AS archive, CASE WHEN l_partkey % 3 <> 0 THEN (l_partkey % 50)::VARCHAR END AS pmid, CASE WHEN l_orderkey % 5 <> 0 THEN '10.1234/p' || l_suppkey % 9 END AS doi FROM lineitem WHERE l_orderkey % 11 <> 0),
+      g AS (SELECT archive, pmid, CASE WHEN pmid IS NULL THEN doi END AS by_doi, first(doi ORDER BY l_orderkey, l_suppkey) AS doi, count(*) AS n, string_agg(DISTINCT lower(l_returnflag), ',' ORDER BY lower(l_returnflag)) AS species,
+        string_agg(DISTINCT 'r' || l_partkey % 4, ',' ORDER BY 'r' || l_partkey % 4) AS brain_regions, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS cell_types, coalesce(string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) FILTER (l_orderkey % 2 <> 0), '') AS genders,
+        min(l_quantity::DOUBLE) FILTER (l_orderkey % 13 <> 0) AS age_min, max(l_quantity::DOUBLE) AS age_max FROM x WHERE pmid IS NOT NULL OR doi IS NOT NULL GROUP BY 1, 2, 3),
+      s AS (SELECT *, pmid IS NOT NULL AND doi IS NOT NULL AND count(*) FILTER (pmid IS NOT NULL) OVER (PARTITION BY archive, doi) > 1 AS artifact FROM g)
+      SELECT archive, pmid, CASE WHEN NOT artifact THEN doi END AS doi, CASE WHEN artifact THEN doi END AS doi_artifact, n, species, brain_regions, cell_types, genders, age_min, age_max, 0::INT AS n_strains FROM s""",
     "q_shared_key_guard": """WITH g AS (SELECT l_suppkey, l_partkey, min(l_orderkey) AS doi FROM lineitem GROUP BY ALL), s AS (SELECT *, count(*) OVER (PARTITION BY l_suppkey, doi) AS n FROM g)
       SELECT l_suppkey, l_partkey, CASE WHEN n = 1 THEN doi END AS doi, CASE WHEN n > 1 THEN doi END AS doi_artifact FROM s""",
     "q_child_stats": "SELECT o_custkey, count(*) AS n, coalesce(string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) FILTER (o_orderpriority <> '4-NOT SPECIFIED'), '') AS priorities, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS statuses FROM orders GROUP BY o_custkey",
@@ -402,6 +444,9 @@ SQL = {
     "q_identity_resolve": _RESOLVED + " SELECT * FROM r",
     "q_match_summary": _RESOLVED + " SELECT via, count(*) AS n, min(id) AS sample FROM r GROUP BY via",
     "q_multi_field": _ID + " SELECT i.id, min(e.id) AS target FROM x i JOIN x e USING (title) WHERE NOT i.stored AND e.stored AND (i.p_brand = e.p_brand)::INT + (i.p_type = e.p_type)::INT + (i.p_size = e.p_size)::INT >= 2 GROUP BY i.id",
+    "q_multi_field_sets": r"""WITH x AS (SELECT p_partkey AS id, string_split(p_name, ' ')[1] AS title, string_split(p_name, ' ')[2:] AS authors, string_split(p_type, ' ') AS kinds, p_size % 5 AS size, CASE WHEN p_size % 10 = 0 THEN p_brand END AS doi, p_brand AS repository, [p_brand, 'Brand#' || p_size] AS repositories FROM part)
+      SELECT i.id, min(e.id) AS target FROM x i JOIN x e USING (title) WHERE i.id % 2 <> 0 AND e.id % 2 = 0 AND NOT list_contains(e.repositories, i.repository) AND (i.doi IS NULL OR e.doi IS NULL)
+        AND list_has_any(i.authors, e.authors)::INT + list_has_any(i.kinds, e.kinds)::INT + (i.size = e.size)::INT >= 2 GROUP BY i.id""",
     "q_fetch_by_identity": f"SELECT pos, o_orderkey, o_custkey FROM (SELECT k AS o_orderkey, min(i) - 1 AS pos FROM (SELECT unnest({list(WANTED)}) AS k, generate_subscripts({list(WANTED)}, 1) AS i) GROUP BY k) JOIN orders USING (o_orderkey)",
     "q_cross_validate": _COPY + """ SELECT CASE WHEN k.c_custkey IS NULL THEN 'only_left' WHEN c.c_custkey IS NULL THEN 'only_right' WHEN c.c_acctbal IS DISTINCT FROM k.c_acctbal THEN 'balance' WHEN c.c_mktsegment IS DISTINCT FROM k.c_mktsegment THEN 'segment' ELSE 'equal' END AS state, count(*) AS n
       FROM customer c FULL OUTER JOIN k ON c.c_custkey = k.c_custkey GROUP BY 1""",
