@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -118,13 +119,23 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def holds(text: Column, tokens) -> Column:
+    """Any of the tokens as they stand, also inside words. Tokens that hold another one need no look."""
+    return reduce(lambda a, b: a | b, [text.contains(t) for t in tokens if not any(o != t and o in t for o in tokens)])
+
+
+def holds_word(text: Column, tokens) -> Column:
+    """Any of the tokens as whole words. Plain search is far cheaper than the pattern and comes first."""
+    return holds(text, tokens) & text.rlike(words_pattern(tokens))
+
+
 def labels(text: Column, vocabulary: dict[str, list[str]]) -> Column:
     """All labels of which a token stands in ``text`` (lower case), in vocabulary order."""
-    return F.array_compact(F.array(*[F.when(text.rlike(words_pattern(t)), F.lit(label)) for label, t in vocabulary.items()]))
+    return F.array_compact(F.array(*[F.when(holds_word(text, t), F.lit(label)) for label, t in vocabulary.items()]))
 
 
 def first_label(text: Column, vocabulary: dict[str, list[str]]) -> Column:
-    return F.coalesce(*[F.when(text.rlike(words_pattern(t)), F.lit(label)) for label, t in vocabulary.items()])
+    return F.coalesce(*[F.when(holds_word(text, t), F.lit(label)) for label, t in vocabulary.items()])
 
 
 def sentences(text: Column) -> Column:
@@ -133,7 +144,7 @@ def sentences(text: Column) -> Column:
 
 def acquisition_labels(text: Column, vocabulary: dict[str, list[str]] = MODALITIES, tools=TOOL_WORDS) -> Column:
     """Labels from the sentences that name no tool."""
-    clean = F.filter(F.transform(sentences(text), F.lower), lambda s: ~s.rlike(words_pattern(tools)))
+    clean = F.filter(F.transform(sentences(text), F.lower), lambda s: ~holds_word(s, tools))
     return let(F.array_join(clean, " \n "), lambda t: labels(t, vocabulary))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.functions import text as T
+
 
 def resolve(existing: DataFrame, incoming: DataFrame, id: str, strong: list[str], title: str, signals: list[str], conflict: str | None = None, least: int = 2) -> DataFrame:
     """One row per incoming record: (id, target, via), via one of ``strong`` (in order), multi_field,
@@ -87,6 +89,47 @@ def union_in_order(values: Column, seq: Column) -> Column:
     return F.array_distinct(F.transform(F.array_sort(F.collect_set(F.struct(seq.alias("s"), values.alias("v")))), lambda x: x["v"]))
 
 
+def absorb(canonical: DataFrame, sources: DataFrame, id: str, order: str, scalars: list[str], lists: list[str], ages: str = "ages", age_groups: str = "age_groups") -> DataFrame:
+    """Canonical records with their matched ``sources`` merged in, one row per record.
+
+    ``sources`` has ``id`` of its record, ``order`` (not null, unique in a record), ``repository``, ``source_id``, ``raw``, ``via`` and the fields;
+    ``canonical`` has ``id`` and the fields. A scalar is the first that is filled (not null, not an empty text), the
+    record's own before those of sources in order. A list is the union by first appearance, never null. The age groups are
+    worked out from the merged ``ages``, and are their union only where these give none. ``source_keys`` are
+    repository:source_id by first appearance, ``raw`` keeps the last raw text of each repository, ``matched_via`` is the
+    last way of matching. Sources of unknown records are dropped; a record without sources keeps its fields, with no
+    keys, no raw and a null ``matched_via``.
+
+    Members and keys are reduced to distinct ones before they are gathered, so a record that a third of all
+    sources belongs to is gathered by its distinct values only."""
+    names = {**{c: c for c in lists}, ages: ages, age_groups: age_groups}
+    fields = [*scalars, *names]
+    own = canonical.select(id, F.lit(0).alias("_own"), F.lit(None).cast(sources.schema[order].dataType).alias("_at"), *fields)
+    known = sources.join(canonical.select(id), id, "left_semi")
+    rows = own.unionByName(known.select(id, F.lit(1).alias("_own"), F.col(order).alias("_at"), *fields))
+    seq = F.struct("_own", "_at")
+
+    def filled(c: str) -> Column:
+        v = F.col(c)
+        return v.isNotNull() & (v.cast("string") != "")
+
+    one = rows.groupBy(id).agg(*[F.min_by(c, F.when(filled(c), seq)).alias(c) for c in scalars])
+    tagged = F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("array<string>").alias("v")) for c in names])
+    members = rows.select(id, "_own", "_at", F.explode(tagged).alias("x")).select(id, "_own", "_at", "x.f", F.posexplode("x.v").alias("pos", "v")).where("v is not null")
+    first = members.groupBy(id, "f", "v").agg(F.min(F.struct("_own", "_at", "pos")).alias("s"))
+    united = first.groupBy(id).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("f") == c, F.struct("s", "v")))), lambda x: x["v"]).alias(f"_{c}") for c in names])
+    key = F.concat_ws(":", "repository", "source_id")
+    keys = known.groupBy(id, key.alias("k")).agg(F.min(order).alias("s")).groupBy(id).agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "k"))), lambda x: x["k"]).alias("source_keys"))
+    raws = known.where("repository is not null").groupBy(id, "repository").agg(F.max_by("raw", order).alias("raw"))
+    raws = raws.groupBy(id).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("repository", "raw")))).alias("raw"))
+    via = known.groupBy(id).agg(F.max_by("via", order).alias("matched_via"))
+    out = one.join(united, id, "left").join(keys, id, "left").join(raws, id, "left").join(via, id, "left")
+    types = {c: canonical.schema[c].dataType.simpleString() for c in names}
+    value = {c: F.coalesce(F.col(f"_{c}"), F.array().cast("array<string>")).cast(types[c]) for c in names}
+    value[age_groups] = F.coalesce(T.age_groups(value[ages]), value[age_groups])
+    return out.select(id, *scalars, *[v.alias(c) for c, v in value.items()], F.coalesce("source_keys", F.array().cast("array<string>")).alias("source_keys"), "raw", "matched_via")
+
+
 def violations(**rules: Column) -> Column:
     """Names of the rules a record breaks, in the order given. A null test counts as broken."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))

@@ -34,13 +34,11 @@ INPUTS = {
 def _found(field: str, text: Column, vocabulary: dict[str, list[str]], tools) -> Column:
     """Labels of the field in a lower-case text, as an array."""
     if field == "modality":
-        return V.acquisition_labels(text, vocabulary, tools)
-    if field == "task":
-        return V.labels(text, vocabulary)
-    if field == "species":
+        some = V.holds(text, [t for ts in vocabulary.values() for t in ts])
+        return F.when(some, V.acquisition_labels(text, vocabulary, tools))
+    if field in ("task", "species"):
         return V.labels(text, vocabulary)
-    any_token = V.words_pattern([t for ts in vocabulary.values() for t in ts])
-    return F.when(text.rlike(any_token), F.array_compact(F.array(V.first_label(text, vocabulary))))
+    return F.array_compact(F.array(V.first_label(text, vocabulary)))
 
 
 def _evidence(field: str, vocabulary: dict[str, list[str]], tools) -> Column:
@@ -88,16 +86,17 @@ def enrich(records: DataFrame, vocabularies: dict[str, dict[str, list[str]]] = V
     }
     for field, vocabulary in vocabularies.items():
         found[field] = F.when(_empty(field), _evidence(field, vocabulary, tools))
-    rows = rows.withColumn("_found", F.struct(*[c.alias(f) for f, c in found.items()]))
+    # a column each: the optimizer would work out the parts of one struct anew at every use
+    rows = rows.withColumns({f"_{f}": c for f, c in found.items()})
     confidence = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])
 
     def event(field: str) -> Column:
-        source = F.col(f"_found.{field}.source")
+        source = F.col(f"_{field}.source")
         return F.when(source.isNotNull(), F.struct(F.lit(field).alias("field"), source.alias("source"), F.try_element_at(confidence, source).alias("confidence")))
 
     def value(field: str) -> Column:
-        labels = F.col(f"_found.{field}.labels")
+        labels = F.col(f"_{field}.labels")
         return F.coalesce(labels if field in LISTS else F.try_element_at(labels, F.lit(1)), F.col(field))
 
     unread = [c for c in absent if c not in found]
-    return rows.withColumns({f: value(f) for f in found} | {"enrichment": F.array_compact(F.array(*[event(f) for f in found]))}).drop("_found", *unread)
+    return rows.withColumns({f: value(f) for f in found} | {"enrichment": F.array_compact(F.array(*[event(f) for f in found]))}).drop(*[f"_{f}" for f in found], *unread)

@@ -208,6 +208,35 @@ def q_multi_field_sets(spark, d):
     return catalog.multi_field(x.where(stored), x.where(~stored), "id", "title", ["authors", "kinds", "size"], "repository", "repositories", "doi")
 
 
+def q_absorb(spark, d):
+    """Lines as sources of the parts they name."""
+    p = part(spark, d).select(
+        F.col("p_partkey").alias("id"),
+        F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")).alias("title"),
+        F.lit("").alias("license"),
+        F.split("p_type", " ").alias("modality"),
+        F.array("p_size").cast("array<int>").alias("ages"),
+        F.array(F.lit("Unknown")).alias("age_groups"),
+    )
+    o, k = F.col("l_orderkey"), F.col("l_suppkey")
+    lines = table(spark, d, "lineitem").groupBy("l_partkey", "l_orderkey", "l_suppkey").agg(F.min("l_returnflag").alias("flag"), F.min("l_quantity").cast("int").alias("age"))
+    x = lines.select(
+        F.col("l_partkey").alias("id"),
+        F.struct("l_orderkey", "l_suppkey").alias("at"),
+        F.concat(F.lit("r"), k % 3).alias("repository"),
+        k.cast("string").alias("source_id"),
+        F.concat(F.lit("raw"), o).alias("raw"),
+        F.when(o % 2 == 0, "doi").otherwise("source_key").alias("via"),
+        F.concat(F.lit("t"), o).alias("title"),
+        F.when(F.col("flag") != "N", F.col("flag")).otherwise("").alias("license"),
+        F.array(F.lit(None).cast("string"), F.concat(F.lit("m"), o % 3), F.lit("STEEL")).alias("modality"),
+        F.array("age").alias("ages"),
+        F.array(F.lit("Adults")).alias("age_groups"),
+    )
+    out = catalog.absorb(p, x, "id", "at", ["title", "license"], ["modality"])
+    return out.select("id", "title", "license", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("modality", "ages", "age_groups", "source_keys")], F.element_at("raw", "r1").alias("raw1"), "matched_via")
+
+
 WANTED = (7, 3, 99, 3, 1234, 5, 100_000_000)
 
 
@@ -447,6 +476,17 @@ SQL = {
     "q_multi_field_sets": r"""WITH x AS (SELECT p_partkey AS id, string_split(p_name, ' ')[1] AS title, string_split(p_name, ' ')[2:] AS authors, string_split(p_type, ' ') AS kinds, p_size % 5 AS size, CASE WHEN p_size % 10 = 0 THEN p_brand END AS doi, p_brand AS repository, [p_brand, 'Brand#' || p_size] AS repositories FROM part)
       SELECT i.id, min(e.id) AS target FROM x i JOIN x e USING (title) WHERE i.id % 2 <> 0 AND e.id % 2 = 0 AND NOT list_contains(e.repositories, i.repository) AND (i.doi IS NULL OR e.doi IS NULL)
         AND list_has_any(i.authors, e.authors)::INT + list_has_any(i.kinds, e.kinds)::INT + (i.size = e.size)::INT >= 2 GROUP BY i.id""",
+    "q_absorb": """WITH x AS (SELECT l_partkey AS id, l_orderkey AS o, l_suppkey AS k, nullif(min(l_returnflag), 'N') AS license, min(l_quantity)::INT AS age FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) GROUP BY ALL),
+      m AS (SELECT p_partkey AS id, -1 AS o, 0 AS k, unnest(string_split(p_type, ' ')) AS v, generate_subscripts(string_split(p_type, ' '), 1) AS i FROM part UNION ALL SELECT id, o, k, 'm' || o % 3, 2 FROM x UNION ALL SELECT id, o, k, 'STEEL', 3 FROM x),
+      ml AS (SELECT id, string_agg(v, ',' ORDER BY s) AS modality FROM (SELECT id, v, min((o, k, i)) AS s FROM m GROUP BY ALL) GROUP BY id),
+      a AS (SELECT id, v, min((o, k)) AS s FROM (SELECT p_partkey AS id, -1 AS o, 0 AS k, p_size::INT AS v FROM part UNION ALL SELECT id, o, k, age FROM x) GROUP BY ALL),
+      g AS (SELECT id, CASE WHEN v BETWEEN 0 AND 12 THEN 'Children' WHEN v BETWEEN 13 AND 17 THEN 'Adolescents' WHEN v BETWEEN 18 AND 64 THEN 'Adults' WHEN v >= 65 THEN 'Older Adults' END AS g, min(s) AS s FROM a GROUP BY ALL)
+      SELECT p_partkey AS id, CASE WHEN p_partkey % 3 <> 0 THEN p_name ELSE (SELECT arg_min('t' || o, (o, k)) FROM x WHERE x.id = p_partkey) END AS title,
+        (SELECT arg_min(license, (o, k)) FROM x WHERE x.id = p_partkey) AS license, modality,
+        (SELECT string_agg(v::VARCHAR, ',' ORDER BY s) FROM a WHERE a.id = p_partkey) AS ages, (SELECT string_agg(g, ',' ORDER BY s) FROM g WHERE g.id = p_partkey AND g IS NOT NULL) AS age_groups,
+        coalesce((SELECT string_agg(key, ',' ORDER BY s) FROM (SELECT x.id, 'r' || k % 3 || ':' || k AS key, min((o, k)) AS s FROM x GROUP BY ALL) q WHERE q.id = p_partkey), '') AS source_keys,
+        (SELECT arg_max('raw' || o, (o, k)) FROM x WHERE x.id = p_partkey AND k % 3 = 1) AS raw1, (SELECT arg_max(CASE WHEN o % 2 = 0 THEN 'doi' ELSE 'source_key' END, (o, k)) FROM x WHERE x.id = p_partkey) AS matched_via
+      FROM part JOIN ml ON ml.id = p_partkey""",
     "q_fetch_by_identity": f"SELECT pos, o_orderkey, o_custkey FROM (SELECT k AS o_orderkey, min(i) - 1 AS pos FROM (SELECT unnest({list(WANTED)}) AS k, generate_subscripts({list(WANTED)}, 1) AS i) GROUP BY k) JOIN orders USING (o_orderkey)",
     "q_cross_validate": _COPY + """ SELECT CASE WHEN k.c_custkey IS NULL THEN 'only_left' WHEN c.c_custkey IS NULL THEN 'only_right' WHEN c.c_acctbal IS DISTINCT FROM k.c_acctbal THEN 'balance' WHEN c.c_mktsegment IS DISTINCT FROM k.c_mktsegment THEN 'segment' ELSE 'equal' END AS state, count(*) AS n
       FROM customer c FULL OUTER JOIN k ON c.c_custkey = k.c_custkey GROUP BY 1""",
