@@ -36,15 +36,12 @@ def q_license(spark, d):
 
 
 def q_vocab_context(spark, d):
-    return documents(spark, d).select("doc_id", F.array_join(V.acquisition_labels(F.regexp_replace("text", r"[^\x00-\x7F]", "x"), TOPICS, TOOLS), ",").alias("labels"))
+    return documents(spark, d).select("doc_id", F.array_join(V.acquisition_labels(F.col("text"), TOPICS, TOOLS), ",").alias("labels"))
 
 
 def _tiers():
-    def ascii(c):
-        return F.lower(F.regexp_replace(c, r"[^\x00-\x7F]", "x"))
-
     def found(c):
-        return V.let(ascii(c), lambda t: V.labels(t, TOPICS))
+        return V.let(F.lower(c), lambda t: V.labels(t, TOPICS))
 
     declared = F.when(F.col("source").isin("src1", "src2"), F.array(F.lit("declared"))).otherwise(F.array().cast("array<string>"))
     return V.tiers(("structured", declared), ("title", found(F.col("title"))), ("description", found(F.col("text"))))
@@ -210,7 +207,9 @@ D = r"""WITH d AS (SELECT *, split_part(text, chr(10), 1) AS title FROM document
 
 
 def _has(text, tokens):
-    return rf"regexp_matches({text}, '(^|[^a-z0-9_])({'|'.join(tokens)})($|[^a-z0-9_])')"
+    """A whole word, letters and digits of all scripts being parts of words."""
+    edge = r"[^\p{L}\p{M}\p{N}\p{Pc}]"
+    return f"regexp_matches({text}, '(^|{edge})({'|'.join(tokens)})($|{edge})')"
 
 
 def _labels(text):
@@ -218,8 +217,7 @@ def _labels(text):
     return f"list_filter([{cases}], lambda x: x IS NOT NULL)"
 
 
-_ASCII = r"lower(regexp_replace({c}, '[^\x00-\x7F]', 'x', 'g'))"
-_TIER = f"""{D}, t AS (SELECT *, CASE WHEN source IN ('src1', 'src2') THEN ['declared'] ELSE [] END AS a, {_labels(_ASCII.replace('{c}', 'title'))} AS b, {_labels(_ASCII.replace('{c}', 'text'))} AS c FROM d),
+_TIER = f"""{D}, t AS (SELECT *, CASE WHEN source IN ('src1', 'src2') THEN ['declared'] ELSE [] END AS a, {_labels('lower(title)')} AS b, {_labels('lower(text)')} AS c FROM d),
  e AS (SELECT *, CASE WHEN len(a) > 0 THEN a WHEN len(b) > 0 THEN b WHEN len(c) > 0 THEN c END AS found,
               CASE WHEN len(a) > 0 THEN 'structured' WHEN len(b) > 0 THEN 'title' WHEN len(c) > 0 THEN 'description' END AS tier FROM t)"""
 
@@ -274,7 +272,7 @@ SQL = {
     "q_license": f"{D}, l AS (SELECT doc_id, trim(regexp_replace({_LINE}, '\\s+', ' ', 'g')) AS x FROM d) SELECT doc_id, CASE WHEN x = '' THEN NULL WHEN regexp_matches(x, '{T.NO_LICENSE}') AND length(x) < 40 THEN NULL "
     + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{label}'" for label, p in T.LICENSES)
     + " END AS license FROM l",
-    "q_vocab_context": rf"""{D}, s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g'), '([.!?;])\s+', '\1' || chr(30), 'g'), chr(30)), lambda s: lower(s)), lambda s: trim(s) <> '' AND NOT {_has('s', TOOLS)}) AS ss FROM d)
+    "q_vocab_context": rf"""{D}, s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?;])\s+', '\1' || chr(30), 'g'), chr(30)), lambda s: lower(s)), lambda s: trim(s) <> '' AND NOT {_has('s', TOOLS)}) AS ss FROM d)
       SELECT doc_id, array_to_string({_labels("array_to_string(ss, ' ' || chr(10) || ' ')")}, ',') AS labels FROM s""",
     "q_evidence_tier": _TIER + " SELECT doc_id, array_to_string(found, ',') AS labels, tier FROM e",
     "q_enrich": _TIER + """ SELECT doc_id, coalesce(found[1], '') AS topic, lang, array_to_string(list_filter([CASE WHEN tier <> 'structured' THEN 'topic:' || tier END, CASE WHEN doc_id % 3 <> 0 AND lang IS NOT NULL THEN 'lang:metadata' END], lambda x: x IS NOT NULL), ',') AS trail FROM e""",
