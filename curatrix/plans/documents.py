@@ -194,11 +194,10 @@ def q_facet_filter(spark, d):
 def q_text_rank(spark, d):
     """Extension: weighted term frequency, title ten times the text; a top-20 report."""
     def times(c, term):
-        return F.size(F.regexp_extract_all(F.lower(c), F.lit(rf"\b{term}\b"), F.lit(0)))
+        return F.size(F.regexp_extract_all(F.lower(c), F.lit(rf"(?U)\b{term}\b"), F.lit(0)))
 
     score = sum((times(F.col("title"), t) * 10 + times(F.col("text"), t) for t in ("the", "thea")), F.lit(0))
-    x = documents(spark, d).withColumn("title", F.regexp_replace("title", r"[^\x00-\x7F]", "x")).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "x"))
-    return x.select("doc_id", score.cast("long").alias("rank_score")).orderBy(F.col("rank_score").desc(), "doc_id").limit(20)
+    return documents(spark, d).select("doc_id", score.cast("long").alias("rank_score")).orderBy(F.col("rank_score").desc(), "doc_id").limit(20)
 
 
 QUERIES = {n: f for n, f in dict(globals()).items() if n.startswith("q_")}
@@ -302,6 +301,6 @@ SQL = {
     "q_dedup_keys": "SELECT md5(text) AS key, min(doc_id) AS winner, count(*) - 1 AS losers FROM documents GROUP BY 1 HAVING count(*) > 1",
     "q_winner": _SCORE + ", r AS (SELECT *, md5(text) AS key, row_number() OVER (PARTITION BY md5(text) ORDER BY score DESC, doc_id) AS r FROM s) SELECT key, doc_id, score FROM r WHERE r = 1",
     "q_facet_filter": "SELECT lang, CASE WHEN n_chars < 1000 THEN 'short' ELSE 'long' END AS length, count(*) AS n FROM documents WHERE lang IN ('en', 'de') AND n_chars >= 100 GROUP BY ALL",
-    "q_text_rank": D + r""", x AS (SELECT doc_id, lower(regexp_replace(title, '[^\x00-\x7F]', 'x', 'g')) AS a, lower(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g')) AS b FROM d)
-      SELECT doc_id, 10 * (len(regexp_extract_all(a, '\bthe\b')) + len(regexp_extract_all(a, '\bthea\b'))) + len(regexp_extract_all(b, '\bthe\b')) + len(regexp_extract_all(b, '\bthea\b')) AS rank_score FROM x ORDER BY rank_score DESC, doc_id LIMIT 20""",
+    "q_text_rank": D + r""", x AS (SELECT doc_id, regexp_extract_all(lower(title), '[\p{L}\p{M}\p{N}\p{Pc}]+') AS a, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}\p{Pc}]+') AS b FROM d)
+      SELECT doc_id, 10 * len(list_filter(a, lambda w: w IN ('the', 'thea'))) + len(list_filter(b, lambda w: w IN ('the', 'thea'))) AS rank_score FROM x ORDER BY rank_score DESC, doc_id LIMIT 20""",
 }
