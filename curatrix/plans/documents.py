@@ -14,6 +14,7 @@ from curatrix.functions import text as T
 from curatrix.functions import vocab as V
 from curatrix.operators import enrich as E
 from curatrix.operators import quality as Q
+from curatrix.sources.connectors import query_terms
 from curatrix.sources.tables import table
 
 #: Vocabularies over the words of this corpus, in the form of the real ones.
@@ -149,9 +150,9 @@ def _users(spark, d):
 
 
 def q_query_terms(spark, d):
-    """Free words of a query, without repeats and words with a letter three times in a row, 500 characters."""
-    words = F.filter(F.split(F.regexp_replace(F.regexp_replace("text", r"[^\x00-\x7F]", "x"), "[ \t\n\r]+", " "), " "), lambda w: (w != "") & ~F.lower(w).rlike(r"(aaa|bbb|ccc|ddd|eee|lll|nnn|rrr|sss|ttt)"))
-    return _users(spark, d).select("conv_id", "turn", F.substring(F.array_join(F.array_distinct(words), " "), 1, 500).alias("terms"))
+    """A structured value, then the free words of a query, without repeats and typing errors, 500 characters."""
+    words = F.filter(F.split(F.col("text"), "[ \\t\\n\\r]+"), lambda w: w != "")
+    return _users(spark, d).select("conv_id", "turn", query_terms([F.array(F.lit("dataset"))], words).alias("terms"))
 
 
 def q_heuristic_parse(spark, d):
@@ -290,8 +291,9 @@ SQL = {
     "q_repo_counts": "SELECT source, count(*) AS n_docs, count(DISTINCT lang) AS n_langs FROM documents GROUP BY source",
     "q_post_filter": f"SELECT doc_id FROM (SELECT *, lower(text) AS x FROM documents) WHERE (CASE WHEN doc_id % 4 <> 0 THEN lang IN ('en', 'de') ELSE {_TERMS} END) AND source IN ('src1', 'src2', 'src3')",
     "q_evidence_gate": f"{D}, x AS (SELECT doc_id, lower(title || ' ' || text) AS x FROM d) SELECT doc_id, {_TERMS} AS evidence FROM x",
-    "q_query_terms": r"""SELECT conv_id, turn, substr(coalesce((SELECT string_agg(w, ' ' ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS i) WHERE w <> '' AND NOT regexp_matches(lower(w), '(aaa|bbb|ccc|ddd|eee|lll|nnn|rrr|sss|ttt)') GROUP BY w)), ''), 1, 500) AS terms
-      FROM (SELECT conv_id, turn, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'x', 'g'), '[ \t\n\r]+', ' ', 'g'), ' ') AS ws FROM conversations WHERE role = 'user')""",
+    "q_query_terms": r"""SELECT conv_id, turn, substr('dataset' || coalesce(' ' || (SELECT string_agg(w, ' ' ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS i) WHERE w <> '' AND lower(w) <> 'dataset'
+      AND NOT list_bool_or(list_transform(range(1, greatest(length(w) - 1, 2)), lambda k: length(w) > 2 AND substr(lower(w), k, 1) = substr(lower(w), k + 1, 1) AND substr(lower(w), k, 1) = substr(lower(w), k + 2, 1))) GROUP BY w)), ''), 1, 500) AS terms
+      FROM (SELECT conv_id, turn, string_split(regexp_replace(coalesce(text, ''), '[ \t\n\r]+', ' ', 'g'), ' ') AS ws FROM conversations WHERE role = 'user')""",
     "q_heuristic_parse": "SELECT *, modality <> '' OR region IS NOT NULL OR age_range IS NOT NULL AS in_domain FROM (SELECT conv_id, turn, array_to_string(list_filter(["
     + ", ".join(f"CASE WHEN contains(t, '{p}') THEN '{p}' END" for p in MODALITY_PROBES)
     + "], lambda x: x IS NOT NULL), ',') AS modality, CASE "
