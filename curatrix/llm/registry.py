@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curatrix.llm import decontaminate, jpeg, mixing, pages, pseudonyms, quality, secrets, simhash, substring, toxicity
+from curatrix.llm import decontaminate, jpeg, manifest, mixing, packing, pages, pseudonyms, quality, secrets, simhash, substring, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_block_tree": pages.op8_block_tree,
         "op9_difference_cover": substring.op9_difference_cover,
         "op10_simhash_pigeonring": simhash.op10_simhash_pigeonring,
+        "op11_postorder_manifest": manifest.op11_postorder_manifest,
+        "op12_large_item_packing": packing.op12_large_item_packing,
     }
 
 
@@ -25,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_low_discrepancy_mix": mixing.OP1_SQL,
         "op2_template_decontamination": decontaminate.OP2_SQL,
         "op9_difference_cover": substring.OP9_SQL,
+        "op11_postorder_manifest": manifest.OP11_SQL,
     }
