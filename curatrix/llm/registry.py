@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curatrix.llm import decontaminate, jpeg, manifest, mixing, packing, pages, pseudonyms, quality, secrets, simhash, substring, toxicity
+from curatrix.llm import decontaminate, jpeg, manifest, mixing, packing, pages, pseudonyms, quality, secrets, simhash, substring, toxicity, trie
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_simhash_pigeonring": simhash.op10_simhash_pigeonring,
         "op11_postorder_manifest": manifest.op11_postorder_manifest,
         "op12_large_item_packing": packing.op12_large_item_packing,
+        "op13_block_trie": trie.op13_block_trie,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_template_decontamination": decontaminate.OP2_SQL,
         "op9_difference_cover": substring.OP9_SQL,
         "op11_postorder_manifest": manifest.OP11_SQL,
+        "op13_block_trie": trie.OP13_SQL,
     }
