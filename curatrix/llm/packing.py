@@ -14,7 +14,7 @@ import re
 from array import array
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -30,7 +30,7 @@ CAPACITY = 2048
 #: The id that ends a document.
 END = 0
 #: Words whose ids a worker keeps at once, and the length of the longest such word.
-WORDS, LONGEST = 300_000, 48
+WORDS, LONGEST = 600_000, 48
 #: Texts tokenised together.
 TOGETHER = 64
 #: The vocabulary file of the registered query; the operator takes any path.
@@ -41,6 +41,11 @@ _LATIN = re.compile(r"[\x00-ɏ]*\Z")
 #: The splits of the byte-level tokenizers, for texts of Latin letters; other texts are left to the tokenizer whole.
 _SPLITS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^{_SPACE}{_LETTERS}{_DIGITS}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
+#: Bytes as the byte-level tokenizers write them: printable Latin-1 as it is, the others from U+0100 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: b if b in _SHOWN else 256 + sum(x not in _SHOWN for x in range(b)) for b in range(256)}
+_BLANK = chr(_BYTES[32])
+
 
 class Ids:
     """Ids of texts by a tokenizer file, as little-endian 32-bit numbers.
@@ -62,45 +67,36 @@ class Ids:
         probe = "It's we'll  they've\n\n x1 12² étés?! ªµ\x85 \xa0y\t'S 'ss  \r\n#a_b \x1c\x1d z"
         state = self.tokenizer.pre_tokenizer
         pieces = [probe[a:b] for _, (a, b) in state.pre_tokenize_str(probe)] if state else []
-        return pieces == _SPLITS.findall(probe) and self.tokenizer.normalizer is None
+        words = _SPLITS.findall(probe)
+        ids = [t.id for w in words for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(_BYTES))]
+        return pieces == words and self.tokenizer.normalizer is None and ids == self.tokenizer.encode(probe, add_special_tokens=False).ids
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words; those that begin with a blank and have only letters are tokenised as one text."""
-        plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        out: dict[str, bytes] = {}
-        for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids, at = array("I", e.ids), np.array(e.word_ids, np.int64)
-            ends = np.searchsorted(at, np.arange(len(part)), "right").tolist()
-            if len(ids) and at[-1] == len(part) - 1:
-                begin = 0
-                for w, end in zip(part, ends, strict=True):
-                    out[w], begin = _bytes(ids[begin:end]), end
-        rest = [w for w in words if w not in out]
-        out.update(zip(rest, self._encode(rest), strict=True))
-        return out
+    def _learn(self, words: Iterable[str]) -> None:
+        """Sends words, their bytes written as letters, to the merges of the tokenizer, past its splitting of texts."""
+        merged, known = self.tokenizer.model.tokenize, self.words
+        for w in words:
+            if w.isascii() and w[1:].isalpha() and (w[0] == " " or w.isalpha()):
+                letters = w.replace(" ", _BLANK)
+            else:
+                letters = w.encode().decode("latin-1").translate(_BYTES)
+            known[w] = array("I", [t.id for t in merged(letters)]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return self._encode(texts)
         latin = [_LATIN.match(t) is not None for t in texts]
         split = [_SPLITS.findall(t) if ok else [] for t, ok in zip(texts, latin, strict=True)]
-        new = list(set(chain.from_iterable(split)).difference(self.words))
-        if new:
-            if len(self.words) > WORDS:
-                self.words.clear()
-                new = list(set(chain.from_iterable(split)))
-            learnt = self._learn(new)
-        else:
-            learnt = {}
-        short = {w: i for w, i in learnt.items() if len(w) <= LONGEST}
-        self.words.update(short)
-        get = self.words.__getitem__ if len(short) == len(learnt) else lambda w: learnt.get(w) or self.words[w]
-        out = [b"".join(map(get, s)) for s in split]
+        if len(self.words) > WORDS:
+            self.words.clear()
+        new = set(chain.from_iterable(split)).difference(self.words)
+        self._learn(new)
+        out = [b"".join(map(self.words.__getitem__, s)) for s in split]
+        for w in new:
+            if len(w) > LONGEST:
+                del self.words[w]
         foreign = [i for i, ok in enumerate(latin) if not ok]
         for i, ids in zip(foreign, self._encode([texts[i] for i in foreign]), strict=True):
             out[i] = ids
