@@ -89,45 +89,81 @@ def union_in_order(values: Column, seq: Column) -> Column:
     return F.array_distinct(F.transform(F.array_sort(F.collect_set(F.struct(seq.alias("s"), values.alias("v")))), lambda x: x["v"]))
 
 
-def absorb(canonical: DataFrame, sources: DataFrame, id: str, order: str, scalars: list[str], lists: list[str], ages: str = "ages", age_groups: str = "age_groups") -> DataFrame:
+def absorb(
+    canonical: DataFrame, sources: DataFrame, id: str, order: str, scalars: list[str], lists: list[str], ages: str = "ages", age_groups: str = "age_groups",
+    fill: list[str] = (), entry: str | None = None, retrieved: str | None = None,
+) -> DataFrame:
     """Canonical records with their matched ``sources`` merged in, one row per record.
 
     ``sources`` has ``id`` of its record, ``order`` (not null, unique in a record), ``repository``, ``source_id``, ``raw``, ``via`` and the fields;
-    ``canonical`` has ``id`` and the fields. A scalar is the first that is filled (not null, not an empty text), the
-    record's own before those of sources in order. A list is the union by first appearance, never null. The age groups are
+    ``canonical`` has ``id`` and the fields. A scalar is the first that is filled (not null, not an empty text or array), the
+    record's own before those of sources in order. A list is the union by first appearance, never null; a list of ``fill`` is the first
+    that is not empty, whole, else empty. The age groups are
     worked out from the merged ``ages``, and are their union only where these give none. ``source_keys`` are
     repository:source_id by first appearance, ``raw`` keeps the last raw text of each repository, ``matched_via`` is the
-    last way of matching. Sources of unknown records are dropped; a record without sources keeps its fields, with no
-    keys, no raw and a null ``matched_via``.
+    last way of matching. With ``entry``, ``sources`` holds one (key, entry) per source key by first appearance, each the last
+    entry of its key; with ``retrieved``, ``updated_at`` is that of the last source, null or not. What ``canonical`` already has
+    in columns source_keys, raw, sources, matched_via, updated_at is carried on. Sources of unknown records are dropped; a record
+    without sources keeps its fields.
 
     Members and keys are reduced to distinct ones before they are gathered, so a record that a third of all
     sources belongs to is gathered by its distinct values only."""
     names = {**{c: c for c in lists}, ages: ages, age_groups: age_groups}
-    fields = [*scalars, *names]
-    own = canonical.select(id, F.lit(0).alias("_own"), F.lit(None).cast(sources.schema[order].dataType).alias("_at"), *fields)
+    fields = [*scalars, *fill, *names]
+    at = sources.schema[order].dataType
+    own = canonical.select(id, F.lit(0).alias("_own"), F.lit(None).cast(at).alias("_at"), *fields)
     known = sources.join(canonical.select(id), id, "left_semi")
     rows = own.unionByName(known.select(id, F.lit(1).alias("_own"), F.col(order).alias("_at"), *fields))
     seq = F.struct("_own", "_at")
 
     def filled(c: str) -> Column:
         v = F.col(c)
-        return v.isNotNull() & (v.cast("string") != "")
+        return v.isNotNull() & (F.size(v) > 0 if canonical.schema[c].dataType.typeName() == "array" else v.cast("string") != "")
 
-    one = rows.groupBy(id).agg(*[F.min_by(c, F.when(filled(c), seq)).alias(c) for c in scalars])
+    one = rows.groupBy(id).agg(*[F.min_by(c, F.when(filled(c), seq)).alias(c) for c in (*scalars, *fill)])
     tagged = F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("array<string>").alias("v")) for c in names])
     members = rows.select(id, "_own", "_at", F.explode(tagged).alias("x")).select(id, "_own", "_at", "x.f", F.posexplode("x.v").alias("pos", "v")).where("v is not null")
     first = members.groupBy(id, "f", "v").agg(F.min(F.struct("_own", "_at", "pos")).alias("s"))
     united = first.groupBy(id).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("f") == c, F.struct("s", "v")))), lambda x: x["v"]).alias(f"_{c}") for c in names])
+
+    def before(column: str, key: Column, value: Column) -> DataFrame:
+        """What the records have in ``column``, as (id, k, v, s): keys and values, before those of all sources."""
+        x = canonical.select(id, F.posexplode(column).alias("pos", *(("k0", "v0") if canonical.schema[column].dataType.typeName() == "map" else ("e",))))
+        return x.select(id, key.cast("string").alias("k"), value.alias("v"), F.struct(F.lit(0).alias("_own"), F.lit(None).cast(at).alias("_at"), "pos").alias("s"))
+
+    def after(key: Column, value: Column) -> DataFrame:
+        return known.select(id, key.cast("string").alias("k"), value.alias("v"), F.struct(F.lit(1).alias("_own"), F.col(order).alias("_at"), F.lit(0).alias("pos")).alias("s"))
+
     key = F.concat_ws(":", "repository", "source_id")
-    keys = known.groupBy(id, key.alias("k")).agg(F.min(order).alias("s")).groupBy(id).agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "k"))), lambda x: x["k"]).alias("source_keys"))
-    raws = known.where("repository is not null").groupBy(id, "repository").agg(F.max_by("raw", order).alias("raw"))
-    raws = raws.groupBy(id).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("repository", "raw")))).alias("raw"))
-    via = known.groupBy(id).agg(F.max_by("via", order).alias("matched_via"))
+    held = after(key, F.lit(None).cast("string"))
+    if "source_keys" in canonical.columns:
+        held = before("source_keys", F.col("e"), F.lit(None).cast("string")).unionByName(held)
+    keys = held.groupBy(id, "k").agg(F.min("s").alias("s")).groupBy(id).agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "k"))), lambda x: x["k"]).alias("source_keys"))
+    raws = after(F.col("repository"), F.col("raw")).where("k is not null")
+    if "raw" in canonical.columns:
+        raws = before("raw", F.col("k0"), F.col("v0")).unionByName(raws)
+    raws = raws.groupBy(id, "k").agg(F.max_by("v", "s").alias("raw"))
+    raws = raws.groupBy(id).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "raw")))).alias("raw"))
+    last = [F.max_by("via", order).alias("matched_via")] + ([F.max_by(retrieved, order).alias("updated_at")] if retrieved else [])
+    via = known.groupBy(id).agg(*last, F.lit(True).alias("_met"))
     out = one.join(united, id, "left").join(keys, id, "left").join(raws, id, "left").join(via, id, "left")
+    more = ["matched_via", *(["updated_at"] if retrieved else [])]
+    for c in more:
+        if c in canonical.columns:
+            out = out.join(canonical.select(id, F.col(c).alias("_was")), id).withColumn(c, F.when(F.col("_met"), F.col(c)).otherwise(F.col("_was"))).drop("_was")
+    if entry:
+        entries = after(key, F.col(entry))
+        if "sources" in canonical.columns:
+            entries = before("sources", F.col("e.key"), F.col("e.entry")).unionByName(entries)
+        entries = entries.groupBy(id, "k").agg(F.min("s").alias("s"), F.max_by("v", "s").alias("entry"))
+        entries = entries.groupBy(id).agg(F.transform(F.array_sort(F.collect_list(F.struct("s", F.col("k").alias("key"), "entry"))), lambda x: F.struct(x["key"].alias("key"), x["entry"].alias("entry"))).alias("sources"))
+        out = out.join(entries, id, "left")
+        more.append("sources")
     types = {c: canonical.schema[c].dataType.simpleString() for c in names}
     value = {c: F.coalesce(F.col(f"_{c}"), F.array().cast("array<string>")).cast(types[c]) for c in names}
     value[age_groups] = F.coalesce(T.age_groups(value[ages]), value[age_groups])
-    return out.select(id, *scalars, *[v.alias(c) for c, v in value.items()], F.coalesce("source_keys", F.array().cast("array<string>")).alias("source_keys"), "raw", "matched_via")
+    whole = [F.coalesce(c, F.array().cast(canonical.schema[c].dataType)).alias(c) for c in fill]
+    return out.select(id, *scalars, *whole, *[v.alias(c) for c, v in value.items()], F.coalesce("source_keys", F.array().cast("array<string>")).alias("source_keys"), "raw", *more)
 
 
 def violations(**rules: Column) -> Column:

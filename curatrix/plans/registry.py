@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from curatrix.plans import documents, pages, records
+from curatrix.plans import documents, pages, records, upserts
 
-MODULES: tuple = (pages, documents, records)
+MODULES: tuple = (pages, documents, records, upserts)
 
 
 def queries() -> dict:
