@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from curatrix.functions import identity as I
 from curatrix.functions import text as T
 from curatrix.functions import vocab as V
-from curatrix.operators import catalog, contributions, dedup, store
+from curatrix.operators import catalog, contributions, dedup, difference, store
 from curatrix.sources.tables import census_gate, table
 from curatrix.streaming.discovery import windowed_counts
 
@@ -264,6 +264,11 @@ def q_cross_validate(spark, d):
     return a.join(b, "c_custkey", "full_outer").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
+def q_census_difference(spark, d):
+    """Every field of the customers in which the disturbed copy differs, and the customers that one side lacks."""
+    return difference.differences(table(spark, d, "customer"), _copy(spark, d), "c_custkey")
+
+
 def q_unapproved(spark, d):
     return _copy(spark, d).join(table(spark, d, "customer").select("c_custkey"), "c_custkey", "left_anti").select("c_custkey")
 
@@ -490,6 +495,11 @@ SQL = {
     "q_fetch_by_identity": f"SELECT pos, o_orderkey, o_custkey FROM (SELECT k AS o_orderkey, min(i) - 1 AS pos FROM (SELECT unnest({list(WANTED)}) AS k, generate_subscripts({list(WANTED)}, 1) AS i) GROUP BY k) JOIN orders USING (o_orderkey)",
     "q_cross_validate": _COPY + """ SELECT CASE WHEN k.c_custkey IS NULL THEN 'only_left' WHEN c.c_custkey IS NULL THEN 'only_right' WHEN c.c_acctbal IS DISTINCT FROM k.c_acctbal THEN 'balance' WHEN c.c_mktsegment IS DISTINCT FROM k.c_mktsegment THEN 'segment' ELSE 'equal' END AS state, count(*) AS n
       FROM customer c FULL OUTER JOIN k ON c.c_custkey = k.c_custkey GROUP BY 1""",
+    "q_census_difference": _COPY + """, p AS (SELECT coalesce(c.c_custkey, k.c_custkey) AS c_custkey, c.c_custkey IS NULL AS no_left, k.c_custkey IS NULL AS no_right,
+        [c.c_name, c.c_nationkey::VARCHAR, c.c_acctbal::VARCHAR, c.c_mktsegment] AS a, [k.c_name, k.c_nationkey::VARCHAR, k.c_acctbal::VARCHAR, k.c_mktsegment] AS b FROM customer c FULL JOIN k ON c.c_custkey = k.c_custkey),
+      v AS (SELECT *, unnest(['c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS field, unnest(a) AS l, unnest(b) AS r FROM p WHERE NOT no_left AND NOT no_right)
+      SELECT c_custkey, field, l AS left, r AS right, 'value' AS kind FROM v WHERE l IS DISTINCT FROM r
+      UNION ALL SELECT c_custkey, NULL, NULL, NULL, CASE WHEN no_left THEN 'only_right' ELSE 'only_left' END FROM p WHERE no_left OR no_right""",
     "q_unapproved": _COPY + " SELECT c_custkey FROM k EXCEPT SELECT c_custkey FROM customer",
     "q_leakage": "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0) GROUP BY 1",
     "q_content_drift": f"{_COPY} SELECT a.c_custkey FROM (SELECT c_custkey, {_DIGEST} AS h FROM customer) a JOIN (SELECT c_custkey, {_DIGEST} AS h FROM k) b USING (c_custkey) WHERE a.h <> b.h",

@@ -28,10 +28,14 @@ INTERFACES = {
     "osf": ("https://api.osf.io/v2/registrations/?q={query}&filter[category]=data&page={page}&page[size]={size}", "data", 25),
 }
 
+#: Sources whose queries are Lucene's.
+LUCENE = ("zenodo",)
+
 
 def search(source: str, query: str, pages: int = 5, size: int | None = None) -> dict[str, str]:
-    """Reader options for a search in one source."""
+    """Reader options for a search in one source; signs of a query language are escaped where the source has one."""
     url, records, most = INTERFACES[source]
+    query = lucene_escaped(query) if source in LUCENE else query
     return {"source": source, "url": url, "records": records, "query": query, "pages": str(pages), "size": str(min(size or most, most))}
 
 

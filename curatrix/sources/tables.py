@@ -16,9 +16,10 @@ def census_lines(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
-def census_document(spark: SparkSession, path: str, array: str = "datasets") -> DataFrame:
-    """One JSON document whose ``array`` holds the records."""
-    return spark.read.option("multiLine", True).json(path).select(F.explode(array).alias("r")).select("r.*")
+def census_document(spark: SparkSession, path: str, array: str | None = "datasets") -> DataFrame:
+    """One JSON document whose ``array`` holds the records, or that is an array of records itself (None)."""
+    whole = spark.read.option("multiLine", True).json(path)
+    return whole if array is None else whole.select(F.explode(array).alias("r")).select("r.*")
 
 
 def landing_zone(spark: SparkSession, path: str) -> DataFrame:

@@ -47,6 +47,7 @@ def test_pages_are_partitions(spark, site):
     assert {json.loads(r.raw)["id"] for r in rows if r.raw} == {10, 11, 20, 21, 40, 41}
     assert {json.loads(r.raw)["q"] for r in rows if r.raw} == {"a b&c"}
     assert connectors.search("zenodo", "x", size=500)["size"] == "25"
+    assert connectors.search("zenodo", "a:b")["query"] == "a\\:b" and connectors.search("dryad", "a:b")["query"] == "a:b"
     assert connectors.lucene_escaped("a:b(c)") == "a\\:b\\(c\\)"
 
 
