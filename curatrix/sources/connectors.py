@@ -3,6 +3,8 @@
     spark.dataSource.register(PagedJson)
     spark.read.format("paged_json").options(**search("zenodo", "working memory", pages=5)).load()
 
+Where pages can only be found by the link in the page before (option ``next``, a path), one partition follows the links.
+
 A page that cannot be had after its retries is one row of status ``offline`` without a payload; it never
 fails the job. Payloads go on to :mod:`curatrix.sources.mappers`."""
 
@@ -14,10 +16,12 @@ import urllib.error
 import urllib.parse
 import urllib.request
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from curatrix.operators.shared import written
+
 #: Addresses by source: page template, where the records are, the largest page. Fixed values.
 INTERFACES = {
     "dandi": ("https://api.dandiarchive.org/api/dandisets/?search={query}&page={page}&page_size={size}", "results", 100),
@@ -65,6 +69,8 @@ class PagedReader(DataSourceReader):
         self.options = {k.lower(): v for k, v in options.items()}
 
     def partitions(self) -> list[Page]:
+        if self.options.get("next"):
+            return [Page(1)]
         return [Page(n) for n in range(1, int(self.options.get("pages", 1)) + 1)]
 
     def _address(self, page: int) -> str:
@@ -90,14 +96,52 @@ class PagedReader(DataSourceReader):
 
     def read(self, partition: Page):
         page, source = partition.value, self.options.get("source", "")
-        found = self._fetch(self._address(page))
-        for key in filter(None, self.options.get("records", "").split(".")):
-            found = found.get(key) if isinstance(found, dict) else None
-        if not isinstance(found, list):
-            yield source, page, "offline", None
-            return
-        for record in found:
-            yield source, page, "ok", json.dumps(record)
+        address = self._address(page)
+        while address and page <= int(self.options.get("pages", 1)):
+            answer = self._fetch(address)
+            found = _at(answer, self.options.get("records", ""))
+            if not isinstance(found, list):
+                yield source, page, "offline", None
+                return
+            for record in found:
+                yield source, page, "ok", json.dumps(record)
+            link = self.options.get("next") and _at(answer, self.options["next"])
+            address, page = urllib.parse.urljoin(address, link) if link else None, page + 1
+
+
+def _at(answer, path: str):
+    """What stands at a dotted path; the answer itself for none, null where a part is missing."""
+    for key in filter(None, path.split(".")):
+        answer = answer.get(key) if isinstance(answer, dict) else None
+    return answer
+
+
+def weaker(terms: str, *parts: list[str]) -> list[str]:
+    """Search texts from the strongest to none: all terms, then each of ``parts`` (such as modalities, regions) alone, then everything.
+
+    For interfaces that look for all words at once, where a full query often finds nothing."""
+    asked = [terms, *[" ".join(p for p in part if p) for part in parts]]
+    return [*dict.fromkeys(a for a in asked if a.strip()), ""]
+
+
+def ladder(spark: SparkSession, requests: list[dict[str, str]], keep: Column | None = None) -> DataFrame:
+    """Rows of the first of ``requests`` (reader options, the strongest first) that finds any record to ``keep``, with its number
+    in ``rung``; rows of pages that could not be had, of all requests tried, stay.
+
+    ``keep`` reads ``payload``, the record as VARIANT, so what a weaker request no longer asks for still holds. Each request is
+    made once; null counts as not kept."""
+    tried: DataFrame | None = None
+    for n, options in enumerate(requests):
+        rows = spark.read.format("paged_json").options(**options).load()
+        rows = written(rows, "requests").select("*", F.lit(n).alias("rung"), F.try_parse_json("raw").alias("payload"))
+        wanted = rows.where((F.col("status") == "ok") & (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))))
+        offline = rows.where("status <> 'ok'")
+        tried = offline if tried is None else tried.unionByName(offline)
+        if not wanted.isEmpty():
+            return tried.unionByName(wanted)
+    if tried is None:
+        raise ValueError("no requests")
+    return tried
 
 
 def query_terms(structured: list[Column], keywords: Column, limit: int = 500) -> Column:

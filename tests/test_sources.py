@@ -51,6 +51,50 @@ def test_pages_are_partitions(spark, site):
     assert connectors.lucene_escaped("a:b(c)") == "a\\:b\\(c\\)"
 
 
+@pytest.fixture(scope="module")
+def linked():
+    """Finds all words or nothing; a page of two tells the next one."""
+    held = [{"id": i, "modality": "eeg" if i % 2 else "meg", "text": "eeg study" if i % 2 else "study"} for i in range(7)]
+    asked = Counter()
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = parse_qs(urlparse(self.path).query, keep_blank_values=True)
+            words, at = q["search"][0].split(), int(q.get("at", ["0"])[0])
+            asked[q["search"][0]] += 1
+            found = [r for r in held if all(w in r["text"].split() for w in words)]
+            more = f"?search={'+'.join(words)}&at={at + 2}" if at + 2 < len(found) else None
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"results": found[at : at + 2], "next": more}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield {"source": "dandi", "url": f"http://127.0.0.1:{server.server_port}/?search={{query}}", "records": "results", "next": "next", "wait": "0.01"}, asked
+    server.shutdown()
+
+
+def test_links_and_ladder(spark, linked):
+    options, asked = linked
+    spark.dataSource.register(connectors.PagedJson)
+    rows = spark.read.format("paged_json").options(**options, query="study", pages="3").load().collect()
+    assert [(r.page, json.loads(r.raw)["id"]) for r in rows] == [(1, 0), (1, 1), (2, 2), (2, 3), (3, 4), (3, 5)]
+    texts = connectors.weaker("eeg hippocampus study", ["eeg", None], ["hippocampus"], ["eeg"])
+    assert texts == ["eeg hippocampus study", "eeg", "hippocampus", ""]
+    asked.clear()
+    requests = [{**options, "query": t, "pages": "9"} for t in texts]
+    found = connectors.ladder(spark, requests, F.try_variant_get("payload", "$.id", "int") > 1).select("rung", "raw").collect()
+    assert {(r.rung, json.loads(r.raw)["id"]) for r in found} == {(1, 3), (1, 5)}
+    assert set(asked) == {"eeg hippocampus study", "eeg"} and asked["eeg"] == 2
+    # what no request asks for any more still holds
+    found = connectors.ladder(spark, requests[2:], F.try_variant_get("payload", "$.modality", "string") == "meg").select("rung", "raw").collect()
+    assert {(r.rung, json.loads(r.raw)["id"]) for r in found} == {(1, i) for i in (0, 2, 4, 6)}
+    assert connectors.ladder(spark, requests[:1]).count() == 0
+
+
 def test_query_terms(spark):
     df = spark.createDataFrame([(["fMRI", "", None], ["Human"], ["fmri", "fMRRRi", "memory", " memory ", "x"]), ([], [], None)], "m array<string>, s array<string>, k array<string>")
     got = [r[0] for r in df.select(connectors.query_terms([F.col("m"), F.col("s")], F.col("k"))).collect()]
