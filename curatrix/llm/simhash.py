@@ -298,8 +298,11 @@ def _met(rest: DataFrame, chosen: DataFrame, sets: DataFrame, percent: int) -> D
     return out
 
 
-def _resembling(best: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> tuple[DataFrame, bool]:
-    """Edges (a, b) of sets that resemble each other, and whether a band was crowded."""
+def _resembling(best: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+    """Edges (a, b) between sets that resemble each other: enough of them to connect every two that do.
+
+    In bands of more than PAIRWISE members, all of them meet the band's hubs. Members become hubs, more of them in each round, until those
+    that have not been one are all connected with the band's first hub; two that resemble each other then have met, or are connected already."""
     keyed = common.written(best.select(F.explode("keys").alias("key"), "node"), "keys")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = common.written(keyed.join(sizes, "key"), "shared")
@@ -310,47 +313,41 @@ def _resembling(best: DataFrame, docs: DataFrame, text: str, width: int, percent
     sets = common.written(held.groupBy("node").agg(F.first("t").alias("t")).select("node", _set(F.col("t"), width).alias("shingles")), "sets")
     few = shared.where(F.col("n") <= PAIRWISE)
     pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    edges = common.written(_alike(pairs, sets, percent), "alike")
-    rest = common.written(shared.where(F.col("n") > PAIRWISE).select("key", "node", "n"), "rest")
-    crowded, hubs = not rest.isEmpty(), 1
-    while not rest.isEmpty():
+    edges = common.written(_alike(pairs, sets, percent).distinct(), "alike")
+    members = common.written(shared.where(F.col("n") > PAIRWISE).select("key", "node", "n"), "members")
+    pool, lead, hubs = members, None, 1
+    while not pool.isEmpty():
         # the most central members of a band: those whose bands are the largest together
-        ranked = rest.join(rest.groupBy("node").agg(F.sum("n").alias("reach")), "node")
+        ranked = pool.join(pool.groupBy("node").agg(F.sum("n").alias("reach")), "node")
         slot = F.pmod(F.xxhash64("node"), F.lit(hubs))
         chosen = ranked.groupBy("key", slot.alias("slot")).agg(F.max_by("node", F.struct("reach", "node")).alias("b"))
         chosen = common.written(chosen.select("key", "b"), "hubs")
-        found = common.written(_met(rest, chosen, sets, percent), "alike")
-        edges = edges.unionByName(found)
-        # who is tied to a hub is spoken for by it in all bands; a hub has met all of its band
-        tied = found.select(F.col("a").alias("node")).distinct()
-        left = rest.join(tied, "node", "left_anti").join(chosen.withColumnRenamed("b", "node"), ["key", "node"], "left_anti")
-        left = common.written(left, "rest")
-        common.forget(rest, chosen)
-        rest = left
+        lead = lead or chosen
+        asked = members.join(chosen.select("key").distinct(), "key", "left_semi")
+        edges = common.written(edges.unionByName(_met(asked, chosen, sets, percent)).distinct(), "alike")
+        roots = common.written(common.components(edges, "a", "b"), "roots")
+        first = lead.join(roots, lead.b == roots.node, "left").select("key", F.coalesce("root", "b").alias("first"))
+        left = pool.join(chosen.withColumnRenamed("b", "node"), ["key", "node"], "left_anti").join(roots, "node", "left")
+        left = common.labelled(left, first, "key", "node").where(F.coalesce("root", "node") != F.col("first")).select("key", "node", "n")
+        pool = common.written(left, "pool")
         hubs *= 4
-    common.forget(rest, shared, wanted, sets)
-    return edges.distinct(), crowded
+    common.forget(shared, wanted, sets)
+    return edges
 
 
 def keep_unlike(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of similar texts, chosen as in :func:`keep_one`.
 
-    Texts are linked where the Jaccard similarity of their shingles is ``percent`` or more. The search
-    is repeated over the rows that stay while a band is crowded: there, a row may have met its hub only."""
+    Texts are linked where the Jaccard similarity of their shingles is ``percent`` or more, and texts linked through others are of
+    one group. Null and empty texts and those of fewer words than a shingle are sets of their own kind: equal ones are one group. Texts of
+    any length count whole; repeated rows are one; ties go to the least id, null last; an empty table stays empty; other columns stay."""
     common.small_batches(docs.sparkSession)
     per_row = common.written(docs.select(_sketch(F.col(text), width).alias("s"), _rank(docs, doc_id, text).alias("row")).select("s.*", "row"), "sketches")
     best = common.written(per_row.groupBy("node").agg(F.min("row").alias("row"), F.first("keys").alias("keys")), "best")
-    while True:
-        edges, crowded = _resembling(best, docs, text, width, percent)
-        edges = common.written(edges, "links")
-        if edges.isEmpty():
-            break
-        roots = common.components(edges, "a", "b").withColumnRenamed("node", "of")
-        grouped = best.join(roots, best.node == F.col("of"), "left").select(F.coalesce("root", "node").alias("root"), F.struct("row", "node", "keys").alias("r"))
-        best = common.written(grouped.groupBy("root").agg(F.min("r").alias("r")).select("r.*"), "best")
-        if not crowded:
-            break
-    return _staying(docs, per_row, common.written(best.select("row.*"), "stay"), doc_id, text)
+    roots = common.components(_resembling(best, docs, text, width, percent), "a", "b").withColumnRenamed("node", "of")
+    grouped = best.join(roots, best.node == F.col("of"), "left").select(F.coalesce("root", "node").alias("root"), "row")
+    stay = common.written(grouped.groupBy("root").agg(F.min("row").alias("row")).select("row.*"), "stay")
+    return _staying(docs, per_row, stay, doc_id, text)
 
 
 def op10_simhash_pigeonring(spark, sf_dir: str) -> DataFrame:

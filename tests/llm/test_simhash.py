@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pytest
 import xxhash
 
 import corpus_pipeline
@@ -108,3 +109,27 @@ def test_keep_unlike_edge_rows(spark):
     got = Counter((r.doc_id, r.text) for r in kept.collect())
     assert got[(1, "")] == 1 and got[(5, "one")] == 1 and sum(got.values()) == 6
     assert simhash.keep_unlike(cases.docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("pairwise", [6, 48, 400])
+def test_links_through_leaves_of_different_hubs(spark, monkeypatch, pairwise):
+    """Groups around centres that only their own edited copies link: no link may be lost, whatever the size of a band."""
+    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
+    rng = random.Random(11)
+
+    def edited(base, n):
+        out = list(base)
+        for i in rng.sample(range(0, len(out), 5), n):
+            out[i] = f"x{rng.randrange(10**6)}"
+        return out
+
+    texts, centre = [], [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    for _ in range(7):
+        texts += [centre] + [edited(centre, 2) for _ in range(20)]
+        centre = edited(edited(centre, 5), 5)  # linked neither to the centre before it nor, mostly, to its copies ...
+        texts.append(edited(texts[-21], 5))  # ... but through a text between
+        texts.append([c if i % 2 else t for i, (c, t) in enumerate(zip(centre, texts[-22], strict=True))])
+    sets = [set(simhash._set_of(" ".join(t), 5).tolist()) for t in texts]
+    root = cases.components(range(len(texts)), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_unlike(docs).collect()} == set(root.values())
