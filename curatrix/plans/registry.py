@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from curatrix.plans import documents, pages, records, upserts
+from curatrix.plans import documents, pages, records, reports, upserts
 
-MODULES: tuple = (pages, documents, records, upserts)
+MODULES: tuple = (pages, documents, records, upserts, reports)
 
 
 def queries() -> dict:
