@@ -70,7 +70,7 @@ def test_edge_rows(spark):
     out = P.mask(docs, key="secret")
     assert out.columns == docs.columns
     assert sorted(map(str, (r.text for r in out.collect()))) == sorted(map(str, (r[1] for r in cases.ROWS)))
-    assert P.mask(cases.docs(spark, [])).count() == 0
+    assert P.mask(cases.docs(spark, []), key="secret").count() == 0
 
 
 def test_values_before_other_words_and_numbers():
@@ -108,6 +108,6 @@ def test_a_key_is_needed(spark):
     import pytest
 
     with pytest.raises(ValueError):
-        P.mask(docs, key="secret")
+        P.mask(docs)
     assert P.mask(docs, key="secret").count() == len(cases.ROWS)
     assert P.mask(cases.docs(spark, []), key="secret").count() == 0
