@@ -299,7 +299,7 @@ def _met(rest: DataFrame, chosen: DataFrame, sets: DataFrame, percent: int) -> D
 
 
 def _resembling(best: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
-    """Edges (a, b) between sets that resemble each other: enough of them to connect every two that do.
+    """(node, root) of the sets that resemble another one: the least of all that they are connected with.
 
     In bands of more than PAIRWISE members, all of them meet the band's hubs. Members become hubs, more of them in each round, until those
     that have not been one are all connected with the band's first hub; two that resemble each other then have met, or are connected already."""
@@ -315,6 +315,7 @@ def _resembling(best: DataFrame, docs: DataFrame, text: str, width: int, percent
     pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
     edges = common.written(_alike(pairs, sets, percent).distinct(), "alike")
     members = common.written(shared.where(F.col("n") > PAIRWISE).select("key", "node", "n"), "members")
+    roots = common.written(common.components(edges, "a", "b"), "roots")
     pool, lead, hubs = members, None, 1
     while not pool.isEmpty():
         # the most central members of a band: those whose bands are the largest together
@@ -324,15 +325,31 @@ def _resembling(best: DataFrame, docs: DataFrame, text: str, width: int, percent
         chosen = common.written(chosen.select("key", "b"), "hubs")
         lead = lead or chosen
         asked = members.join(chosen.select("key").distinct(), "key", "left_semi")
-        edges = common.written(edges.unionByName(_met(asked, chosen, sets, percent)).distinct(), "alike")
-        roots = common.written(common.components(edges, "a", "b"), "roots")
+        roots = _joined(roots, common.written(_met(asked, chosen, sets, percent), "alike"))
         first = lead.join(roots, lead.b == roots.node, "left").select("key", F.coalesce("root", "b").alias("first"))
         left = pool.join(chosen.withColumnRenamed("b", "node"), ["key", "node"], "left_anti").join(roots, "node", "left")
         left = common.labelled(left, first, "key", "node").where(F.coalesce("root", "node") != F.col("first")).select("key", "node", "n")
         pool = common.written(left, "pool")
         hubs *= 4
     common.forget(shared, wanted, sets)
-    return edges
+    return roots
+
+
+def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) after more ``edges``: only those between different groups are looked at, as edges between their roots."""
+    own = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).select("a").distinct()
+    known = common.written(ends.join(own, "a", "left").select("a", F.coalesce("ra", "a").alias("ra")), "ends")
+    crossing = common.labelled(edges, known, "a", "b").select("b", "ra")
+    crossing = common.labelled(crossing, known.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "ra").where("ra <> rb").select("ra", "rb").distinct()
+    crossing = common.written(crossing, "crossing")
+    if crossing.isEmpty():
+        return roots
+    merged = common.written(common.components(crossing, "ra", "rb").select(F.col("node").alias("ra"), F.col("root").alias("to")), "merged")
+    every = roots.unionByName(known.join(own.select("a"), "a", "left_anti").select(F.col("a").alias("node"), F.col("ra").alias("root")))
+    every = every.withColumn("ra", F.col("root"))
+    met = common.labelled(every, merged, "ra", "node").select("node", F.col("to").alias("root"))
+    return common.written(met.unionByName(every.join(merged, "ra", "left_anti").select("node", "root")), "roots")
 
 
 def keep_unlike(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -344,7 +361,7 @@ def keep_unlike(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     common.small_batches(docs.sparkSession)
     per_row = common.written(docs.select(_sketch(F.col(text), width).alias("s"), _rank(docs, doc_id, text).alias("row")).select("s.*", "row"), "sketches")
     best = common.written(per_row.groupBy("node").agg(F.min("row").alias("row"), F.first("keys").alias("keys")), "best")
-    roots = common.components(_resembling(best, docs, text, width, percent), "a", "b").withColumnRenamed("node", "of")
+    roots = _resembling(best, docs, text, width, percent).withColumnRenamed("node", "of")
     grouped = best.join(roots, best.node == F.col("of"), "left").select(F.coalesce("root", "node").alias("root"), "row")
     stay = common.written(grouped.groupBy("root").agg(F.min("row").alias("row")).select("row.*"), "stay")
     return _staying(docs, per_row, stay, doc_id, text)
