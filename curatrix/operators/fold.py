@@ -1,14 +1,16 @@
 """The canonical upsert: each source, in order, is merged into the record it belongs to or becomes a record.
 
 Merging widens a record (its DOI, source keys, repositories, authors, modalities), so a later source may match through what an
-earlier one brought. The fold is worked out in rounds of joins. In each round the sources that no earlier undecided source can
-have to do with are decided, all at once; the records are widened, and the rest goes on. As soon as no more than LOOP sources
-are left, with the records that they could meet, one task goes through them in order. The result is that of a loop over all sources.
+earlier one brought. The fold goes on in slices: one task goes through the LOOP earliest sources in order, with the records that they could
+meet, then the records are widened and the next slice follows. So a task holds a slice, whatever the input, and chains of sources that
+depend on one another take no rounds. Where even few sources could meet more than LOOP_RECORDS records, a round of joins decides all the sources
+that no earlier undecided source can have to do with. The result is that of a loop over all sources.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 from itertools import combinations
 
 import pandas as pd
@@ -24,6 +26,8 @@ LISTS, SCALARS = ("authors", "modality"), ("participants", "year")
 STRINGS = "array<string>"
 #: Undecided sources, and records they could meet, that one task may go through.
 LOOP, LOOP_RECORDS = 10_000, 50_000
+#: A slice is halved so often before a round is taken instead.
+HALVES = 6
 
 
 def _place(kind: str, *values: Column) -> Column:
@@ -91,12 +95,13 @@ def _earlier() -> Column:
 
 
 def _state(records: DataFrame, decided: DataFrame | None) -> DataFrame:
-    """Records with all decided sources merged in, as far as identity goes.
+    """Records with all decided sources merged in, as far as identity goes. ``records`` may be a state itself, if none of its sources comes after one of ``decided``.
 
     DOI, participants and year are the first that are filled; keys, repositories, authors and modalities are united; the
     address and the title stay those that the record began with."""
+    created = F.col("created") if "created" in records.columns else F.lit(-1)
     base = records.select(
-        "id", F.lit(-1).cast("long").alias("seq"), F.lit(True).alias("first"), "doi", "url", "title", "source_keys", "repositories", *[F.col(c).cast(STRINGS).alias(c) for c in LISTS], *SCALARS
+        "id", created.cast("long").alias("seq"), F.lit(True).alias("first"), "doi", "url", "title", "source_keys", "repositories", *[F.col(c).cast(STRINGS).alias(c) for c in LISTS], *SCALARS
     )
     if decided is None:
         rows = base
@@ -149,7 +154,7 @@ def _ready(records: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
 
     Rows sure of one record are a class: their order does not matter. A row may wait for rows that seek a place it seeks, for rows
     that could meet the record it goes to, or, if it has found none or by title only, any record of its title, and for rows
-    of the title of the record it would widen. Sources of one repository never meet by title and signals, so they do not wait for one another
+    of the title of the record it would widen. Rows that are sure of records only bring titles and signals, so they do not wait for one another by these. Sources of one repository never meet by title and signals, so they do not wait for one another
     where every record at hand has their repository."""
     own = F.when(F.col("sure"), F.concat(F.lit("r:"), "target")).otherwise(F.concat(F.lit("s:"), F.col("seq").cast("string")))
     x = written(rows.join(found, "seq").withColumn("class", own), "classed")
@@ -163,16 +168,19 @@ def _ready(records: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
     paired = paired.join(meets.withColumn("meets", F.lit(True)), ["seq", "place"], "left")
     alike = F.concat(F.lit("p:"), "repository")
     paired = paired.select("seq", F.when(F.col("meets"), F.col("class")).otherwise(F.coalesce(alike, F.col("class"))).alias("class"), "place")
-    touching = written(sought.where("kind <> 'multi_field' or sure").select("seq", "class", "place").unionByName(paired), "touching")
+    brought = sought.where("kind = 'multi_field' and sure").select("seq", F.lit("b:").alias("class"), "place")
+    touching = written(sought.where("kind <> 'multi_field'").select("seq", "class", "place").unionByName(paired).unionByName(brought), "touching")
     met = labelled(touching, _two_least(touching, "place"), "place", "seq").groupBy("seq").agg(F.max(_earlier()).alias("waits"), F.max(F.col("seq2").isNotNull()).alias("contested"))
     met = written(met, "met")
     waits = met.where("waits").select("seq")
 
     # records that rows could meet; the two least of other classes of each place are enough
-    least = _two_least(touching.where(~F.col("class").startswith("p:")), "place")
+    least = _two_least(touching.where(~F.col("class").startswith("p:") & ~F.col("class").startswith("b:")), "place")
     near = labelled(held, least, "place", "id").select("id", "of_title", F.explode(F.array(F.struct(F.col("seq1").alias("seq"), F.col("class1").alias("class")), F.struct(F.col("seq2").alias("seq"), F.col("class2").alias("class")))).alias("e"))
-    near = written(near.select("id", "of_title", "e.*").where("seq is not null"), "near")
     bound = x.where("target is not null")
+    titles = records.select(F.col("id").alias("target"), F.col("title").alias("of_title"))
+    goal = labelled(x.where("sure").select("seq", "class", "target"), titles, "target", "seq").select(F.col("target").alias("id"), "of_title", "seq", "class")
+    near = written(near.select("id", "of_title", "e.*").where("seq is not null").unionByName(goal), "near")
     by_record = labelled(bound.select("seq", "class", F.col("target").alias("id")), _two_least(near, "id"), "id", "seq").where(_earlier()).select("seq")
     by_title = near.where("of_title is not null").groupBy(F.col("of_title").alias("title")).agg(F.min("seq").alias("least"))
     open_rows = x.where("title is not null and (target is null or way = 'multi_field')").select("seq", "title")
@@ -180,8 +188,7 @@ def _ready(records: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
     becoming = x.where("not sure and title is not null").select("seq", "title").join(met.where("contested").select("seq"), "seq").groupBy("title").agg(F.min("seq").alias("least"))
     by_title = by_title.unionByName(becoming).groupBy("title").agg(F.min("least").alias("least"))
     beside = labelled(open_rows, by_title, "title", "seq").where("least < seq").select("seq")
-    titles = records.where("title is not null").select(F.col("id").alias("target"), F.col("title").alias("of_title"))
-    widened = labelled(bound.select("seq", "target"), titles, "target", "seq")
+    widened = labelled(bound.select("seq", "target"), titles.where("of_title is not null"), "target", "seq")
     unsure = x.where("not sure and title is not null").groupBy(F.col("title").alias("of_title")).agg(F.min("seq").alias("least"))
     widened = labelled(widened, unsure, "of_title", "seq").where("least < seq").select("seq")
     blocked = waits.unionByName(by_record).unionByName(beside).unionByName(widened).distinct()
@@ -257,17 +264,22 @@ def _loop(sources: pd.DataFrame, records: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["seq", "way", "target"])
 
 
-def _short(state: DataFrame, left: DataFrame) -> DataFrame | None:
-    """(seq, way, target) of all of ``left`` by a loop, where it and the records it could meet are few."""
-    if left.limit(LOOP + 1).count() > LOOP:
-        return None
-    places = left.select(F.explode("sought.place").alias("place")).distinct()
-    met = state.select("id", F.explode("held.place").alias("place")).join(places, "place", "left_semi").select("id").distinct()
-    if met.limit(LOOP_RECORDS + 1).count() > LOOP_RECORDS:
-        return None
-    records = state.join(met, "id", "left_semi").drop("held")
-    one = F.lit(0)
-    return left.drop("sought").groupBy(one.alias("one")).cogroup(records.groupBy(one.alias("one"))).applyInPandas(_loop, "seq long, way string, target string")
+def _slice(state: DataFrame, left: DataFrame) -> tuple[DataFrame, int] | None:
+    """(seq, way, target) of the earliest of ``left``, by a loop, and the last seq among them; none where even few could meet too many records."""
+    for n in (LOOP >> i for i in range(HALVES)):
+        if not n:
+            break
+        last = left.select("seq").orderBy("seq").limit(n).agg(F.max("seq")).first()[0]
+        part = left.where(F.col("seq") <= last)
+        places = part.select(F.explode("sought.place").alias("place")).distinct()
+        met = state.select("id", F.explode("held.place").alias("place")).join(places, "place", "left_semi").select("id").distinct()
+        met = written(met, "met")
+        if met.limit(LOOP_RECORDS + 1).count() <= LOOP_RECORDS:
+            one = F.lit(0).alias("one")
+            records = state.join(met, "id", "left_semi").drop("held")
+            return part.drop("sought").groupBy(one).cogroup(records.groupBy(one)).applyInPandas(_loop, "seq long, way string, target string"), last
+        forget(met)
+    return None
 
 
 def fold(records: DataFrame, sources: DataFrame) -> DataFrame:
@@ -282,30 +294,38 @@ def fold(records: DataFrame, sources: DataFrame) -> DataFrame:
     in common that has no source of its repository. Two different DOIs never meet. action: merged, inserted, or invalid for a source that would become
     a record but is not ``valid``. ambiguous: another record of the title was there before. Null keys match nothing.
 
-    Rounds are few where few sources depend on one another; of a chain of sources of several repositories that all share title and
-    signals each takes a round, until LOOP are left."""
+    Slices are as many as there are LOOP sources, and follow one another. Only where a slice of LOOP >> HALVES could meet more than LOOP_RECORDS records
+    are there rounds; of a chain of sources of several repositories that all share title and signals each takes one then."""
     columns = ["seq", "id", "repository", "source_key", "doi", "url", "refs", "title", "authors", "participants", "modality", "year", "valid"]
     left = written(sources.select(*[F.col(c).cast(STRINGS).alias(c) if c in (*LISTS, "refs") else F.col(c) for c in columns]).withColumn("sought", _sought()), "sources")
     decided: DataFrame | None = None
+    # the records with all decided before ``since``; rounds decide out of order, so after one nothing is added up
+    base, since, ordered = records, None, True
     parts: list[DataFrame] = []
     while not left.isEmpty():
-        state = written(_state(records, decided), "state")
-        ready = _short(state, left)
-        if ready is None:
+        state = written(_state(base, since), "state")
+        cut = _slice(state, left)
+        if cut is None:
             found = written(_found(state, left), "found")
-            ready = _ready(state, left, found)
+            ready, last, ordered = _ready(state, left, found).drop("sure"), None, False
+        else:
+            ready, last = cut
         action = F.when(F.col("target").isNotNull(), "merged").when(F.coalesce("valid", F.lit(False)), "inserted").otherwise("invalid")
-        now = left.join(ready.drop("sure"), "seq").withColumn("action", action).withColumn("target", F.when(action == "inserted", F.col("id")).otherwise(F.col("target")))
-        parts.append(written(now, "decided"))
-        rest = written(left.join(parts[-1].select("seq"), "seq", "left_anti"), "sources")
-        forget(left, state)
-        left = rest
-        decided = parts[0]
-        for p in parts[1:]:
-            decided = decided.unionByName(p)
+        now = left.join(ready, "seq").withColumn("action", action).withColumn("target", F.when(action == "inserted", F.col("id")).otherwise(F.col("target")))
+        now = written(now, "decided")
+        rest = written(left.join(now.select("seq"), "seq", "left_anti") if last is None else left.where(F.col("seq") > last), "sources")
+        parts.append(now)
         if len(parts) > 4:  # plans stay short
-            parts = [written(decided, "decided")]
-            decided = parts[0]
+            parts = [written(reduce(DataFrame.unionByName, parts), "decided")]
+        decided = reduce(DataFrame.unionByName, parts)
+        if ordered:
+            forget(base)
+            base, since = state, now
+        else:
+            forget(state)
+            since = now if since is None else written(since.unionByName(now), "since")
+        forget(left)
+        left = rest
     if decided is None:
         return left.select("seq", "id", F.lit(None).cast("string").alias("action"), F.col("id").alias("target"), F.lit(None).cast("string").alias("via"), F.lit(False).alias("ambiguous"))
     # the two earliest records of each title tell whether another one was there

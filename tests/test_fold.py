@@ -121,3 +121,28 @@ def test_many_mirrors_take_few_rounds(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == plain([], sources)
     assert len(rounds) <= 6
     assert K.fold(spark.createDataFrame([], RECORDS), spark.createDataFrame([], SOURCES)).count() == 0
+
+
+def test_chains_take_slices_and_no_rounds(spark, monkeypatch):
+    """Sources of many repositories that share title and signals depend on one another; each took a round before."""
+    monkeypatch.setattr(K, "LOOP", 25)
+    monkeypatch.setattr(K, "LOOP_RECORDS", 60)
+    rounds = []
+    real = K._ready
+    monkeypatch.setattr(K, "_ready", lambda *a: rounds.append(1) or real(*a))
+    records, sources = rows(5, 10, 70, 4)
+    got = K.fold(spark.createDataFrame(records, RECORDS), spark.createDataFrame(sources, SOURCES).repartition(3)).collect()
+    assert sorted(tuple(r) for r in got) == plain(records, sources)
+    assert not rounds
+
+
+def test_slices_and_rounds_in_turn(spark, monkeypatch):
+    """A round that comes between slices decides out of order; what follows must still count in order."""
+    monkeypatch.setattr(K, "LOOP", 12)
+    turns = []
+    real = K._slice
+    monkeypatch.setattr(K, "_slice", lambda *a: None if turns.append(1) or len(turns) == 2 else real(*a))
+    records, sources = rows(9, 4, 40, 12)
+    got = K.fold(spark.createDataFrame(records, RECORDS), spark.createDataFrame(sources, SOURCES)).collect()
+    assert sorted(tuple(r) for r in got) == plain(records, sources)
+    assert len(turns) > 2
