@@ -17,8 +17,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is similar by 0.8 or more over five words."""
-    return simhash.keep_unlike(docs)
+    """One document of each near-duplicate group: texts are linked by SimHash fingerprints within two bits, as in op10, found by the
+    pigeonring keys, and where they are similar by 0.8 or more over five words."""
+    return simhash.keep_unlike(docs, linked=True)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ their balls of radius 1 meet, so each emits its 65 neighbours, and those that me
 (65 at most) are tied in a star. No pair is lost, and the rows stay linear in the input.
 
 Texts of a given similarity (Jaccard over five-word shingles) differ in too many bits for such keys.
-:func:`keep_unlike` finds them by bands of least hashes instead: a pair at the similarity 0.8 shares
+:func:`keep_unlike` finds them, beside those that link by fingerprint where ``linked`` is set, by bands of least hashes instead: a pair at the similarity 0.8 shares
 none of the 24 bands of five with a probability of 0.00007, and less above it. Pairs that share a
 band are then compared exactly. A band shared by many texts is resolved in rounds against hubs: who
 resembles a hub is tied to it and leaves all its bands, and those left over are compared with four times as
@@ -352,16 +352,29 @@ def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return common.written(met.unionByName(every.join(merged, "ra", "left_anti").select("node", "root")), "roots")
 
 
-def keep_unlike(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def _fingerprint_edges(per_row: DataFrame) -> DataFrame:
+    """Edges (a, b) that tie the sets whose fingerprints are of one component to the least of them."""
+    known = common.written(per_row.select("fp", "node").distinct(), "fingerprints")
+    roots = common.components(links(known.select("fp").distinct()), "a", "b").withColumnRenamed("node", "of")
+    grouped = common.written(known.join(roots, known.fp == F.col("of"), "left").select(F.coalesce("root", "fp").alias("group"), "node").distinct(), "linked")
+    least = grouped.groupBy("group").agg(F.min("node").alias("b"))
+    return common.labelled(grouped, least, "group", "node").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def keep_unlike(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, linked: bool = False) -> DataFrame:
     """``docs`` with one row of each group of similar texts, chosen as in :func:`keep_one`.
 
     Texts are linked where the Jaccard similarity of their shingles is ``percent`` or more, and texts linked through others are of
-    one group. Null and empty texts and those of fewer words than a shingle are sets of their own kind: equal ones are one group. Texts of
+    one group; with ``linked``, so are those of one component of :func:`near_duplicates`. Null and empty texts and those of fewer words than a shingle are sets of their own kind: equal ones are one group. Texts of
     any length count whole; repeated rows are one; ties go to the least id, null last; an empty table stays empty; other columns stay."""
     common.small_batches(docs.sparkSession)
-    per_row = common.written(docs.select(_sketch(F.col(text), width).alias("s"), _rank(docs, doc_id, text).alias("row")).select("s.*", "row"), "sketches")
+    fp = [fingerprint(F.col(text)).alias("fp")] if linked else []
+    per_row = common.written(docs.select(_sketch(F.col(text), width).alias("s"), _rank(docs, doc_id, text).alias("row"), *fp).select("s.*", "row", *["fp"][: len(fp)]), "sketches")
     best = common.written(per_row.groupBy("node").agg(F.min("row").alias("row"), F.first("keys").alias("keys")), "best")
-    roots = _resembling(best, docs, text, width, percent).withColumnRenamed("node", "of")
+    roots = _resembling(best, docs, text, width, percent)
+    if linked:
+        roots = _joined(roots, common.written(_fingerprint_edges(per_row), "linked"))
+    roots = roots.withColumnRenamed("node", "of")
     grouped = best.join(roots, best.node == F.col("of"), "left").select(F.coalesce("root", "node").alias("root"), "row")
     stay = common.written(grouped.groupBy("root").agg(F.min("row").alias("row")).select("row.*"), "stay")
     return _staying(docs, per_row, stay, doc_id, text)

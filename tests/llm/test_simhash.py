@@ -133,3 +133,27 @@ def test_links_through_leaves_of_different_hubs(spark, monkeypatch, pairwise):
     root = cases.components(range(len(texts)), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_unlike(docs).collect()} == set(root.values())
+
+
+def test_the_pipelines_stage_links_by_fingerprint_too(spark):
+    """The groups are those of both kinds of links together, also where one leads to the other."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    base = " ".join(words[:200])
+    again = base + " " + base + " " + base  # nearly the shingles of ``base``, three times
+    short = " ".join(words[:40] * 60 + words[200:215])  # one passage over and over: few different shingles
+    tail = " ".join(words[:40] * 60 + words[300:315])
+    edited = " ".join(words[:40] * 60 + words[300:314] + ["x"])
+    texts = [base, again, short, tail, edited, "", None, " ".join(rng.sample(words, 100))]
+    fps, sets = [plain_fingerprint(t) for t in texts], [set(simhash._set_of(t, 5).tolist()) for t in texts]
+
+    def by_bits(a, b):
+        return (fps[a] ^ fps[b]).bit_count() <= 2
+
+    def by_sets(a, b):
+        return sets[a] == sets[b] or 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0
+
+    both = cases.components(range(len(texts)), lambda a, b: by_bits(a, b) or by_sets(a, b))
+    assert set(both.values()) < set(cases.components(range(len(texts)), by_sets).values())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == set(both.values())
