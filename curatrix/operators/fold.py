@@ -26,7 +26,7 @@ LISTS, SCALARS = ("authors", "modality"), ("participants", "year")
 STRINGS = "array<string>"
 #: Undecided sources, and records they could meet, that one task may go through.
 LOOP, LOOP_RECORDS = 10_000, 50_000
-#: A slice is halved so often before a round is taken instead.
+#: Sizes of a slice that are tried, each half of the one before, until a round is taken instead.
 HALVES = 6
 
 
@@ -294,7 +294,7 @@ def fold(records: DataFrame, sources: DataFrame) -> DataFrame:
     in common that has no source of its repository. Two different DOIs never meet. action: merged, inserted, or invalid for a source that would become
     a record but is not ``valid``. ambiguous: another record of the title was there before. Null keys match nothing.
 
-    Slices are as many as there are LOOP sources, and follow one another. Only where a slice of LOOP >> HALVES could meet more than LOOP_RECORDS records
+    Slices are as many as there are LOOP sources, and follow one another. Only where the smallest slice tried could meet more than LOOP_RECORDS records
     are there rounds; of a chain of sources of several repositories that all share title and signals each takes one then."""
     columns = ["seq", "id", "repository", "source_key", "doi", "url", "refs", "title", "authors", "participants", "modality", "year", "valid"]
     left = written(sources.select(*[F.col(c).cast(STRINGS).alias(c) if c in (*LISTS, "refs") else F.col(c) for c in columns]).withColumn("sought", _sought()), "sources")
