@@ -17,8 +17,8 @@ Texts of a given similarity (Jaccard over five-word shingles) differ in too many
 :func:`keep_unlike` finds them, beside those that link by fingerprint where ``linked`` is set, by bands of least hashes instead: a pair at the similarity 0.8 shares
 none of the 24 bands of five with a probability of 0.00007, and less above it. Pairs that share a
 band are then compared exactly. A band shared by many texts is resolved in rounds against hubs: who
-resembles a hub is tied to it and leaves all its bands, and those left over are compared with four times as
-many hubs in the next. So a large group of near copies costs its size, not the square of it; only texts that share
+resembles a hub is tied to it and leaves all its bands, and those left over become hubs in the next, all of
+them or sixteen times as many. So a large group of near copies costs its size, not the square of it; only texts that share
 a band without resembling each other are compared pair by pair.
 """
 
@@ -46,6 +46,8 @@ BANDS, ROWS = 24, 5
 BROADCAST_KEYS = 500_000
 #: Bytes of the hubs' sets that a task holds at once.
 HUB_BYTES = 16 << 20
+#: Pairs of a band's members and of those left over up to which all of these become hubs, and else how many times as many there are in the next round.
+MEETINGS, GROWTH = 1 << 22, 16
 
 
 def _shingles(text: str | None, width: int) -> list[int]:
@@ -261,48 +263,80 @@ def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _index(hubs) -> tuple:
+    """Of an Arrow table (b, keys, y) of hubs: the elements of their sets in order, whose each is, sizes of sets, names, keys."""
+    y = hubs["y"].combine_chunks()
+    sizes = y.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    values = y.flatten().to_numpy(zero_copy_only=False)
+    order = np.argsort(values, kind="stable")
+    return values[order], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order], sizes, hubs["b"].to_pylist(), [frozenset(k) for k in hubs["keys"].to_pylist()]
+
+
+def _alike_hubs(x: np.ndarray, keys, index: tuple, percent: int) -> list[int]:
+    """The hubs under one of ``keys`` whose sets have at least ``percent`` of their union with ``x`` in common."""
+    values, whose, sizes, _, key_sets = index
+    low = np.searchsorted(values, x)
+    n = np.searchsorted(values, x, "right") - low
+    at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+    shared = np.bincount(whose[at], minlength=len(sizes))
+    alike = np.flatnonzero((shared > 0) & (shared * 100 >= (len(x) + sizes - shared) * percent))
+    return [int(i) for i in alike if not key_sets[i].isdisjoint(keys)]
+
+
 def _met(rest: DataFrame, chosen: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the members ``rest`` (key, node) and the hubs ``chosen`` (key, b) of their bands that are alike.
+    """Edges (a, b) that connect what the members ``rest`` (key, node) and the hubs ``chosen`` (key, b) of their bands that are alike connect.
 
-    A task holds the hubs' sets and reads each member once, so no row is made of a pair that is not alike.
-    Hubs of more than HUB_BYTES are held in as many turns as they need."""
+    A task holds the hubs' sets and reads each member once, so no row is made of a pair that is not alike; hubs that a task has connected
+    are not connected by it again. Hubs of more than HUB_BYTES are held in as many turns as they need, one after the other."""
     spark = rest.sparkSession
     held = chosen.groupBy("b").agg(F.collect_set("key").alias("keys")).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     held = common.written(held, "hubs")
     turns = max(1, -(-int(held.agg(F.sum(F.size("y") + F.size("keys"))).first()[0] or 0) * 8 // HUB_BYTES))
     members = rest.groupBy("node").agg(F.collect_set("key").alias("keys")).join(sets, "node")
+    if turns > 1:
+        members = common.written(members, "asked")
     out = None
     for turn in range(turns):
-        by_key: dict[int, list[tuple[bytes, np.ndarray]]] = {}
-        for r in held.where(F.pmod(F.xxhash64("b"), F.lit(turns)) == turn).toLocalIterator():  # HUB_BYTES or so
-            hub = (bytes(r["b"]), np.sort(np.array(r["y"], np.int64)))
-            for k in r["keys"]:
-                by_key.setdefault(k, []).append(hub)
-        sent = spark.sparkContext.broadcast(by_key)
+        sent = spark.sparkContext.broadcast(_index(held.where(F.pmod(F.xxhash64("b"), F.lit(turns)) == turn).toArrow()))  # HUB_BYTES or so
 
         def run(batches, sent=sent):
+            index = sent.value
+            names, up = index[3], list(range(len(index[3])))
+
+            def top(i):
+                while up[i] != i:
+                    up[i] = i = up[up[i]]
+                return i
+
             for batch in batches:
                 found = []
                 for node, keys, shingles in zip(batch["node"], batch["keys"], batch["shingles"], strict=True):
-                    x = np.sort(np.asarray(shingles, np.int64))
-                    for b, y in {h[0]: h for k in keys for h in sent.value.get(k, ())}.values():
-                        if b != node and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                            at = np.searchsorted(y, x)
-                            shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                            if shared * 100 >= (len(x) + len(y) - shared) * percent:
-                                found.append((bytes(node), b))
+                    node = bytes(node)
+                    first = None
+                    for i in _alike_hubs(np.asarray(shingles, np.int64), keys, index, percent):
+                        if first is None:
+                            first = top(i)
+                            if names[i] != node:
+                                found.append((node, names[i]))
+                            own = names[i]
+                        elif top(i) != first:
+                            up[top(i)] = first
+                            found.append((own, names[i]))
                 yield pd.DataFrame(found, columns=["a", "b"])
 
-        part = members.mapInPandas(run, "a binary, b binary")
+        part = common.written(members.mapInPandas(run, "a binary, b binary"), "alike")
+        sent.destroy()
         out = part if out is None else out.unionByName(part)
+    common.forget(held, *[members] * (turns > 1))
     return out
 
 
-def _resembling(best: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
-    """(node, root) of the sets that resemble another one: the least of all that they are connected with.
+def _resembling(best: DataFrame, docs: DataFrame, text: str, width: int, percent: int, more: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the sets that resemble another one, or that edges ``more`` (a, b) tie to one: the least of all that they are connected with.
 
-    In bands of more than PAIRWISE members, all of them meet the band's hubs. Members become hubs, more of them in each round, until those
-    that have not been one are all connected with the band's first hub; two that resemble each other then have met, or are connected already."""
+    In bands of more than PAIRWISE members, all of them meet the band's hubs. Members become hubs until those that have not been one are all
+    connected with the band's first hub; two that resemble each other then have met, or are connected already. First there is one hub a band;
+    of what it leaves, all become hubs where they and the band's members make MEETINGS pairs at most, else ever more of them, GROWTH times in each round."""
     keyed = common.written(best.select(F.explode("keys").alias("key"), "node"), "keys")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = common.written(keyed.join(sizes, "key"), "shared")
@@ -314,25 +348,30 @@ def _resembling(best: DataFrame, docs: DataFrame, text: str, width: int, percent
     few = shared.where(F.col("n") <= PAIRWISE)
     pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
     edges = common.written(_alike(pairs, sets, percent).distinct(), "alike")
+    if more is not None:
+        edges = edges.unionByName(more)
     members = common.written(shared.where(F.col("n") > PAIRWISE).select("key", "node", "n"), "members")
-    roots = common.written(common.components(edges, "a", "b"), "roots")
-    pool, lead, hubs = members, None, 1
+    pool, lead, roots, hubs = members, None, None, 1
     while not pool.isEmpty():
         # the most central members of a band: those whose bands are the largest together
         ranked = pool.join(pool.groupBy("node").agg(F.sum("n").alias("reach")), "node")
-        slot = F.pmod(F.xxhash64("node"), F.lit(hubs))
+        if lead:
+            ranked = common.labelled(ranked, pool.groupBy("key").agg(F.count("*").alias("rest")), "key", "node")
+        name = F.xxhash64("node")
+        slot = F.when(F.col("rest") * F.col("n") <= MEETINGS, name).otherwise(F.pmod(name, F.lit(hubs))) if lead else F.lit(0)
         chosen = ranked.groupBy("key", slot.alias("slot")).agg(F.max_by("node", F.struct("reach", "node")).alias("b"))
         chosen = common.written(chosen.select("key", "b"), "hubs")
+        asked = common.labelled(members, chosen.select("key").distinct(), "key", "node") if lead else members
+        met = _met(asked, chosen, sets, percent)
         lead = lead or chosen
-        asked = members.join(chosen.select("key").distinct(), "key", "left_semi")
-        roots = _joined(roots, common.written(_met(asked, chosen, sets, percent), "alike"))
+        roots = _joined(roots, met) if roots else common.written(common.components(edges.unionByName(met), "a", "b"), "roots")
         first = lead.join(roots, lead.b == roots.node, "left").select("key", F.coalesce("root", "b").alias("first"))
         left = pool.join(chosen.withColumnRenamed("b", "node"), ["key", "node"], "left_anti").join(roots, "node", "left")
         left = common.labelled(left, first, "key", "node").where(F.coalesce("root", "node") != F.col("first")).select("key", "node", "n")
         pool = common.written(left, "pool")
-        hubs *= 4
+        hubs *= GROWTH
     common.forget(shared, wanted, sets)
-    return roots
+    return roots or common.written(common.components(edges, "a", "b"), "roots")
 
 
 def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -353,12 +392,14 @@ def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _fingerprint_edges(per_row: DataFrame) -> DataFrame:
-    """Edges (a, b) that tie the sets whose fingerprints are of one component to the least of them."""
+    """Edges (a, b) between sets, whose components are those of their linked fingerprints: the sets of a fingerprint are tied to the
+    least of them, and these least ones as their fingerprints are."""
     known = common.written(per_row.select("fp", "node").distinct(), "fingerprints")
-    roots = common.components(links(known.select("fp").distinct()), "a", "b").withColumnRenamed("node", "of")
-    grouped = common.written(known.join(roots, known.fp == F.col("of"), "left").select(F.coalesce("root", "fp").alias("group"), "node").distinct(), "linked")
-    least = grouped.groupBy("group").agg(F.min("node").alias("b"))
-    return common.labelled(grouped, least, "group", "node").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    least = common.written(known.groupBy("fp").agg(F.min("node").alias("b"), F.count("*").alias("n")), "least")
+    own = common.labelled(known, least.where("n > 1"), "fp", "node").select(F.col("node").alias("a"), "b")
+    between = links(least.select("fp"))  # a fingerprint has few
+    between = between.join(least.select(F.col("fp").alias("a"), F.col("b").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("b").alias("y")), "b")
+    return own.unionByName(between.select(F.col("x").alias("a"), F.col("y").alias("b"))).where("a <> b")
 
 
 def keep_unlike(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, linked: bool = False) -> DataFrame:
@@ -371,9 +412,7 @@ def keep_unlike(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     fp = [fingerprint(F.col(text)).alias("fp")] if linked else []
     per_row = common.written(docs.select(_sketch(F.col(text), width).alias("s"), _rank(docs, doc_id, text).alias("row"), *fp).select("s.*", "row", *["fp"][: len(fp)]), "sketches")
     best = common.written(per_row.groupBy("node").agg(F.min("row").alias("row"), F.first("keys").alias("keys")), "best")
-    roots = _resembling(best, docs, text, width, percent)
-    if linked:
-        roots = _joined(roots, common.written(_fingerprint_edges(per_row), "linked"))
+    roots = _resembling(best, docs, text, width, percent, common.written(_fingerprint_edges(per_row), "linked") if linked else None)
     roots = roots.withColumnRenamed("node", "of")
     grouped = best.join(roots, best.node == F.col("of"), "left").select(F.coalesce("root", "node").alias("root"), "row")
     stay = common.written(grouped.groupBy("root").agg(F.min("row").alias("row")).select("row.*"), "stay")

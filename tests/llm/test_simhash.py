@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from curatrix.llm import common, simhash
@@ -157,3 +158,35 @@ def test_the_pipelines_stage_links_by_fingerprint_too(spark):
     assert set(both.values()) < set(cases.components(range(len(texts)), by_sets).values())
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == set(both.values())
+
+
+def test_bands_of_texts_that_are_not_alike_take_few_rounds(spark, monkeypatch):
+    """Each round is many jobs, whose records the driver keeps: what the first hub leaves of a band all become hubs at once."""
+    monkeypatch.setattr(simhash, "PAIRWISE", 6)
+    rounds, searches = [], []
+    met, components = simhash._met, common.components
+    monkeypatch.setattr(simhash, "_met", lambda *a: rounds.append(1) or met(*a))
+    monkeypatch.setattr(common, "components", lambda *a: searches.append(1) or components(*a))
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join([*base[:112], *(f"x{rng.randrange(10**6)}" for _ in range(n % 7 + 12)), *base[112:]]) for n in range(70)]
+    sets = [set(simhash._set_of(t, 5).tolist()) for t in texts]
+    root = cases.components(range(len(texts)), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_unlike(docs).collect()} == set(root.values())
+    assert len(rounds) == 2 and len(searches) <= 2
+
+
+@pytest.mark.parametrize("held", [1 << 20, 2000])
+def test_hubs_that_are_alike_make_no_square_of_edges(spark, monkeypatch, held):
+    """Also where the hubs are held in several turns."""
+    monkeypatch.setattr(simhash, "HUB_BYTES", held)
+    sets = spark.createDataFrame([(bytes([i]), list(range(30)) + [100 + i]) for i in range(40)] + [(b"z", [7])], "node binary, shingles array<long>").repartition(2)
+    rest = spark.createDataFrame([(k, bytes([i])) for k in (5, 6) for i in range(40)] + [(5, b"z")], "key long, node binary")
+    hubs = rest.where("key = 5").withColumnRenamed("node", "b").repartition(3)
+    turns = 1 if held > 2000 else 8
+    edges = simhash._met(rest, hubs, sets, 80).collect()
+    assert len(edges) <= turns * 4 * 82
+    assert {r.root for r in common.components(spark.createDataFrame(edges), "a", "b").collect()} == {bytes([0])}
+    other = hubs.withColumn("key", F.lit(9).cast("long"))
+    assert simhash._met(rest, other, sets, 80).count() == 0  # alike, but of no common band
