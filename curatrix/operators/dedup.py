@@ -59,8 +59,8 @@ def similar_titles(classes: DataFrame, percent: int = 95) -> DataFrame:
 
 
 def _place(kind: str, value: Column) -> Column:
-    """Where rows meet: a name of a key's value, or of a title in its block."""
-    return F.md5(F.to_json(F.struct(F.lit(kind).alias("kind"), value.alias("value"))))
+    """Where rows meet: a name of a key's value, or of a title in its block, in 16 bytes."""
+    return F.unhex(F.md5(F.to_json(F.struct(F.lit(kind).alias("kind"), value.alias("value")))))
 
 
 def greedy(df: DataFrame, id: str, order: str, keys: list[str], tokens: str, blocks: list[str], percent: int = 95) -> DataFrame:

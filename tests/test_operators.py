@@ -207,3 +207,10 @@ def test_shared_key_guard_counts_without_distinct_values(spark, small):
 
     plan = records.q_shared_key_guard(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "partial_count(l_partkey" in plan and plan.count("HashAggregate") <= 2
+
+
+def test_places_of_the_fold_take_16_bytes(spark):
+    """Their names are most of what the fold shuffles and writes."""
+    place = spark.range(3).select(dedup._place("k0", F.col("id")).alias("p"))
+    assert place.schema["p"].dataType.typeName() == "binary"
+    assert len({bytes(r.p) for r in place.collect()}) == 3 and all(len(r.p) == 16 for r in place.collect())
