@@ -1,5 +1,8 @@
 """Enrichment, contribution groups, identity over sets and merging, on rows written by hand."""
 
+import random
+
+import pytest
 
 from curatrix.operators import catalog, contributions, enrich
 
@@ -67,3 +70,63 @@ def test_absorb(spark):
     assert (a.source_keys, a.raw, a.matched_via) == (["r:1", "s:9"], {"r": "b", "s": None}, "url")
     assert (b.title, b.modality, b.age_groups, b.source_keys, b.raw, b.matched_via) == ("t", [], ["kept"], [], None, None)
     assert len(got) == 2
+
+
+RECORD = "id string, title string, authors array<string>, disease array<string>, ages array<int>, age_groups array<string>"
+SOURCE = RECORD + ", at int, repository string, source_id string, raw string, via string, seen int"
+HELD = RECORD + ", source_keys array<string>, raw map<string,string>, sources array<struct<key:string,entry:string>>, matched_via string, updated_at int"
+
+
+def _absorbed(have, sources):
+    """:func:`catalog.absorb` as a loop."""
+    out = {}
+    for r in have:
+        title, disease, was = r[1], r[3], r[6:] or (None,) * 5
+        keys, raw, entries, via, seen = list(was[0] or []), dict(was[1] or {}), dict(was[2] or []), was[3], was[4]
+        lists = [dict.fromkeys(x for x in r[i] or [] if x is not None) for i in (2, 4, 5)]
+        for s in sorted((s for s in sources if s[0] == r[0]), key=lambda s: s[6]):
+            title, disease = title or s[1], disease or s[3]
+            for held, i in zip(lists, (2, 4, 5), strict=True):
+                held.update(dict.fromkeys(x for x in s[i] or [] if x is not None))
+            key = ":".join(x for x in s[7:9] if x is not None)
+            keys += [] if key in keys else [key]
+            if s[7] is not None:
+                raw[s[7]] = s[9]
+            entries[key] = s[9]
+            via, seen = s[10], s[11]
+        groups = dict.fromkeys("Children" if a <= 12 else "Adults" for a in lists[1])
+        out[r[0]] = (title or None, disease or [], list(lists[0]), list(lists[1]), list(groups or lists[2]), keys, raw or None, list(entries.items()) or None, via, seen)
+    return out
+
+
+@pytest.mark.parametrize("carried", [False, True])
+@pytest.mark.parametrize("gathered", [0, 3, 500])
+def test_absorb_as_a_loop(spark, monkeypatch, gathered, carried):
+    monkeypatch.setattr(catalog, "GATHERED", gathered)
+    r = random.Random(gathered)
+
+    def some(values, most=3):
+        return r.choice([None, [], [r.choice(values) for _ in range(r.randint(1, most))]])
+
+    def fields(i):
+        return (i, r.choice([None, "", f"t{r.randint(0, 9)}"]), some(["a", "b", "c", None]), some(["d", "e"]), some([5, 30, 7, None]), some(["Children", "other"]))
+
+    have = [fields(f"c{i}") for i in range(12)]
+    if carried:
+        have = [h + (r.choice([None, ["r:1", "q:7"]]), r.choice([None, {"r": "old", "q": None}]), r.choice([None, [("q:7", "x"), ("r:1", "y")]]), r.choice([None, "was"]), r.choice([None, 4])) for h in have]
+    ids = ["c0"] * 9 + [f"c{i}" for i in range(11)] + ["gone", None]
+    sources = [fields(r.choice(ids)) + (at, r.choice(["r", "s", "t", None]), str(r.randint(1, 3)), r.choice([None, f"raw{at}"]), r.choice([None, "doi", "url"]), r.choice([None, at])) for at in range(90)]
+    got = catalog.absorb(spark.createDataFrame(have, HELD if carried else RECORD), spark.createDataFrame(sources, SOURCE), "id", "at", ["title"], ["authors"], fill=["disease"], entry="raw", retrieved="seen").collect()
+    assert len(got) == len(have)
+    as_loop = {x.id: (x.title, x.disease, x.authors, x.ages, x.age_groups, x.source_keys, x.raw, x.sources and [tuple(e) for e in x.sources], x.matched_via, x.updated_at) for x in got}
+    assert as_loop == _absorbed(have, sources)
+
+
+def test_absorb_meets_its_sources_once(spark):
+    source = spark.range(200).selectExpr(
+        "id % 40 as id", "id as at", "'r' as repository", "string(id) as source_id", "'raw' as raw", "'doi' as via", "'t' as title", "array('m') as modality", "array(5) as ages", "array('x') as age_groups"
+    )
+    out = catalog.absorb(source.where("at < 40").select("id", "title", "modality", "ages", "age_groups"), source, "id", "at", ["title"], ["modality"])
+    assert out.count() == 40
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Range (") == 2
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
