@@ -2,20 +2,24 @@
 
 Merging widens a record (its DOI, source keys, repositories, authors, modalities), so a later source may match through what an
 earlier one brought. The fold goes on in slices: one task goes through the LOOP earliest sources in order, with the records that they could
-meet, then the records are widened and the next slice follows. So a task holds a slice, whatever the input, and chains of sources that
-depend on one another take no rounds. Where even few sources could meet more than LOOP_RECORDS records, a round of joins decides all the sources
+come to, and gives out the records as it leaves them; these replace the former ones and the next slice follows. So a task holds a slice, whatever the
+input, and chains of sources that depend on one another take no rounds. By title and signals a source comes to the earliest record that lets it in,
+and a slice can shut no more records of a title than it has sources of that title; so of the records alike to such sources only that many and one more go along.
+Where even few sources could come to more than LOOP_RECORDS records, a round of joins decides all the sources
 that no earlier undecided source can have to do with. The result is that of a loop over all sources.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from bisect import bisect
 from functools import reduce
+from heapq import heappop, heappush
 from itertools import combinations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from curatrix.operators.graph import labelled
 from curatrix.operators.shared import forget, written
@@ -25,7 +29,7 @@ WAYS = ("doi", "cross_reference", "source_url", "source_key", "multi_field")
 LISTS, SCALARS = ("authors", "modality"), ("participants", "year")
 STRINGS = "array<string>"
 #: Undecided sources, and records they could meet, that one task may go through.
-LOOP, LOOP_RECORDS = 10_000, 50_000
+LOOP, LOOP_RECORDS = 30_000, 100_000
 #: Sizes of a slice that are tried, each half of the one before, until a round is taken instead.
 HALVES = 6
 
@@ -46,15 +50,15 @@ def _many(c: str) -> Column:
     return F.array_distinct(F.array_compact(F.coalesce(F.col(c).cast(STRINGS), F.array().cast(STRINGS))))
 
 
-def _pairs() -> Column:
+def _pairs(place=_place) -> Column:
     """Places of a title with values of two signals: who shares one shares the title and two signals."""
     signals = [("authors", _many("authors")), ("participants", _one("participants")), ("modality", _many("modality")), ("year", _one("year"))]
 
     def met(a: str, xs: Column, b: str, ys: Column) -> Column:
-        return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: _place("pair", F.col("title"), F.lit(a), x, F.lit(b), y))))
+        return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: place("pair", F.col("title"), F.lit(a), x, F.lit(b), y))))
 
     out = [met(*x, *y) for i, x in enumerate(signals) for y in signals[i + 1 :]]
-    return F.when(F.col("title").isNotNull(), F.array_compact(F.concat(*out))).otherwise(F.array().cast(STRINGS))
+    return F.when(F.col("title").isNotNull(), F.array_compact(F.concat(*out))).otherwise(F.array())
 
 
 def _kinds(**places: Column) -> Column:
@@ -120,8 +124,7 @@ def _state(records: DataFrame, decided: DataFrame | None) -> DataFrame:
     filled = [F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.col("seq"))).alias(c) for c in ("doi", *SCALARS)]
     kept = [F.min_by(c, F.when(F.col("first"), F.col("seq"))).alias(c) for c in ("url", "title")]
     out = rows.groupBy("id").agg(F.min("seq").alias("created"), *filled, *kept).join(sets, "id", "left")
-    out = out.withColumns({c: F.coalesce(c, F.array().cast(STRINGS)) for c in ("source_keys", "repositories", *LISTS)})
-    return out.withColumn("held", _held())
+    return out.withColumns({c: F.coalesce(c, F.array().cast(STRINGS)) for c in ("source_keys", "repositories", *LISTS)})
 
 
 def _found(records: DataFrame, rows: DataFrame) -> DataFrame:
@@ -199,89 +202,191 @@ def _listed(v) -> list:
     return [] if v is None else [x for x in v if x is not None]
 
 
-def _plain(v):
-    return None if v is None or v != v else v
-
-
-def _signal_pairs(r: dict) -> set[tuple]:
-    """The pairs of two signals of a title, as :func:`_pairs` names them."""
-    if r["title"] is None:
-        return set()
-    kinds = [[("authors", x) for x in _listed(r["authors"])], [("participants", r["participants"])], [("modality", x) for x in _listed(r["modality"])], [("year", r["year"])]]
-    return {(r["title"], a, b) for xs, ys in combinations(kinds, 2) for a in xs for b in ys if a[1] is not None and b[1] is not None}
-
-
-def _loop(sources: pd.DataFrame, records: pd.DataFrame) -> pd.DataFrame:
-    """The ways and targets of sources, one after another, against records that are widened on the way."""
+class _Places:
+    """Records by what they have in common with sources: a title and two signals. Asked for the earliest record that has no source of
+    a repository and no DOI in the way. Both can only be lost, so what was once passed over is not looked at again."""
+
+    #: Records of a place up to which all are looked at.
+    FEW = 16
+
+    def __init__(self, sources: list[dict]) -> None:
+        self.records: dict[tuple, list[dict]] = {p: [] for s in sources for p in self.of(s, self.signals(s))}
+        self.passed: dict[tuple, dict[tuple, list]] = {}
+
+    @staticmethod
+    def signals(r: dict) -> list[tuple]:
+        """(number of the signal, value) of a row."""
+        one = [(i, r[c]) for i, c in ((1, "participants"), (3, "year")) if r[c] is not None]
+        return one + [(i, x) for i, c in ((0, "authors"), (2, "modality")) for x in _listed(r[c])]
+
+    @staticmethod
+    def of(r: dict, fresh: list[tuple], known: list[tuple] = ()) -> set[tuple]:
+        """The places of a title that ``fresh`` signals make, among themselves and with ``known`` ones."""
+        if r["title"] is None:
+            return set()
+        met = [*combinations(fresh, 2), *((x, y) for x in fresh for y in known)]
+        return {(r["title"], min(x, y), max(x, y)) for x, y in met if x[0] != y[0]}
+
+    @staticmethod
+    def fits(r: dict, repository: str, own: bool) -> bool:
+        return repository not in r["repositories"] and not (own and r["doi"] is not None)
+
+    def enter(self, r: dict, places: set[tuple]) -> None:
+        for p in places:
+            there = self.records.get(p)
+            if there is None:  # no source looks there
+                continue
+            at = bisect(there, r["created"], key=lambda x: x["created"])
+            there.insert(at, r)
+            for (repository, own), seen in self.passed.get(p, {}).items():
+                if at < seen[0]:
+                    seen[0] += 1
+                    if self.fits(r, repository, own):
+                        heappush(seen[1], (r["created"], r))
+
+    def first(self, s: dict) -> dict | None:
+        who = (s["repository"], s["doi"] is not None)
+        if who[0] is None:
+            return None
+        best = None
+        for p in self.of(s, self.signals(s)):
+            there, at = self.records[p], 0
+            if len(there) > self.FEW:
+                seen = self.passed.setdefault(p, {}).setdefault(who, [0, []])
+                at, late = seen
+            while at < len(there) and not self.fits(there[at], *who):
+                at += 1
+            found = there[at] if at < len(there) else None
+            if len(there) > self.FEW:
+                seen[0] = at
+                while late and not self.fits(late[0][1], *who):
+                    heappop(late)
+                found = late[0][1] if late else found  # these come before all that are not passed
+            if found is not None and (best is None or found["created"] < best["created"]):
+                best = found
+        return best
+
+
+def _loop(sources: pa.Table, records: pa.Table) -> pa.Table:
+    """(seq, way, target) of sources, one after another, against records that are widened on the way; then the records that were widened or made."""
     index: dict[str, dict] = {c: {} for c in ("doi", "url", "key")}
-    pairs = defaultdict(list)
+    incoming = sorted(sources.to_pylist(), key=lambda s: s["seq"])
+    places = _Places(incoming)
+
+    def known(r: dict, key: str) -> None:
+        index["key"][key] = min(index["key"].get(key, r), r, key=lambda x: x["created"])
 
-    def enter(r: dict) -> None:
-        """What the record can be found by, in addition to what it is known by."""
-        if r["doi"] is not None:
-            index["doi"].setdefault(r["doi"], r)
+    def begin(r: dict, created: tuple, keys: list, repositories: list) -> dict:
+        r = {c: r[c] for c in ("id", "doi", "url", "title", *SCALARS)} | {"created": created, "source_keys": dict.fromkeys(_listed(keys)), "repositories": {*_listed(repositories)}, **{c: dict.fromkeys(_listed(r[c])) for c in LISTS}}
+        for c in ("doi", "url"):
+            if r[c] is not None:
+                index[c].setdefault(r[c], r)
         for k in r["source_keys"]:
-            index["key"][k] = min(index["key"].get(k, r), r, key=lambda x: x["created"])
-        fresh = _signal_pairs(r) - r["pairs"]
-        r["pairs"] |= fresh
-        for p in fresh:
-            pairs[p].append(r)
-
-    def begin(r: dict, created: tuple, keys: list, repositories: list) -> None:
-        r |= {"created": created, "source_keys": list(keys), "repositories": set(repositories), "authors": _listed(r["authors"]), "modality": _listed(r["modality"]), "pairs": set()}
-        if r["url"] is not None:
-            index["url"].setdefault(r["url"], r)
-        enter(r)
-
-    def rows(df: pd.DataFrame) -> list[dict]:
-        scalars = ("doi", "url", "title", "participants", "year")
-        return [r | {c: _plain(r[c]) for c in scalars} for r in df.astype({"participants": object, "year": object}).to_dict("records")]
-
-    for r in sorted(rows(records), key=lambda r: (r["created"], r["id"])):
-        begin(r, (r["created"], r["id"]), _listed(r["source_keys"]), _listed(r["repositories"]))
-    out = []
-    for s in sorted(rows(sources), key=lambda s: s["seq"]):
+            known(r, k)
+        places.enter(r, places.of(r, places.signals(r)))
+        return r
+
+    def widen(r: dict, s: dict) -> None:
+        before = places.signals(r)
+        if r["doi"] is None and s["doi"] is not None:
+            r["doi"] = s["doi"]
+            index["doi"].setdefault(s["doi"], r)
+        for c in SCALARS:
+            r[c] = s[c] if r[c] is None else r[c]
+        for c in LISTS:
+            r[c] |= dict.fromkeys(_listed(s[c]))
+        if s["source_key"] is not None:
+            r["source_keys"][s["source_key"]] = None
+            known(r, s["source_key"])
+        r["repositories"] |= {*_listed([s["repository"]])}
+        fresh = places.signals(r)
+        if len(fresh) > len(before):
+            fresh = list({*fresh} - {*before})
+            places.enter(r, places.of(r, fresh, before))
+
+    for r in sorted(records.to_pylist(), key=lambda r: (r["created"], r["id"])):
+        begin(r, (r["created"], r["id"]), r["source_keys"], r["repositories"])
+    out, touched = [], {}
+    for s in incoming:
         def free(r: dict | None, s=s) -> bool:
             return r is not None and (r["doi"] is None or s["doi"] is None or r["doi"] == s["doi"])
 
         ways = [("doi", index["doi"].get(s["doi"])), *[("cross_reference", index["key"].get(k)) for k in _listed(s["refs"])], ("source_url", index["url"].get(s["url"])), ("source_key", index["key"].get(s["source_key"]))]
         way, target = next(((w, r) for w, r in ways if free(r)), (None, None))
         if target is None:
-            apart = [r for p in _signal_pairs(s) for r in pairs.get(p, ()) if s["repository"] not in r["repositories"] and free(r)]
-            if apart:
-                way, target = "multi_field", min(apart, key=lambda r: r["created"])
+            target = places.first(s)
+            way = "multi_field" if target else None
+        out.append({"seq": s["seq"], "way": way, "target": target and target["id"]})
         if target is not None:
-            for c in ("doi", *SCALARS):
-                target[c] = s[c] if target[c] is None else target[c]
-            for c in LISTS:
-                target[c] += [x for x in _listed(s[c]) if x not in target[c]]
-            target["source_keys"] += [s["source_key"]]
-            target["repositories"].add(s["repository"])
-            enter(target)
+            widen(target, s)
         elif s["valid"]:
-            begin(dict(s), (s["seq"], s["id"]), [s["source_key"]], [s["repository"]])
-        out.append((s["seq"], way, target and target["id"]))
-    return pd.DataFrame(out, columns=["seq", "way", "target"])
+            target = begin(s, (s["seq"], s["id"]), [s["source_key"]], [s["repository"]])
+        if target is not None:
+            touched[target["created"]] = target
+    for r in touched.values():
+        out.append({"record": r | {"created": r["created"][0], "repositories": sorted(r["repositories"]), **{c: list(r[c]) for c in ("source_keys", *LISTS)}}})
+    return pa.Table.from_pylist(out, pa.schema([("seq", pa.int64()), ("way", pa.string()), ("target", pa.string()), ("record", pa.struct(records.schema))]))
+
+
+def _hashes(keys: Column) -> Column:
+    """Hashes of a DOI, an address and source keys. Values that share a hash only take a record along that is not needed."""
+    one = [F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(c), F.col(c))) for c in ("doi", "url")]
+    return F.array_compact(F.concat(F.array(*one), F.transform(keys, lambda k: F.xxhash64(F.lit("key"), k))))
+
+
+def _pair_hashes() -> Column:
+    """As :func:`_pairs`, in 8 bytes."""
+    return _pairs(lambda kind, *values: F.xxhash64(F.lit(kind), *[v.cast("string") for v in values]))
+
+
+def _near(state: DataFrame, part: DataFrame) -> DataFrame:
+    """(id) of the records that the sources of a slice could come to, those that they become aside.
 
+    These are all that share a DOI, an address or a key with one of them, and of those that only share a title and two signals, in each place
+    and for each set of repositories, with a DOI and without, one more than there are sources of the title: each source shuts one record at most."""
+    keys = F.array_distinct(F.array_compact(F.concat(F.coalesce("refs", F.array().cast(STRINGS)), F.array("source_key"))))
+    sought = part.select(F.explode(_hashes(keys)).alias("place")).distinct()
+    reached = state.select("id", F.explode(_hashes(F.col("source_keys"))).alias("place")).join(sought, "place", "left_semi").select("id").distinct()
+    reached = written(reached, "reached")
+    titled = part.where("title is not null and repository is not null")
+    who = F.struct("repository", F.col("doi").isNotNull().alias("own"))
+    titles = titled.groupBy("title").agg(F.count("*").alias("n"), F.collect_set(who).alias("who"))
+    looks = titled.select(who.alias("w"), F.explode(_pair_hashes()).alias("place")).groupBy("place").agg(F.collect_set("w").alias("who"))
 
-def _slice(state: DataFrame, left: DataFrame) -> tuple[DataFrame, int] | None:
-    """(seq, way, target) of the earliest of ``left``, by a loop, and the last seq among them; none where even few could meet too many records."""
-    for n in (LOOP >> i for i in range(HALVES)):
+    def lets_in(who: str) -> Column:
+        return F.exists(who, lambda w: ~F.array_contains("repositories", w["repository"]) & (F.col("doi").isNull() | ~w["own"]))
+
+    alike = state.join(titles, "title").where(lets_in("who")).join(reached, "id", "left_anti")
+    alike = alike.select("id", "created", "repositories", "doi", "n", F.explode(_pair_hashes()).alias("place")).join(looks, "place").where(lets_in("who"))
+    turn = F.row_number().over(Window.partitionBy("place", "repositories", F.col("doi").isNull()).orderBy("created", "id"))
+    alike = alike.withColumn("turn", turn).where(F.col("turn") <= F.col("n") + 1)
+    near = written(reached.unionByName(alike.select("id").distinct()), "near")
+    forget(reached)
+    return near
+
+
+def _slice(state: DataFrame, left: DataFrame, size: int) -> tuple[DataFrame, int, int] | None:
+    """(seq, way, target, record) of the earliest of ``left`` by a loop, the last seq among them, and how many they were to be; none where even few could come to too many records."""
+    for n in (size >> i for i in range(HALVES)):
         if not n:
             break
         last = left.select("seq").orderBy("seq").limit(n).agg(F.max("seq")).first()[0]
         part = left.where(F.col("seq") <= last)
-        places = part.select(F.explode("sought.place").alias("place")).distinct()
-        met = state.select("id", F.explode("held.place").alias("place")).join(places, "place", "left_semi").select("id").distinct()
-        met = written(met, "met")
-        if met.limit(LOOP_RECORDS + 1).count() <= LOOP_RECORDS:
+        met = _near(state, part)
+        if met.count() <= LOOP_RECORDS:
             one = F.lit(0).alias("one")
-            records = state.join(met, "id", "left_semi").drop("held")
-            return part.drop("sought").groupBy(one).cogroup(records.groupBy(one)).applyInPandas(_loop, "seq long, way string, target string"), last
+            records = state.join(met, "id", "left_semi")
+            done = written(part.groupBy(one).cogroup(records.groupBy(one)).applyInArrow(_loop, _looped(state)), "loop")
+            forget(met)
+            return done, last, n
         forget(met)
     return None
 
 
+def _looped(state: DataFrame) -> StructType:
+    return StructType().add("seq", "long").add("way", "string").add("target", "string").add("record", state.schema)
+
+
 def fold(records: DataFrame, sources: DataFrame) -> DataFrame:
     """(seq, id, action, target, via, ambiguous), one row per source.
 
@@ -297,39 +402,60 @@ def fold(records: DataFrame, sources: DataFrame) -> DataFrame:
     Slices are as many as there are LOOP sources, and follow one another. Only where the smallest slice tried could meet more than LOOP_RECORDS records
     are there rounds; of a chain of sources of several repositories that all share title and signals each takes one then."""
     columns = ["seq", "id", "repository", "source_key", "doi", "url", "refs", "title", "authors", "participants", "modality", "year", "valid"]
-    left = written(sources.select(*[F.col(c).cast(STRINGS).alias(c) if c in (*LISTS, "refs") else F.col(c) for c in columns]).withColumn("sought", _sought()), "sources")
-    decided: DataFrame | None = None
+    sources = written(sources.select(*[F.col(c).cast(STRINGS).alias(c) if c in (*LISTS, "refs") else F.col(c) for c in columns]), "sources")
+    wide = records.select(*SCALARS).unionByName(sources.select(*SCALARS)).schema
+    records = records.withColumns({c: F.col(c).cast(wide[c].dataType) for c in SCALARS})
     # the records with all decided before ``since``; rounds decide out of order, so after one nothing is added up
-    base, since, ordered = records, None, True
+    base = state = written(_state(records, None), "state")
+    left, since, size = sources, None, LOOP
     parts: list[DataFrame] = []
+    tables: list[DataFrame] = []
+
+    def decide(rows: DataFrame, found: DataFrame) -> DataFrame:
+        action = F.when(F.col("target").isNotNull(), "merged").when(F.coalesce("valid", F.lit(False)), "inserted").otherwise("invalid")
+        return rows.join(found, "seq").withColumn("action", action).withColumn("target", F.when(action == "inserted", F.col("id")).otherwise(F.col("target")))
+
     while not left.isEmpty():
-        state = written(_state(base, since), "state")
-        cut = _slice(state, left)
+        cut = _slice(state, left, size)
         if cut is None:
-            found = written(_found(state, left), "found")
-            ready, last, ordered = _ready(state, left, found).drop("sure"), None, False
+            held, rows = written(state.withColumn("held", _held()), "held"), written(left.withColumn("sought", _sought()), "sought")
+            found = written(_found(held, rows), "found")
+            ready = written(_ready(held, rows, found).select("seq", "way", "target"), "ready")
+            forget(held, rows, found)
+            rest = written(left.join(ready.select("seq"), "seq", "left_anti"), "left")
+            if left is not sources:
+                forget(left)
+            left = rest
         else:
-            ready, last = cut
-        action = F.when(F.col("target").isNotNull(), "merged").when(F.coalesce("valid", F.lit(False)), "inserted").otherwise("invalid")
-        now = left.join(ready, "seq").withColumn("action", action).withColumn("target", F.when(action == "inserted", F.col("id")).otherwise(F.col("target")))
-        now = written(now, "decided")
-        rest = written(left.join(now.select("seq"), "seq", "left_anti") if last is None else left.where(F.col("seq") > last), "sources")
-        parts.append(now)
-        if len(parts) > 4:  # plans stay short
-            parts = [written(reduce(DataFrame.unionByName, parts), "decided")]
-        decided = reduce(DataFrame.unionByName, parts)
-        if ordered:
-            forget(base)
-            base, since = state, now
+            done, last, n = cut
+            ready = done.where("seq is not null").select("seq", "way", "target")
+            left = left.where(F.col("seq") > last)
+            size = min(LOOP, 2 * n)
+        if cut is None or since is not None:
+            now = decide(sources, ready)
+            since = written(now if since is None else since.unionByName(now), "since")
+            after = _state(base, since)
         else:
+            changed = done.where("record is not null").select("record.*")
+            after = state.join(changed.select("id"), "id", "left_anti").unionByName(changed)
+        after = written(after, "state")
+        if state is not base or since is None:
             forget(state)
-            since = now if since is None else written(since.unionByName(now), "since")
-        forget(left)
-        left = rest
-    if decided is None:
-        return left.select("seq", "id", F.lit(None).cast("string").alias("action"), F.col("id").alias("target"), F.lit(None).cast("string").alias("via"), F.lit(False).alias("ambiguous"))
+        state = after
+        base = base if since is not None else state
+        parts.append(ready)
+        tables.append(ready if cut is None else done)
+        if len(parts) > 8:  # plans stay short
+            parts = [written(reduce(DataFrame.unionByName, parts), "decided")]
+            forget(*tables)
+            tables = [*parts]
+    if not parts:
+        return sources.select("seq", "id", F.lit(None).cast("string").alias("action"), F.col("id").alias("target"), F.lit(None).cast("string").alias("via"), F.lit(False).alias("ambiguous"))
+    decided = written(decide(sources.select("seq", "id", "title", "valid"), reduce(DataFrame.unionByName, parts)), "decided")
+    forget(base, state, *tables)
     # the two earliest records of each title tell whether another one was there
-    began = _state(records, decided).where("title is not null").select("title", F.struct("created", "id").alias("r"))
+    began = records.select("title", F.struct(F.lit(-1).cast("long").alias("created"), "id").alias("r"))
+    began = began.unionByName(decided.where("action = 'inserted'").select("title", F.struct(F.col("seq").alias("created"), "id").alias("r"))).where("title is not null")
     first = began.groupBy("title").agg(F.min("r").alias("one"))
     second = labelled(began.withColumn("by", F.col("r.id")), first, "title", "by").where("r <> one").groupBy("title").agg(F.min("r").alias("two"))
     both = written(first.join(second, "title", "left"), "titles")

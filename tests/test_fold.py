@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from curatrix.operators import fold as K
@@ -146,3 +147,35 @@ def test_slices_and_rounds_in_turn(spark, monkeypatch):
     got = K.fold(spark.createDataFrame(records, RECORDS), spark.createDataFrame(sources, SOURCES)).collect()
     assert sorted(tuple(r) for r in got) == plain(records, sources)
     assert len(turns) > 2
+
+
+def test_few_of_many_alike_records_go_along(spark, monkeypatch):
+    """All 90 records share title and signals with the sources; they were too many for a slice before, and rounds followed."""
+    monkeypatch.setattr(K, "LOOP", 8)
+    monkeypatch.setattr(K, "LOOP_RECORDS", 40)
+    rounds, near = [], []
+    real_ready, real_near = K._ready, K._near
+    monkeypatch.setattr(K, "_ready", lambda *a: rounds.append(1) or real_ready(*a))
+    monkeypatch.setattr(K, "_near", lambda *a: near.append(real_near(*a)) or near[-1])
+    alike = dict(title="Test", authors=["p"], year=2000, modality=["eeg"])
+    records = [tuple({**dict.fromkeys(R), **alike, "id": f"r{i:03}", "source_keys": [f"x:{i}"], "repositories": ["x" if i % 3 else "a"], "doi": None if i % 4 else f"10/{i}"}[c] for c in R) for i in range(90)]
+    sources = [tuple({**dict.fromkeys(S), **alike, "seq": i, "id": f"n{i:03}", "repository": "ab"[i % 2], "source_key": f"k:{i}", "doi": None if i % 3 else f"11/{i}", "valid": True}[c] for c in S) for i in range(12)]
+    got = K.fold(spark.createDataFrame(records, RECORDS), spark.createDataFrame(sources, SOURCES)).collect()
+    assert sorted(tuple(r) for r in got) == plain(records, sources)
+    assert not rounds
+    assert len(near) == 2
+
+
+@pytest.mark.parametrize(("seed", "few"), [(1, 0), (2, 1), (3, 3)])
+def test_loop_passes_over_records_once(monkeypatch, seed, few):
+    """The plain loop, on places so full that those passed over are remembered; widened records enter among them."""
+    monkeypatch.setattr(K._Places, "FEW", few)
+    records, sources = rows(seed, 40, 300, 6)
+    types = [("id", pa.string()), ("created", pa.int64()), ("doi", pa.string()), ("url", pa.string()), ("title", pa.string())]
+    lists = [(c, pa.list_(pa.string())) for c in ("source_keys", "repositories", "authors", "modality")]
+    state = pa.Table.from_pylist([dict(zip(R, r, strict=True)) | {"created": -1} for r in records], pa.schema([*types, *lists, ("participants", pa.int64()), ("year", pa.int32())]))
+    out = K._loop(pa.Table.from_pylist([dict(zip(S, s, strict=True)) for s in sources]), state).to_pylist()
+    wanted = [(seq, via, target) if action == "merged" else (seq, None, None) for seq, _, action, target, via, _ in plain(records, sources)]
+    assert [(r["seq"], r["way"], r["target"]) for r in out if r["record"] is None] == wanted
+    changed = {r["record"]["id"] for r in out if r["record"] is not None}
+    assert changed == {target for *_, target, _, _ in plain(records, sources) if target is not None}
