@@ -110,6 +110,32 @@ def test_similar_titles_loses_no_pair(spark, percent):
     assert got == want and (want or percent == 95)
 
 
+@pytest.mark.parametrize("common", [0, 5, 100_000])
+def test_similar_rows_moves_the_tokens_of_pairs_only(spark, monkeypatch, common):
+    """The token sets of all rows were shuffled and written before, each token as a row, several times."""
+    monkeypatch.setattr(dedup, "COMMON", common)
+    kept = {}
+    real = dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df, name: kept.setdefault(name, real(df, name)))
+    rng = random.Random(common)
+    words = [f"w{i}" for i in range(20_000)]
+    rows = [(i, rng.choice("ab"), [*rng.sample(words, rng.randint(0, 60)), "the"]) for i in range(150)] + [(500, None, ["x"]), (501, "a", [])]
+    base = words[:40]
+    rows += [(200 + i, "ab"[i % 2], sorted({*base} - {base[i]} | {f"x{i % 3}"})) for i in range(0, 40, 7)] + [(300, "a", base), (301, "a", base), (302, None, base), (303, None, base[1:])]
+    df = spark.createDataFrame(rows, "id long, block string, tokens array<string>")
+    got = sorted(tuple(r) for r in dedup.similar_rows(df, "id", "tokens", "block", 90).collect())
+    c = dedup.title_classes(df, "id", "tokens", "block").collect()
+
+    def total(x, y):
+        return len({*x.tokens} | {*y.tokens})
+
+    alike = [(x, y, len({*x.tokens} & {*y.tokens})) for x in c for y in c if x.class_id < y.class_id and x.block is not None and x.block == y.block]
+    want = sorted((x.class_id, y.class_id, n, total(x, y), x.n, y.n) for x, y, n in alike if 100 * n >= 90 * total(x, y))
+    assert got == want and len(want) > 3
+    assert [n for n, t in kept.items() if "tokens" in t.columns] == ["tokens"]
+    assert kept["tokens"].count() < (40 if common else len(rows))
+
+
 def test_resolve_respects_conflicts(spark):
     schema = "id long, doi string, url string, title string, author string, year int"
     old = spark.createDataFrame([(1, "10.1/a", "u1", "test", "x", 2001), (2, None, "u2", "test", "y", 2002), (3, None, "u3", "other", "z", 2003)], schema)
