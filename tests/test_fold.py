@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 
 from curatrix.operators import fold as K
+from curatrix.plans import upserts
 
 RECORDS = "id string, doi string, url string, title string, source_keys array<string>, repositories array<string>, authors array<string>, participants long, modality array<string>, year int"
 SOURCES = "seq long, id string, repository string, source_key string, doi string, url string, refs array<string>, title string, authors array<string>, participants long, modality array<string>, year int, valid boolean"
@@ -179,3 +180,15 @@ def test_loop_passes_over_records_once(monkeypatch, seed, few):
     assert [(r["seq"], r["way"], r["target"]) for r in out if r["record"] is None] == wanted
     changed = {r["record"]["id"] for r in out if r["record"] is not None}
     assert changed == {target for *_, target, _, _ in plain(records, sources) if target is not None}
+
+
+def test_records_query_in_slices(spark, monkeypatch, small):
+    """q_canonical_records by small slices, each with few records, is as by one slice; such few were rounds before."""
+    whole = {r.id: r for r in upserts.q_canonical_records(spark, small).collect()}
+    rounds = []
+    real = K._ready
+    monkeypatch.setattr(K, "_ready", lambda *a: rounds.append(1) or real(*a))
+    monkeypatch.setattr(K, "LOOP", 60)
+    monkeypatch.setattr(K, "LOOP_RECORDS", 25)
+    assert {r.id: r for r in upserts.q_canonical_records(spark, small).collect()} == whole
+    assert not rounds
