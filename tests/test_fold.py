@@ -183,12 +183,14 @@ def test_loop_passes_over_records_once(monkeypatch, seed, few):
 
 
 def test_records_query_in_slices(spark, monkeypatch, small):
-    """q_canonical_records by small slices, each with few records, is as by one slice; such few were rounds before."""
+    """q_canonical_records by small slices, each with few records, is as by one slice; slices took more records along before and so were more."""
     whole = {r.id: r for r in upserts.q_canonical_records(spark, small).collect()}
-    rounds = []
-    real = K._ready
-    monkeypatch.setattr(K, "_ready", lambda *a: rounds.append(1) or real(*a))
+    slices, rounds = [], []
+    real_slice, real_ready = K._slice, K._ready
+    monkeypatch.setattr(K, "_slice", lambda *a: slices.append(1) or real_slice(*a))
+    monkeypatch.setattr(K, "_ready", lambda *a: rounds.append(1) or real_ready(*a))
     monkeypatch.setattr(K, "LOOP", 60)
     monkeypatch.setattr(K, "LOOP_RECORDS", 25)
     assert {r.id: r for r in upserts.q_canonical_records(spark, small).collect()} == whole
     assert not rounds
+    assert len(slices) == 3
